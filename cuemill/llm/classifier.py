@@ -27,6 +27,9 @@ BAD, GOOD, NONE = 0, 1, 2
 DIMENSIONS = 1 << 18
 SAMPLE = 8_000  #: documents that the scorer is fitted on, a sample by hash
 SLICE_BYTES = 4 << 20
+#: The chances of the votes (bad, good) believed beforehand in each class, and
+#: the weight of that belief as a share of all documents.
+EXPECTED, BELIEF = {BAD: (0.35, 0.65), GOOD: (0.01, 0.99)}, 0.05
 KEEP = 0.5  #: least score of a document that stays
 
 _STOP = frozenset(w.encode() for w in WORDS)
@@ -56,6 +59,8 @@ def facts(data: bytes) -> dict:
         "length": sum(map(len, words)) / n,
         "copies": 1 - len(set(lines)) / max(1, len(lines)),
         "bangs": data.count(b"!") / n,
+        "bars": words.count(b"|") / n,
+        "odd ends": sum(w[-1:] in b"#*$%&|<>~^=@+_/\\" for w in words) / n,
     }
 
 
@@ -72,7 +77,9 @@ LABELLERS = {
     "sentences": lambda f: _vote(f["n"] >= 40 and f["ends"] < 0.01, f["n"] >= 40 and 0.02 < f["ends"] < 0.35),
     "word length": lambda f: _vote(f["length"] > 12 or f["length"] < 2, 3 < f["length"] < 9 and f["n"] >= 20),
     "copied lines": lambda f: _vote(f["copies"] > 0.3, f["copies"] == 0 and f["n"] >= 40),
-    "shouting": lambda f: _vote(f["bangs"] > 0.3, False),
+    "shouting": lambda f: _vote(f["bangs"] > 0.3, f["bangs"] < 0.05 and f["n"] >= 40),
+    "tables": lambda f: _vote(f["bars"] > 0.2, f["bars"] < 0.02 and f["n"] >= 40),
+    "odd ends": lambda f: _vote(f["odd ends"] > 0.3, f["odd ends"] < 0.05 and f["n"] >= 20),
 }
 
 
@@ -101,7 +108,10 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 
 class LabelModel:
-    """Class prior and, per labeller and class, the chances of the three votes."""
+    """Class prior and, per labeller and class, the chances of either vote among
+    those cast.  Expectation-maximisation starts from, and is held by, the belief
+    that a labeller rarely calls a good document bad, while a bad document has
+    but a few faults, so that most labellers still call it good."""
 
     def __init__(self, patterns: dict[int, int], rounds: int = 200):
         keys = np.array(sorted(patterns), np.int64)
@@ -110,14 +120,16 @@ class LabelModel:
         digits = (keys[:, None] // 3 ** np.arange(m)) % 3
         seen = (digits[:, :, None] == np.arange(3)).astype(float)  # pattern, labeller, vote
         # start: the majority of the votes cast
-        lean = (digits == GOOD).sum(1) - 2.0 * (digits == BAD).sum(1)
+        lean = 1.0 + (digits == GOOD).sum(1) - 4.0 * (digits == BAD).sum(1)
         good = 1 / (1 + np.exp(-lean))
-        self.prior, self.chance = 0.5, np.full((2, m, 3), 1 / 3)
+        self.prior, self.chance = 0.5, np.full((2, m, 3), 0.5)
+        self.chance[:, :, NONE] = 1.0  # who is silent says nothing about the class
+        total = weight.sum()
         for _ in range(rounds if len(keys) else 0):
             for c, share in ((GOOD, good), (BAD, 1 - good)):
-                counts = np.einsum("p,plv->lv", weight * share, seen) + 1.0
-                self.chance[c] = counts / counts.sum(1, keepdims=True)
-            self.prior = float(((weight * good).sum() + 1) / (weight.sum() + 2))
+                counts = np.einsum("p,plv->lv", weight * share, seen)[:, [BAD, GOOD]] + BELIEF * total * np.array(EXPECTED[c]) + 1e-3
+                self.chance[c][:, [BAD, GOOD]] = counts / counts.sum(1, keepdims=True)
+            self.prior = float(((weight * good).sum() + 1) / (total + 2))
             odds = np.log(self.prior / (1 - self.prior)) + np.einsum("plv,lv->p", seen, np.log(self.chance[GOOD] / self.chance[BAD]))
             new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
             done, good = np.abs(new - good).max() < 1e-9, new
@@ -127,12 +139,8 @@ class LabelModel:
 
     def accuracies(self) -> dict[str, float]:
         """Of each labeller: the chance that a vote it casts is right."""
-        out = {}
-        for k, name in enumerate(LABELLERS):
-            right = self.prior * self.chance[GOOD, k, GOOD] + (1 - self.prior) * self.chance[BAD, k, BAD]
-            cast = self.prior * (1 - self.chance[GOOD, k, NONE]) + (1 - self.prior) * (1 - self.chance[BAD, k, NONE])
-            out[name] = float(right / cast) if cast else 0.5
-        return out
+        right = self.prior * self.chance[GOOD, :, GOOD] + (1 - self.prior) * self.chance[BAD, :, BAD]
+        return dict(zip(LABELLERS, right.tolist()))
 
 
 def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from .common import WORD, keyed, staged
 MOST = 3  #: copies of a document, and a source's target over its size
 BINS = 1 << 16
 WEIGHTS = (1, 2, 3)
-ROUNDS = 2  #: fillings of the gap before the border
+ROUNDS = 3  #: fillings of the gap before the border
 
 
 def sizes(docs: DataFrame, text: str = "text") -> Column:
