@@ -43,6 +43,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``d``, so that working columns beside it
+    cannot clash with any of its names; ``flat`` undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+
+
+def flat(df: DataFrame, columns: list[str], **other) -> DataFrame:
+    """The columns of ``d``; those in ``other`` get that expression instead."""
+    return df.select(*[other.get(c, F.col("d")[c]).alias(c) for c in columns])
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n+1 offsets; null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

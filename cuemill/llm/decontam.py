@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, utf8
+from .common import slices, unused, utf8
 
 BLOCK = 3
 #: Benchmark bytes that one broadcast holds; a larger benchmark is searched in
@@ -197,8 +197,9 @@ def _search(model, where: int, place: int, again: bool, into: str):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no benchmark window occurs, columns unchanged."""
-    out = find_benchmark(docs, benchmark, into="__benchmark", **options)
-    return out.where(F.size("__benchmark.spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    into = unused(docs, "__benchmark")
+    out = find_benchmark(docs, benchmark, into=into, **options)
+    return out.where(F.size(f"{into}.spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keyed, staged
+from .common import WORD, keyed, staged, unused
 
 MOST = 3  #: copies of a document, and a source's target over its size
 BINS = 1 << 16
@@ -142,11 +142,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """The rows of ``docs`` that the mix takes at least once, with ``copies`` and
     ``taken`` (columns of these names are replaced).  Rows are found again by id,
     source and size; rows equal in all three share their fate."""
-    drawn = mixed(docs, id_col, text, source, **options).where("copies > 0")
-    keys = drawn.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies", "taken").distinct()
     own = docs.drop("copies", "taken")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source}`").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size"))
-    return own.withColumn("__own", sizes(own, text)).join(keys, same).drop("__id", "__source", "__size", "__own")
+    x = unused(own, "__mix")
+    drawn = mixed(docs, id_col, text, source, **options).where("copies > 0")
+    keys = drawn.select(F.col("id").alias(f"{x}i"), F.col("source").alias(f"{x}s"), F.col("size").alias(f"{x}n"), "copies", "taken").distinct()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(f"{x}i")) & F.col(f"`{source}`").eqNullSafe(F.col(f"{x}s")) & (F.col(f"{x}own") == F.col(f"{x}n"))
+    return own.withColumn(f"{x}own", sizes(own, text)).join(keys, same).drop(f"{x}i", f"{x}s", f"{x}n", f"{x}own")
 
 
 def report(docs: DataFrame) -> DataFrame:

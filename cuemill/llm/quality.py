@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import SPACE, flat, nested, staged
+
 # Frequent function words of each language.
 COMMON = {
     "de": "der die das und ist nicht mit von für auf den dem des ein eine im in zu als auch sich wie bei aus oder nach wird",
@@ -32,7 +34,6 @@ MIN_CHARS, MIN_WORDS = 200, 40
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.3, 0.2, 1.3
 SHINGLE = 5
 
-_ASCII_SPACES = "\t\n\x0b\x0c\r"
 #: Classes in the order in which they are taken out of the text.
 CLASSES = [
     ("lower", "[a-z]+"),
@@ -52,74 +53,73 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words: runs of anything but the six ASCII white-space characters."""
-    return F.array_remove(F.split(F.translate(text, _ASCII_SPACES, " " * 5), " ", -1), "")
+    return F.array_remove(F.split(text, SPACE, -1), "")
 
 
 def repeated_words(words: Column, width: int = SHINGLE) -> Column:
-    """Words inside windows of ``width`` words found twice or more."""
+    """Words inside windows of ``width`` words found twice or more.  Windows are
+    compared by 64-bit hashes inside one text."""
 
     def covered(starts):
         step = F.transform(starts, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(starts, i + 1) - x, F.lit(width))))
         return F.aggregate(step, F.lit(0), lambda a, b: a + b)
 
     def twice(sorted_):
-        at = F.filter(
-            F.transform(sorted_, lambda x, i: F.struct(x["i"].alias("i"), (F.coalesce(F.get(sorted_, i - 1)["w"] == x["w"], F.lit(False)) | F.coalesce(F.get(sorted_, i + 1)["w"] == x["w"], F.lit(False))).alias("same"))),
-            lambda x: x["same"],
-        )
-        return let(F.sort_array(F.transform(at, lambda x: x["i"])), covered)
+        same = lambda x, i: F.get(sorted_, i - 1)["h"].eqNullSafe(x["h"]) | F.get(sorted_, i + 1)["h"].eqNullSafe(x["h"])
+        return let(F.sort_array(F.transform(F.filter(sorted_, same), lambda x: x["i"])), covered)
+
+    def judged(h):
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(pairs, twice)).otherwise(0)
 
     def count(w):
         starts = F.sequence(F.lit(0), F.size(w) - width)
         hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
-        whole = F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.slice(w, i + 1, width)).alias("w"), i.alias("i"))))
-        # different hashes are different windows; only else are the windows themselves sorted
-        repeats = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-        return F.when((F.size(w) > width) & repeats, let(whole, twice)).otherwise(0)
+        return F.when(F.size(w) > width, let(hashes, judged)).otherwise(0)
 
     return let(words, count)
 
 
 def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with a struct column ``__q`` of counts and histograms."""
-    own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    df = docs.withColumn("__t0", own)
+    """(d, q): the rows of ``docs`` as a struct, and their counts and histograms."""
+    df = nested(docs).withColumn("t0", F.coalesce(F.col("d")[text], F.lit("")))
     for k, (_, pattern) in enumerate(CLASSES[:-1]):
-        df = df.withColumn(f"__t{k + 1}", F.regexp_replace(f"__t{k}", pattern, ""))
-    sizes = [F.length(f"__t{k}") for k in range(len(CLASSES))]
+        df = df.withColumn(f"t{k + 1}", F.regexp_replace(f"t{k}", pattern, ""))
+    sizes = [F.length(f"t{k}") for k in range(len(CLASSES))]
     classes = F.array(*[(a - b).cast("double") for a, b in zip(sizes, sizes[1:])], sizes[-1].cast("double"))
-    rest = F.length("__t1") - F.length(F.regexp_replace("__t1", r"[#*$%&|<>]+", ""))
-    lines = F.filter(F.split("__t0", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("__w", words_of(F.col("__t0")))
+    rest = F.length("t1") - F.length(F.regexp_replace("t1", r"[#*$%&|<>]+", ""))
+    lines = F.filter(F.split("t0", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumn("w", words_of(F.col("t0")))
     common = F.filter(
-        F.transform("__w", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))),
+        F.transform("w", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))),
         lambda w: w.isin(*WORDS),
     )
+    counted = let(common, lambda c: F.transform(F.array_distinct(c), lambda w: F.struct(w.alias("w"), (F.size(c) - F.size(F.array_remove(c, w))).alias("n"))))
     q = F.struct(
-        F.size("__w").cast("long").alias("n_words"),
-        (F.length("__t0") - (F.length("__t1") - F.length("__t2"))).cast("long").alias("word_chars"),
+        F.size("w").cast("long").alias("n_words"),
+        (F.length("t0") - (F.length("t1") - F.length("t2"))).cast("long").alias("word_chars"),
         rest.cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("__w")).cast("long").alias("n_repeat_words"),
+        repeated_words(F.col("w")).cast("long").alias("n_repeat_words"),
         classes.alias("classes"),
-        common.alias("common"),
-        F.when(F.col(f"`{lang}`").isin(*COMMON), F.col(f"`{lang}`")).otherwise(OTHER).alias("lang"),
+        counted.alias("common"),
+        F.when(F.col("d")[lang].isin(*COMMON), F.col("d")[lang]).otherwise(OTHER).alias("lang"),
     )
-    return df.withColumn("__q", q).select(*[F.col(f"`{c}`") for c in docs.columns], "__q")
+    return df.select("d", q.alias("q"))
 
 
-def histograms(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def histograms(own: DataFrame) -> DataFrame:
     """One row per language, at most one more than ``COMMON`` has: the shares of
-    character classes and of common words over all documents."""
-    df = measured(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))).select("__q.*")
+    character classes and of common words over all of ``measured``."""
+    df = own.select("q.*")
     sums = df.groupBy("lang").agg(
         F.sum("n_words").alias("n"), *[F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(len(CLASSES))]
     )
     total = sum(F.col(f"c{k}") for k in range(len(CLASSES)))
     classes = sums.select("lang", "n", F.array(*[F.col(f"c{k}") / F.greatest(total, F.lit(1.0)) for k in range(len(CLASSES))]).alias("ref_classes"))
     words = (
-        df.select("lang", F.explode("common").alias("word")).groupBy("lang", "word").count()
-        .groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "count"))).alias("counts"))
+        df.select("lang", F.explode("common").alias("x")).groupBy("lang", "x.w").agg(F.sum("x.n").alias("n"))
+        .groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("counts"))
     )
     return classes.join(words, "lang", "left").select(
         F.col("lang").alias("__lang"),
@@ -139,57 +139,61 @@ def _distance(twice: Column) -> Column:
 
 
 def char_distance(classes: Column, ref: Column) -> Column:
-    total = F.aggregate(classes, F.lit(0.0), lambda a, x: a + x)
-    parts = F.zip_with(classes, ref, lambda c, q: _part(c / F.greatest(total, F.lit(1.0)), q))
-    return _distance(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
+    def of(total):
+        shares = F.zip_with(classes, ref, lambda c, q: F.struct((c / F.greatest(total, F.lit(1.0))).alias("p"), q.alias("q")))
+        return F.aggregate(shares, F.lit(0.0), lambda a, x: a + _part(x["p"], x["q"]))
+
+    return _distance(let(F.aggregate(classes, F.lit(0.0), lambda a, x: a + x), of))
 
 
 def word_distance(common: Column, n: Column, ref: Column) -> Column:
     """Over the common words and one class for all other words."""
     n = F.greatest(n, F.lit(1)).cast("double")
+    shares = F.transform(common, lambda x: F.struct((x["n"] / n).alias("p"), F.coalesce(F.try_element_at(ref, x["w"]), F.lit(0.0)).alias("q")))
+    ends = F.struct(
+        F.aggregate(common, F.lit(0), lambda a, x: a + x["n"]).alias("m"),
+        F.aggregate(F.map_values(ref), F.lit(0.0), lambda a, x: a + x).alias("known"),
+    )
 
-    def of(words):
-        def each(w):
-            p = (F.size(words) - F.size(F.array_remove(words, w))) / n
-            q = F.coalesce(F.try_element_at(ref, w), F.lit(0.0))
-            return F.struct(_part(p, q).alias("twice"), q.alias("q"))
-
-        seen = F.transform(F.array_distinct(words), each)
-        known = F.aggregate(F.map_values(ref), F.lit(0.0), lambda a, x: a + x)
-        rest = _part(1 - F.size(words) / n, F.greatest(1 - known, F.lit(0.0)))
+    def of(e):
+        rest = let(F.struct((1 - e["m"] / n).alias("p"), F.greatest(1 - e["known"], F.lit(0.0)).alias("q")), lambda x: _part(x["p"], x["q"]))
         # a common word that the document lacks adds its reference share
-        return F.aggregate(seen, rest + known, lambda a, x: a + x["twice"] - x["q"])
+        return F.aggregate(shares, rest + e["known"], lambda a, x: a + _part(x["p"], x["q"]) - x["q"])
 
-    return _distance(let(common, of))
+    return _distance(let(ends, of))
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """``docs`` with a struct ``__v``: the counts, both distances (null below the
-    minimum length), ``base_failed`` and ``kept``.
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, with_text: bool = True) -> DataFrame:
+    """(d, v): the rows of ``docs`` as a struct, and a struct of the counts, both
+    distances (null below the minimum length), ``base_failed`` and ``kept``.
 
     Null texts are empty texts and fail the base rule; rows of an unknown or
     null language are held against the pool of all such rows; repeated rows get
-    equal verdicts; columns of ``docs`` pass through untouched.
+    equal verdicts; columns of ``docs`` pass through untouched, whatever their
+    names, the text only with ``with_text``.  Texts are measured once: the measures are staged, the
+    references are summed from them and held against them.
     """
-    refs = F.broadcast(histograms(docs, text, lang))  # a row for each of COMMON and one more
-    df = measured(docs, text, lang).join(refs, F.col("__q.lang") == F.col("__lang"), "left")
-    q = F.col("__q")
+    kept = [c for c in docs.columns if with_text or c.lower() != text.lower()]
+    own = measured(docs, text, lang).select(F.struct(*[F.col("d")[c].alias(c) for c in kept]).alias("d"), "q")
+    own = staged(own, "measured")
+    refs = F.broadcast(histograms(own))  # a row for each of COMMON and one more
+    q = F.col("q")
+    df = own.join(refs, q["lang"] == F.col("__lang"), "left")
     chars = F.when(q["word_chars"] >= MIN_CHARS, char_distance(q["classes"], F.col("ref_classes")))
     words = F.when(q["n_words"] >= MIN_WORDS, word_distance(q["common"], q["n_words"], F.col("ref_words")))
     base = (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    df = df.withColumn("__c", chars).withColumn("__d", words)
-    far = F.coalesce(F.col("__c") > max_char, F.lit(False)) | F.coalesce(F.col("__d") > max_word + WORD_NOISE / F.sqrt(q["n_words"]), F.lit(False))
-    v = F.struct(*[q[c].alias(c) for c in counts], F.col("__c").alias("char_distance"), F.col("__d").alias("word_distance"), base.alias("base_failed"), (~base & ~far).alias("kept"))
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], v.alias("__v"))
+    far = F.coalesce(F.col("c") > max_char, F.lit(False)) | F.coalesce(F.col("w") > max_word + WORD_NOISE / F.sqrt(q["n_words"]), F.lit(False))
+    v = F.struct(*[q[c].alias(c) for c in counts], F.col("c").alias("char_distance"), F.col("w").alias("word_distance"), base.alias("base_failed"), (~base & ~far).alias("kept"))
+    return df.select("d", "q", chars.alias("c"), words.alias("w")).select("d", v.alias("v"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, columns unchanged."""
-    return judged(docs).where("__v.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return flat(judged(docs).where("v.kept"), docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    out = judged(docs.select("doc_id", "text", "lang"))
+    out = judged(docs.select("doc_id", "text", "lang"), with_text=False)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return out.select("doc_id", *[F.col(f"__v.{c}").alias(c) for c in names], F.round("__v.char_distance", 6).alias("char_distance"), F.round("__v.word_distance", 6).alias("word_distance"))
+    return out.select("d.doc_id", *[F.col(f"v.{c}").alias(c) for c in names])

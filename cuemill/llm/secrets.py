@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import flat, nested
 from .quality import let
 
 # The patterns of the base kinds, in the order of ``KINDS``.
@@ -167,15 +168,16 @@ def random_spans(text: Column) -> Column:
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns ``__base`` and ``__spans``: arrays of structs
+    """(d, base, spans): the rows of ``docs`` as a struct, and arrays of structs
     (s, e, k), k a place in ``KINDS``, in order of start and kind.  Random runs
-    that touch a base span add nothing.  Null is the empty text."""
-    df = docs.withColumn("__own", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    own = F.col("__own")
+    that touch a base span add nothing.  Null is the empty text; equal rows have
+    equal spans; an empty table gives an empty result."""
+    df = nested(docs).withColumn("own", F.coalesce(F.col("d")[text], F.lit("")))
+    own = F.col("own")
     base = F.concat(matches(own, ASSIGN, "assign", 1, 6), matches(own, ACCESS, "access", 0, 20), matches(own, HEX, "hex", 0, 24))
-    df = df.withColumn("__base", _ordered(base)).withColumn("__more", random_spans(own))
-    more = F.filter("__more", lambda x: ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return df.withColumn("__spans", _ordered(F.concat("__base", more))).drop("__own", "__more")
+    df = df.withColumn("base", _ordered(base)).withColumn("more", random_spans(own))
+    more = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return df.select("d", "base", _ordered(F.concat("base", more)).alias("spans"))
 
 
 def _ordered(spans: Column) -> Column:
@@ -192,7 +194,7 @@ def masked(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
     """``docs`` with every span of ``text`` replaced by ``mask``; spans that
     overlap are one.  Other columns, and texts without spans, stay as they are."""
     df = scanned(docs, text)
-    own = F.col(f"`{text}`")
+    own = F.col("d")[text]
 
     def cut(spans):
         def add(acc, x):
@@ -203,17 +205,17 @@ def masked(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
         zero = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<string>").alias("out"))
         return F.aggregate(spans, zero, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(own, a["at"] + 1, F.length(own))))
 
-    return df.withColumn(text, F.when(F.size("__spans") > 0, cut(F.col("__spans"))).otherwise(own)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return flat(df, docs.columns, **{text: F.when(F.size("spans") > 0, cut(F.col("spans"))).otherwise(own)})
 
 
 def report(docs: DataFrame) -> DataFrame:
     df = scanned(docs.select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("__base", lambda x: x["k"] == k)).cast("long")
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return df.select(
-        "doc_id",
+        "d.doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(_said(F.col("__base")), 256).alias("base_sha256"),
-        _said(F.col("__spans")).alias("spans"),
+        F.sha2(_said(F.col("base")), 256).alias("base_sha256"),
+        _said(F.col("spans")).alias("spans"),
     )

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, utf8
+from .common import slices, staged, unused, utf8
 
 #: A-Z become a-z.
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -236,6 +236,7 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, that of the smallest id; columns unchanged.
     Of rows that share that id the one with the smallest text stays."""
-    keys = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("__id"))
-    kept = docs.join(keys.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    name = unused(docs, "__id")
+    keys = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias(name))
+    kept = docs.join(keys.distinct(), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
     return kept.dropDuplicates(["doc_id"])
