@@ -182,7 +182,8 @@ def clips_of_names(names: DataFrame, name: str = "name", only_mp4: bool = True)
 
 
 def listing(spark: SparkSession, path, extensions: tuple[str, ...] = ()) -> DataFrame:
-    """Files with size and time, from the file system's listing: no content is read."""
+    """Files with size and time, from the file system's listing: no content is read.
+    Empty files do not appear, as Spark plans no split for them."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
     df = df.withColumn("name", F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))))
     return df.where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(*extensions)) if extensions else df
