@@ -82,7 +82,7 @@ def update(spark, a):
 
 def dates(spark, a):
     """find-missing, compare: date lists against file names."""
-    wanted = files.items(spark, a.path).select(F.try_to_date("item", F.lit("yyyy-MM-dd")).alias("day")).where("day is not null")
+    wanted = files.items(spark, a.path).select(F.try_to_date("item", "yyyy-MM-dd").alias("day")).where("day is not null")
     there = files.listing(spark, a.files).select(S.name_date("name", a.prefix).alias("day")).where("day is not null")
     if a.action == "compare":
         recon.compare_sets(wanted, there, "day").write.mode("overwrite").parquet(a.out)

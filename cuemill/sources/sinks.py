@@ -19,7 +19,7 @@ def tsv(df: DataFrame, path: str, order: list | None = None) -> None:
 
 def hits_rows(hits: DataFrame) -> DataFrame:
     """The public columns with three decimals."""
-    three = lambda c: F.format_string("%.3f", F.col(c).cast("decimal(18,3)"))
+    three = lambda c: F.col(c).cast("decimal(18,3)").cast("string")
     return hits.select("url", three("start").alias("start"), three("end").alias("end"), S.scrub("label").alias("label"), S.scrub("source_caption").alias("source_caption"), "source_type")
 
 
@@ -62,12 +62,12 @@ def tslog(cues: DataFrame, key: str = "file", gap: float = 10.0, order: str = "s
 
 
 def words_rows(words: DataFrame) -> DataFrame:
-    three = lambda c: F.format_string("%.3f", F.col(c).cast("decimal(18,3)"))
-    return words.select(three("start").alias("start"), three("end").alias("end"), "word", "seg", F.format_string("%.3f", F.col("confidence").cast("decimal(18,3)")).alias("confidence"), F.col("retried").cast("int").alias("retried"))
+    three = lambda c: F.col(c).cast("decimal(18,3)").cast("string")
+    return words.select(three("start").alias("start"), three("end").alias("end"), "word", "seg", three("confidence").alias("confidence"), F.col("retried").cast("int").alias("retried"))
 
 
 def manifest_rows(segments: DataFrame) -> DataFrame:
-    return segments.select("media_file", "segment_idx", F.format_string("%.3f", "start_time").alias("start_time"), F.format_string("%.3f", "end_time").alias("end_time"), F.format_string("%.3f", "confidence").alias("confidence"), S.scrub("text").alias("text"))
+    return segments.select("media_file", "segment_idx", *[F.col(c).cast("decimal(18,3)").cast("string").alias(c) for c in ("start_time", "end_time", "confidence")], S.scrub("text").alias("text"))
 
 
 def split(flagged: DataFrame, flag: str, yes: str, no: str) -> None:

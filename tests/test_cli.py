@@ -43,7 +43,7 @@ def test_filter_update_stitch(spark, tmp_path):
 def test_dates_quality_captions_watch(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
-    (src / "Show january 05, 2024.mp4").write_text("")
+    (src / "Show january 05, 2024.mp4").write_text("x")
     (tmp_path / "dates.txt").write_text("2024-01-05\n2024-01-06\nbad\n")
     main(["dates", str(tmp_path / "dates.txt"), "--files", str(src), "--prefix", "show", "--out", str(tmp_path / "missing")], spark)
     assert [r.date for r in spark.read.options(sep="\t", header=True).csv(str(tmp_path / "missing")).collect()] == ["January 6, 2024"]
