@@ -10,11 +10,11 @@ and three tests ask whether it could be uniform there:
 * the Wald-Wolfowitz number of runs above and below the middle of the alphabet,
 * the lag-1 serial correlation of the positions in the alphabet.
 
-A run that none rejects (Bonferroni over the three) is a candidate.  Its null
-hypothesis is plain text, in which neighbours seldom change between upper case,
-lower case and digits: the Chernoff bound of seeing that many changes in that
-many characters is its p-value, so short runs need relatively more of them.
-Benjamini-Hochberg over the candidates of a document holds the share of false
+Only a run that none rejects (Bonferroni over the three) can be a secret.  Its
+null hypothesis is plain text, in which neighbours seldom change between upper
+case, lower case and digits: the Chernoff bound of seeing that many changes in
+that many characters is its p-value, so short runs need relatively more of them.
+Benjamini-Hochberg over all runs of a document holds the share of false
 discoveries at ``FDR``.
 """
 
@@ -29,10 +29,11 @@ from .quality import let
 # The patterns of the base kinds, in the order of ``KINDS``.
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f]+ that are long enough
 KINDS = ("assign", "access", "hex", "random")
 RUN = r"[A-Za-z0-9+/]{20,}"
 LEAST = 20
+BLOCK = 256  #: matches whose places are summed up in one go
 
 FDR = 1e-4  #: share of false discoveries among a document's random spans
 CHANGE_RATE = 0.08  #: changes of class per pair of neighbours in plain text, at most
@@ -55,8 +56,7 @@ def _fold(values: Column) -> Column:
 
 def upper_tail(z: Column) -> Column:
     """P(Z >= z) of a standard normal, by its logistic approximation."""
-    z = F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))
-    return 1 / (1 + F.exp(F.lit(1.5976) * z + F.lit(0.070566) * z * z * z))
+    return let(F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0)), lambda x: 1 / (1 + F.exp(F.lit(1.5976) * x + F.lit(0.070566) * x * x * x)))
 
 
 def matches(text: Column, pattern: str, kind: str, group: int = 0, least: int = 1) -> Column:
@@ -71,8 +71,23 @@ def matches(text: Column, pattern: str, kind: str, group: int = 0, least: int =
             s = acc["at"] + x["b"]
             return F.struct((s + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + x["m"]).alias("e")))).alias("out"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<s:int,e:int>>").alias("out"))
-        return F.aggregate(lengths, zero, add, lambda a: a["out"])
+        def blocks(lengths):
+            # running sums in blocks: an array that grows by one element copies itself
+            parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+
+            def from_offsets(p):
+                sums = F.transform(p, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y["b"] + y["m"]))
+                offsets = F.aggregate(sums, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+                def out(o):
+                    none = F.expr("array()").cast("array<struct<s:int,e:int>>")
+                    return F.flatten(F.transform(p, lambda x, i: F.aggregate(x, F.struct(F.get(o, i).alias("at"), none.alias("out")), add, lambda a: a["out"])))
+
+                return let(offsets, out)
+
+            return let(parts, from_offsets)
+
+        return let(lengths, blocks)
 
     def kept(found):
         judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
@@ -112,10 +127,14 @@ def _tests(run: Column) -> Column:
                 expected = 2 * high * low / n + 1
                 var = 2 * high * low * (2 * high * low - n) / (n * n * (n - 1))
                 z_runs = F.when(var > 0, F.abs(turns - expected) / F.sqrt(var)).otherwise(40.0)
-                mean = _fold(v) / n
-                spread = _fold(F.transform(v, lambda x: (x - mean) * (x - mean)))
-                joint = _fold(F.transform(pairs, lambda q: (q["x"] - mean) * (q["y"] - mean)))
-                z_serial = F.when(spread > 0, F.abs(joint / spread) * F.sqrt(n)).otherwise(40.0)
+
+
+                def serial(mean):
+                    spread = _fold(F.transform(v, lambda x: (x - mean) * (x - mean)))
+                    joint = _fold(F.transform(pairs, lambda q: (q["x"] - mean) * (q["y"] - mean)))
+                    return F.when(spread > 0, F.abs(joint / spread) * F.sqrt(n)).otherwise(40.0)
+
+                z_serial = let(_fold(v) / n, serial)
                 worst = F.least(upper_tail(z_chi), 2 * upper_tail(z_runs), 2 * upper_tail(z_serial))
                 return 3 * worst >= REJECT
 
@@ -130,7 +149,8 @@ def _tests(run: Column) -> Column:
                 bound = F.exp(-pairs * (share * F.log(share / q) + (1 - share) * F.log((1 - share) / (1 - q))))
                 return F.when(share > q, bound).otherwise(1.0)
 
-            return F.struct(let(v, numbers).alias("uniform"), let(kinds, changes).alias("p"))
+            # the battery is run only where the changes of class could matter
+            return let(let(kinds, changes), lambda p: F.struct((F.when(p <= FDR, let(v, numbers)).otherwise(False)).alias("uniform"), p.alias("p")))
 
         return let(chars, of)
 
@@ -149,7 +169,7 @@ def random_spans(text: Column) -> Column:
 
             def control(able):
                 ps = F.sort_array(F.transform(able, lambda y: y["t"]["p"]))
-                m = F.greatest(F.size(able), F.lit(1))
+                m = F.size(all_)  # the others' p-values are behind these
 
                 def cut(ps):
                     passing = F.filter(F.transform(ps, lambda p, i: F.when(p <= F.lit(FDR) * (i + 1) / m, p)), lambda p: p.isNotNull())

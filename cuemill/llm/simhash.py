@@ -92,7 +92,7 @@ def _postings(distinct: DataFrame) -> DataFrame:
         value = F.lit(k)
         for p in triple:
             value = value * 256 + _byte(p)
-        return value
+        return value.cast("long")
 
     return distinct.select(F.explode(F.array(*[key(k, t) for k, t in enumerate(TRIPLES)])).alias("list"), "fp")
 
@@ -109,7 +109,8 @@ def _finer(postings: DataFrame) -> DataFrame:
     for k in range(1, 8):
         choice = choice.when(which == k, key(TRIPLES[k]))
     # 27 bits of the list, 20 of the pair of bytes, and one that marks the finer kind
-    return postings.select((F.col("list") * (1 << 20) + F.explode(choice) + F.lit(1 << 48)).alias("list"), "fp")
+    finer = postings.select("list", "fp", F.explode(choice).alias("finer"))
+    return finer.select((F.col("list") * F.lit(1 << 20) + F.col("finer") + F.lit(1 << 48)).alias("list"), "fp")
 
 
 def links_of(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +236,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, that of the smallest id; columns unchanged.
-    Of rows that share that id the one with the smallest text stays."""
+    Of rows that share that id one stays.  Rows without an id cannot be told
+    apart by it: they all stay."""
     name = unused(docs, "__id")
-    keys = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias(name))
-    kept = docs.join(keys.distinct(), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    keys = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias(name))
+    kept = docs.join(keys.distinct(), F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -247,7 +247,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     kind = own.schema["id"].dataType.simpleString()
     long = own.where(F.octet_length("text") >= length)
     rows = staged(long.mapInArrow(_anchor_rows(length, gram), f"anchor long, context long, id {kind}, loc long"), "anchors")
-    seen = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
+    # staged, so that the joins below see plain inputs, whose hot keys Spark can split
+    seen = staged(rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1"), "seen")
     same = F.lit(False) if keep_first else F.col("c0") == F.col("c1")
     repeated = rows.join(seen.select("anchor", same.alias("same"), (F.col("n") > hot).alias("hot")), "anchor")
     repeated = staged(repeated, "repeated")
@@ -260,11 +261,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     mixed = repeated.where(~F.col("same"))
     order = F.struct("id", pos.alias("pos"), "loc") if keep_first else F.xxhash64("id", "loc")
     mixed = mixed.withColumn("order", order)
-    classes = mixed.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min("order").alias("first"))
-    mixed = mixed.join(classes, ["anchor", "context"])
-    is_first = F.col("order") == F.col("first")
-    full = mixed.where((F.col("m") > 1) & (~is_first if keep_first else F.lit(True)))
-    single = F.lit(True) if keep_first else F.col("m") == 1
+    classes = mixed.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min("order").alias("first")).where("m > 1")
+    mixed = mixed.join(staged(classes, "classes"), ["anchor", "context"], "left")
+    is_first = F.col("m").isNull() | (F.col("order") == F.col("first"))
+    full = mixed.where(F.col("m").isNotNull() & (~is_first if keep_first else F.lit(True)))
+    single = F.lit(True) if keep_first else F.col("m").isNull()
     wanted = mixed.where(is_first).select("id", th.alias("th"), F.struct("anchor", "loc", single.alias("single"), "hot").alias("want"))
     wanted = wanted.groupBy("id", "th").agg(F.collect_list("want").alias("wants"))
     asked = own.join(wanted.withColumnRenamed("id", "w").withColumnRenamed("th", "v"), F.col("id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("v"))).select("id", "text", "wants")
@@ -273,9 +274,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
         contexts = staged(contexts, "contexts")
         strings = contexts.where("hot").mapInArrow(_strings(length, gram), f"anchor long, string long, id {kind}, loc long, single boolean, r int")
         first = F.min(F.struct("id", pos.alias("pos"), "loc"))
-        often = strings.groupBy("anchor", "string").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
+        often = strings.groupBy("anchor", "string", "r").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
         later = F.struct("id", pos.alias("pos"), "loc") != F.col("first") if keep_first else F.lit(True)
-        found = strings.join(often, ["anchor", "string"]).where(F.col("single") & later)
+        found = strings.join(often, ["anchor", "string", "r"]).where(F.col("single") & later)
         ends = found.groupBy("anchor", "id", "loc").agg(F.min("r").alias("r0"), F.max("r").alias("r1"))
         hot_spans = ends.select("id", th.alias("th"), F.shiftleft(pos - F.col("r1"), 32).bitwiseOR(pos - F.col("r0") + length).alias("span"))
         contexts = contexts.where("not hot")

@@ -27,6 +27,7 @@ ODD = [
     (-7, "a b c d e f a b c d e g a b c d e", "fr", None, 0, None, None, None),
     (-8, "x y " * 3000 + "\n" + "one line\none line\n one line\n\n\n", "en", "t", 0, None, None, None),
     (-9, "# * $ % & | < > ok\x0b\x0cfine\r\nbye", "de", "t", 0, None, None, None),
+    (-10, "token=abcdef1 é " * 700, "en", "t", 0, None, None, None),
     (None, "no id here at all, not even one", "en", "t", 0, None, None, None),
 ]
 
