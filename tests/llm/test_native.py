@@ -144,7 +144,7 @@ def test_mix(docs):
         assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size
         taken[r.source] += r.taken
     for s, t in target.items():
-        assert t - taken[s] >= -1e-6 and t - taken[s] <= max(250, 0.02 * t)
+        assert -1e-6 <= t - taken[s] <= max(250, 0.02 * t)
     again = mixing.mixed(docs.orderBy(F.rand(3))).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
 

@@ -42,13 +42,16 @@ def test_stages(spark, sf):
         assert r[columns.index("n_chars")] == len(r[1])
         assert all("SECRET" in r[1][s:e] for s, _, e, _ in base_spans(r[1]))
     # 5: the mix meets its targets
-    sums, taken = Counter(), Counter()
+    sums, taken, longest = Counter(), Counter(), Counter()
     for r in rows[4]:
-        sums[r[columns.index("source")]] += len(words(r[1]))
+        source = r[columns.index("source")]
+        sums[source] += len(words(r[1]))
+        longest[source] = max(longest[source], len(words(r[1])))
     for r in frames[5].collect():
         assert 1 <= r.copies <= 3 and r.taken == r.copies * len(words(r.text))
         taken[r.source] += r.taken
     target = water(sums)
-    assert all(0 <= target[s] - taken[s] + 1e-6 <= max(400, 0.05 * target[s]) for s in target)
+    # a handful of documents per source: at most the one passed over is missing
+    assert all(0 <= target[s] - taken[s] + 1e-6 <= longest[s] for s in target)
     # and run() does just this
     assert Counter(map(tuple, corpus_pipeline.run(spark, sf).select(*columns, "copies").collect())) == Counter(map(tuple, frames[5].select(*columns, "copies").collect()))
