@@ -16,23 +16,7 @@ _HIT = ("ytid", "idx", "term", "start_ms", "end_ms", "hit_start_ms", "hit_end_ms
 
 def token_lists(spark, sf):
     """The words view as one row per document, tokens nested."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda c, i: F.struct(c.alias("cue"), i.cast("long").alias("seg"))), lambda x: F.trim(x["cue"]) != "")
-
-    def of_line(x):
-        return F.transform(
-            F.array(F.split(F.trim(x["cue"]), r"\s+")),
-            lambda ws: F.transform(
-                ws,
-                lambda w, k: F.struct(
-                    w.alias("word"),
-                    (x["seg"] * 5000 + F.floor(k.cast("long") * 5000 / F.size(ws))).cast("long").alias("start_ms"),
-                    (x["seg"] * 5000 + F.floor((k.cast("long") + 1) * 5000 / F.size(ws))).cast("long").alias("end_ms"),
-                ),
-            ),
-        )[0]
-
-    flat = F.flatten(F.transform(lines, of_line))
-    numbered = F.transform(flat, lambda x, i: F.struct(x["word"].alias("word"), (i + 1).cast("long").alias("idx"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms")))
+    numbered = F.transform(views.token_array(), lambda x, i: F.struct(x["word"].alias("word"), (i + 1).cast("long").alias("idx"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms")))
     return views.table(spark, sf, "documents").select(views.ytid("doc_id").alias("ytid"), "source", numbered.alias("tokens"))
 
 

@@ -32,26 +32,28 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_array(text: str = "text") -> F.Column:
+    """A document's tokens in order, as structs (word, seg, start_ms, end_ms): each
+    line's five seconds spread evenly over its tokens.  A line is split once, its
+    tokens held in a variable."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda c, i: F.struct(c.alias("cue"), i.cast("long").alias("seg"))), lambda x: F.trim(x["cue"]) != "")
+
+    def spread(x):
+        def of(ws):
+            at = lambda k: (x["seg"] * 5000 + F.floor(k.cast("long") * 5000 / F.size(ws))).cast("long")
+            return F.transform(ws, lambda w, k: F.struct(w.alias("word"), x["seg"].alias("seg"), at(k).alias("start_ms"), at(k + 1).alias("end_ms")))
+
+        return F.transform(F.array(F.split(F.trim(x["cue"]), r"\s+")), of)[0]
+
+    return F.flatten(F.transform(lines, spread))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of the cues, spread evenly; ``idx`` from 1.  Lines are laid out
     inside the row, so no shuffle is needed to number them."""
-    d = table(spark, sf_dir, "documents")
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda c, i: F.struct(c.alias("cue"), i.cast("long").alias("seg"))), lambda x: F.trim(x["cue"]) != "")
-    spread = F.flatten(
-        F.transform(
-            lines,
-            lambda x: F.transform(
-                F.split(F.trim(x["cue"]), r"\s+"),
-                lambda w, k: F.struct(w.alias("word"), x["seg"].alias("seg"), k.cast("long").alias("k"), F.size(F.split(F.trim(x["cue"]), r"\s+")).cast("long").alias("n")),
-            ),
-        )
-    )
-    w = d.select("doc_id", "source", F.posexplode(spread).alias("pos", "w"))
-    start = F.col("w.seg") * 5000
+    w = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(token_array()).alias("pos", "w"))
     return w.select(
-        ytid("doc_id").alias("ytid"), "doc_id", "source", (F.col("pos") + 1).cast("long").alias("idx"), F.col("w.word").alias("word"), F.col("w.seg").alias("seg"),
-        (start + F.floor(F.col("w.k") * 5000 / F.col("w.n"))).cast("long").alias("start_ms"),
-        (start + F.floor((F.col("w.k") + 1) * 5000 / F.col("w.n"))).cast("long").alias("end_ms"),
+        ytid("doc_id").alias("ytid"), "doc_id", "source", (F.col("pos") + 1).cast("long").alias("idx"), "w.word", "w.seg", "w.start_ms", "w.end_ms",
         (-((F.col("doc_id") * 31 + F.col("w.seg") * 7) % 200) / F.lit(100.0)).alias("confidence"),
         ((F.col("doc_id") + F.col("w.seg")) % 10 == 0).alias("retried"),
     )
