@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import sample_of, slices, utf8
 from .quality import WORDS
 
 BAD, GOOD, NONE = 0, 1, 2
@@ -192,7 +192,7 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text: str = "text", samp
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     counts = votes(own).groupBy("pattern").count().collect()  # at most 3**len(LABELLERS) rows
     model = LabelModel({r[0]: r[1] for r in counts})
-    seen = own.where(F.col("text").isNotNull()).orderBy(F.xxhash64("text")).limit(sample).select("text")
+    seen = sample_of(own.where(F.col("text").isNotNull()), sample, "doc_id", "text").select("text")
     taught = seen.mapInArrow(_features(spark.sparkContext.broadcast(model.posterior)), "label double, at array<int>, value array<float>")
     scorer = spark.sparkContext.broadcast((model.posterior, *fit([tuple(r) for r in taught.collect()])))
     kind = own.schema["doc_id"].dataType.simpleString()

@@ -82,6 +82,16 @@ def slices(off: np.ndarray, limit: int):
         a = min(b, n)
 
 
+def sample_of(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """At most ``n`` rows of ``df``, those of smallest hash of ``key``: the same in
+    every run.  Rows that cannot be among them are left out before the sort, by a
+    bound from the row count, so that few rows travel."""
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+    total = max(1, df.count())
+    bound = int((1 << 40) * min(1.0, (2 * n + 1000) / total))
+    return df.where(place < bound).orderBy(place, *key).limit(n)
+
+
 def keyed(seed: str, *cols) -> F.Column:
     """A uniform number in (0, 1) from the columns' text, the same in any
     engine that has MD5: the first 13 hex digits plus a half, over 16**13."""
