@@ -14,6 +14,7 @@ every document.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -146,11 +147,11 @@ class LabelModel:
 def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: each distinct word once, each word shape by its share."""
     crc = zlib.crc32
-    words = {w.strip(b".,;:!?\"'()") for w in data.translate(_LOWER).split()}
+    words = {w.strip(b".,;:!?\"'()") for w in set(data.translate(_LOWER).split())}
     shapes: dict[bytes, int] = {}
-    for w in data.translate(_SHAPE).split():
+    for w, c in Counter(data.translate(_SHAPE).split()).items():  # few are different
         key = bytes(dict.fromkeys(w))  # the kinds of characters, in order of first sight
-        shapes[key] = shapes.get(key, 0) + 1
+        shapes[key] = shapes.get(key, 0) + c
     n = max(1, sum(shapes.values()))
     at = [crc(w) % DIMENSIONS for w in words] + [crc(s, 1) % DIMENSIONS for s in shapes]
     scale = 1 / max(1.0, len(words)) ** 0.5
