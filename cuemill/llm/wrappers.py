@@ -10,10 +10,13 @@ one after the other:
 * where tags differ, the shorter way to a common tag is skipped on either side
   and becomes an optional group.
 
-What stays fixed text in the wrapper is the host's furniture and leaves the
-page; what is in slots is content, unless its element's name, class or role says
-that it is a menu, advert, form, comment or the like.  An ``article`` or
-``main`` element, where there is one, bounds the content.
+Every page is matched against its host's wrapper.  What meets fixed text there is
+the host's furniture and leaves the page, inside an ``article`` as well; what
+meets a slot or an optional or repeated group is content, inside an ``article``
+or beside it, unless its element's name, class or role says that it is a menu,
+advert, form, comment or the like, or it is a list of links outside the main
+element.  Only where a host has too few different pages to tell fixed text from
+content does an ``article`` or ``main`` element, where there is one, bound it.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ import html as entities
 import json
 import re
 import zlib
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 6  #: pages of a host that its wrapper is inferred from
-LOOK = 400  #: tokens that an optional group may span
+EVIDENCE = 3  #: different pages from which on equal text is fixed text
 
 # Element names, and words in class, id and role, by what they stand for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -178,90 +182,127 @@ def blocks(html: str) -> tuple[list[Block], list[str]]:
 def folded(stream: list[str]) -> list:
     """Adjacent groups of equal structure as one repeated group: a list whose
     entries are tokens or ("+", tokens)."""
+    return [x for x, _ in _runs(stream)]
+
+
+def _runs(stream: list[str]) -> list[tuple]:
+    """(item, times): the folded stream and how often each group stood there."""
     shape = ["#" if x[0] == "#" else x for x in stream]
+    end: dict[int, int] = {}  # of the element that begins at a place, where it is closed
+    opened: dict[str, list[int]] = {}
+    for k, x in enumerate(shape):
+        if x[0] == "/":
+            if opened.get(x[1:]):
+                end[opened[x[1:]].pop()] = k + 1
+        elif x != "#":
+            opened.setdefault(x.split(".")[0], []).append(k)
     out: list = []
     i = 0
     while i < len(stream):
-        best = None
-        if shape[i][0] not in "/#":
-            name, depth = shape[i].split(".")[0], 0
-            for j in range(i, min(len(stream), i + 60)):  # the element that begins here
-                depth += (shape[j].split(".")[0] == name) - (shape[j] == f"/{name}")
-                if depth == 0:
-                    best = j + 1 - i
-                    break
-        if best and shape[i : i + best] == shape[i + best : i + 2 * best]:
-            k = i + best
-            group = list(stream[i:k])
+        k = end.get(i)
+        best = k - i if k else 0
+        if best and shape[i:k] == shape[k : k + best]:
+            group, times = list(stream[i:k]), 1
             while shape[k : k + best] == shape[i : i + best]:
                 group = [a if a == b else "#" for a, b in zip(group, stream[k : k + best])]
                 k += best
-            out.append(("+", group))
+                times += 1
+            out.append((("+", group), times))
             i = k
         else:
-            out.append(stream[i])
+            out.append((stream[i], 1))
             i += 1
     return out
 
 
 def _kind(x) -> str:
     if isinstance(x, tuple):
-        return x[0] + " ".join("#" if t[0] == "#" else t for t in _flat(x[1]))
+        return x[0] + " ".join("#" if t[0] == "#" else t for t in x[1])
     return "#" if x[0] == "#" else x
 
 
-def _flat(items) -> list[str]:
-    return [t for x in items for t in (_flat(x[1]) if isinstance(x, tuple) else [x])]
+def spread(wrapper: list) -> list[tuple]:
+    """(item, optional) with the optional groups opened."""
+    return [(y, z) for x in wrapper for y, z in ([(v, True) for v in x[1]] if x[0] == "?" else [(x, False)])]
 
 
-def align(wrapper: list, page: list) -> list:
-    """The least general wrapper that also reads ``page``, by one pass."""
+def gathered(items: list[tuple]) -> list:
+    """The other way round: neighbours that are optional become one group."""
     out: list = []
+    for x, optional in items:
+        if not optional:
+            out.append(x)
+        elif out and out[-1][0] == "?":
+            out[-1][1].append(x)
+        else:
+            out.append(("?", [x]))
+    return out
+
+
+class Places:
+    """The kinds of a list of items, and where the next of a kind is."""
+
+    def __init__(self, items: list):
+        self.kinds = [_kind(x) for x in items]
+        self.parts = [tuple(map(_kind, x[1])) if isinstance(x, tuple) else () for x in items]
+        self.at: dict[str, list[int]] = {}
+        for k, x in enumerate(self.kinds):
+            self.at.setdefault(x, []).append(k)
+
+    def next(self, kind: str, start: int) -> int:
+        at = self.at.get(kind, ())
+        k = bisect_left(at, start)
+        return at[k] if k < len(at) else -1
+
+    def once(self, part: tuple, start: int) -> bool:
+        return tuple(self.kinds[start : start + len(part)]) == part
+
+
+def walk(a: Places, b: Places):
+    """Places (i, n, j, m) of items of ``a`` and ``b`` that stand for each other,
+    in order, by one pass: n items of ``a`` from i on and m of ``b`` from j on; n
+    and m are 1 but where a repeated group meets a single occurrence.  Where
+    kinds differ, the shorter way to a common one is skipped, however long."""
     i = j = 0
-    while i < len(wrapper) and j < len(page):
-        a, b = wrapper[i], page[j]
-        if isinstance(a, tuple) and a[0] == "?" and (len(a[1]) != 1 or _kind(a[1][0]) != _kind(b)):
-            if [_kind(x) for x in a[1]] == [_kind(x) for x in page[j : j + len(a[1])]]:
-                out.append(("?", [_join(x, y) for x, y in zip(a[1], page[j:])]))
-                j += len(a[1])
-            else:
-                out.append(a)
-            i += 1
-        elif isinstance(a, tuple) and a[0] == "?":
-            out.append(("?", [_join(a[1][0], b)]))
+    while i < len(a.kinds) and j < len(b.kinds):
+        x, y = a.kinds[i], b.kinds[j]
+        if x == y:
+            yield i, 1, j, 1
             i, j = i + 1, j + 1
-        elif _kind(a) == _kind(b):
-            out.append(_join(a, b))
-            i, j = i + 1, j + 1
-        elif isinstance(a, tuple) and a[0] == "+" and _once(a, page, j):
-            out.append(("+", [_join(x, y) for x, y in zip(a[1], page[j:])]))
-            i, j = i + 1, j + len(a[1])
-        elif isinstance(b, tuple) and b[0] == "+" and _once(b, wrapper, i):
-            out.append(("+", [_join(x, y) for x, y in zip(wrapper[i:], b[1])]))
-            i, j = i + len(b[1]), j + 1
+        elif a.parts[i] and b.once(a.parts[i], j):
+            yield i, 1, j, len(a.parts[i])
+            i, j = i + 1, j + len(a.parts[i])
+        elif b.parts[j] and a.once(b.parts[j], i):
+            yield i, len(b.parts[j]), j, 1
+            i, j = i + len(b.parts[j]), j + 1
         else:
-            for reach in range(1, LOOK):  # the shorter way to a common token
-                if j + reach < len(page) and _kind(page[j + reach]) == _kind(a):
-                    out.append(("?", page[j : j + reach]))
-                    j += reach
-                    break
-                if i + reach < len(wrapper) and _kind(wrapper[i + reach]) == _kind(b):
-                    out.append(("?", wrapper[i : i + reach]))
-                    i += reach
-                    break
-            else:
-                out += [("?", [a]), ("?", [b])]
+            k, m = b.next(x, j), a.next(y, i)
+            if k < 0 and m < 0:
                 i, j = i + 1, j + 1
-    if i < len(wrapper):
-        out.append(("?", wrapper[i:]))
-    if j < len(page):
-        out.append(("?", page[j:]))
-    return out
+            elif m < 0 or (k >= 0 and k - j <= m - i):
+                j = k
+            else:
+                i = m
 
 
-def _once(group, items, at: int) -> bool:
-    part = items[at : at + len(group[1])]
-    return len(part) == len(group[1]) and all(_kind(x) == _kind(y) for x, y in zip(group[1], part))
+def align(wrapper: list, page: list) -> list:
+    """The wrapper that reads what either of two wrappers (a folded page is one) reads."""
+    a, b = spread(wrapper), spread(page)
+    left, right = [x for x, _ in a], [x for x, _ in b]
+    out: list = []
+    at = to = 0
+    for i, n, j, m in walk(Places(left), Places(right)):
+        out += [(x, True) for x, _ in a[at:i]] + [(x, True) for x, _ in b[to:j]]
+        optional = any(o for _, o in a[i : i + n]) or any(o for _, o in b[j : j + m])
+        if n == m == 1:
+            out.append((_join(left[i], right[j]), optional))
+        elif n == 1:
+            out.append((("+", [_join(x, y) for x, y in zip(left[i][1], right[j : j + m])]), optional))
+        else:
+            out.append((("+", [_join(x, y) for x, y in zip(left[i : i + n], right[j][1])]), optional))
+        at, to = i + n, j + m
+    out += [(x, True) for x, _ in a[at:]] + [(x, True) for x, _ in b[to:]]
+    return gathered(out)
 
 
 def _join(a, b):
@@ -281,12 +322,52 @@ def fixed(wrapper: list, optional: bool = False) -> set[str]:
     return out
 
 
+class Matcher:
+    """A host's wrapper, to tell the fixed texts of its pages by place."""
+
+    def __init__(self, wrapper: list):
+        self.items = [(x, optional) for x, optional in spread(wrapper)]
+        self.places = Places([x for x, _ in self.items])
+
+    def furniture(self, stream: list[str]) -> list[bool]:
+        """Of each text of a page's stream, whether it meets equal fixed text
+        that is on every page."""
+        runs = _runs(stream)
+        page = [x for x, _ in runs]
+        known: list = [None] * len(page)  # the wrapper's tokens under each item, if it is no optional one
+        for i, n, j, m in walk(self.places, Places(page)):
+            if any(o for _, o in self.items[i : i + n]):
+                continue
+            under = [x for x, _ in self.items[i : i + n]]
+            if n == 1 and isinstance(under[0], tuple):
+                under = under[0][1]
+            if m == 1:
+                known[j] = under
+            else:
+                known[j : j + m] = [[x] for x in under]
+        out: list[bool] = []
+        at = 0
+        for (x, times), under in zip(runs, known):
+            size = len(x[1]) if isinstance(x, tuple) else 1
+            for k in range(size * times):
+                token = stream[at + k]
+                if token[0] == "#":
+                    out.append(under is not None and under[k % size] == token)
+            at += size * times
+        return out
+
+
 def expression(items: list) -> str:
     """A wrapper as text."""
     say = lambda x: f"({expression(x[1])}){x[0]}" if isinstance(x, tuple) else "#text" if x == "#" else "'" + x[1:] + "'" if x[0] == "#" else f"<{x}>"
     return " ".join(map(say, items))
 
 
+def loaded(items: list) -> list:
+    """A wrapper from its JSON, where groups are lists."""
+    return [(x[0], loaded(x[1])) if isinstance(x, list) else x for x in items]
+
+
 def infer(streams: list[list[str]]) -> list:
     wrapper: list = []
     for k, stream in enumerate(streams):
@@ -295,20 +376,27 @@ def infer(streams: list[list[str]]) -> list:
     return wrapper
 
 
-def extract(html: str | None, constant: frozenset | set = frozenset()) -> str:
-    """The main text of a page; ``constant``: the fixed texts of its host."""
+def extract(html: str | None, constant: frozenset | set = frozenset(), wrapper: Matcher | None = None) -> str:
+    """The main text of a page.  ``wrapper``: that of its host, which tells
+    furniture by place; without one, ``constant`` are the host's fixed texts and
+    an article bounds the content."""
     if not html:
         return ""
-    found, _ = blocks(html)
-    kept = [b for b in found if b.main and not b.drop]
-    if not kept:
+    found, stream = blocks(html)
+    if wrapper:
+        fix = wrapper.furniture(stream)
+        kept = [b for b, out in zip(found, fix) if not (b.drop or out) and (b.main or not b.linked)]
+    else:
+        kept = [b for b in found if b.main and not b.drop]
+    if not kept and not wrapper:
         kept = [b for b in found if not b.drop and not b.linked and f"#{zlib.crc32(b.text.encode()):08x}" not in constant]
     return "\n".join(b.text for b in kept)
 
 
 def wrappers(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, n_pages, expression, fixed) for every host: its wrapper as text and
-    the texts that are furniture.  Of each host the ``sample`` pages of smallest
+    """(host, n_pages, expression, fixed, wrapper) for every host: its wrapper as
+    text, the texts that are furniture, and the wrapper as JSON if there are
+    pages enough to tell fixed text (else null).  Of each host the ``sample`` pages of smallest
     hash are aligned; map tasks pass on no more than that of any host."""
     own = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
 
@@ -329,8 +417,12 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
         def done():
             different = list(dict.fromkeys(streams))
             w = infer([json.loads(x) for x in different])
-            known = sorted(fixed(w)) if len(different) > 2 else []
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([len(streams)], pa.int64()), pa.array([expression(w)], pa.string()), pa.array([known], pa.list_(pa.string()))], names=["host", "n_pages", "expression", "fixed"])
+            enough = len(different) >= EVIDENCE
+            known = sorted(fixed(w)) if enough else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name], pa.string()), pa.array([len(streams)], pa.int64()), pa.array([expression(w)], pa.string()), pa.array([known], pa.list_(pa.string())), pa.array([json.dumps(w) if enough else None], pa.string())],
+                names=["host", "n_pages", "expression", "fixed", "wrapper"],
+            )
 
         for batch in batches:
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -342,7 +434,7 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
         if streams:
             yield done()
 
-    return few.repartition("host").sortWithinPartitions("host", "tokens").mapInArrow(learn, "host string, n_pages long, expression string, fixed array<string>")
+    return few.repartition("host").sortWithinPartitions("host", "tokens").mapInArrow(learn, "host string, n_pages long, expression string, fixed array<string>, wrapper string")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -350,15 +442,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
     with empty text; pages without a host share the host ''; repeated rows and
     pages give equal texts; other columns are ignored."""
     kind = pages.schema[id_col].dataType.simpleString()
-    known = wrappers(pages, id_col, url, html).select(F.col("host").alias("h"), F.to_json("fixed").alias("fixed"))
+    known = wrappers(pages, id_col, url, html).select(F.col("host").alias("h"), "wrapper")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     pattern = r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
     own = own.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", pattern, 1), F.lit(""))))
-    joined = own.join(known, own.host == known.h, "left").select("page_id", "url", "html", "fixed")
+    joined = own.join(known, own.host == known.h, "left").select("page_id", "url", "html", "wrapper")
 
     def read(batches):
         for batch in batches:
-            texts = [extract(x, frozenset(json.loads(k)) if k else frozenset()) for x, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            of = batch.column(3).dictionary_encode()
+            host_ = [Matcher(loaded(json.loads(w))) for w in of.dictionary.to_pylist()]
+            texts = [extract(x, wrapper=None if k is None else host_[k]) for x, k in zip(batch.column(2).to_pylist(), of.indices.to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
