@@ -10,6 +10,8 @@ document before anything is shuffled.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,7 @@ NOTICES = {
     "CC0-1.0": ["Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
 }
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 TEXTS = {
     "MIT": """MIT License
 
@@ -49,9 +52,33 @@ Copyright (c) <year> <holders>
 Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "Unlicense": """This is free and unencumbered software released into the public domain.
+    "BSD-3-Clause": """BSD 3-Clause License
+
+Copyright (c) <year>, <holders>
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 
-Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+"""
+    + _BSD,
+    "BSD-2-Clause": """BSD 2-Clause License
+
+Copyright (c) <year>, <holders>
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+"""
+    + _BSD,
+    **{x.stem: x.read_text("utf-8") for x in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))},  # as published
 }
 
 # Spellings that count as one, longest first.
@@ -64,10 +91,30 @@ SPELLINGS = [
     ("licenced", "licensed"),
     ("organisation", "organization"),
     ("version 2.0", "version 2"),
+    ("version\n2.0", "version 2"),
     ("https:", "http:"),
     ("(c)", "©"),
 ]
-_COPYRIGHT = r"^[\s#*/;>-]*(copyright\b.*|©.*|\(c\)\s.*|all rights reserved\.?\s*)$"
+# Words after which "copyright" goes on as a sentence, not as a notice.
+_SENTENCE = "a above all and any are as but by can claim claims disclaimer doctrine doctrines for from has holder holders if in infringement interest interests is it its law laws license licensed licenses licensor may must not notice notices of on or owned owner owners ownership patent permission policy protected protection right rights shall statement statements such term terms that the their this to treaties treaty under will with within work works you your".split()
+
+
+def _none_of(words: list[str], first: bool = True) -> str:
+    """A pattern for one word that is none of ``words``, without look-ahead."""
+    firsts = sorted({w[0] for w in words if w})
+    ways = [rf"[^{''.join(firsts)}\s.,;:)'-][^\s]*"] + [x + _none_of([w[1:] for w in words if w and w[0] == x], False) for x in firsts]
+    if not first and "" not in words:
+        ways.append("")
+    return f"(?:{'|'.join(ways)})"
+
+
+# A notice has a sign, a year (or the place for it) or a holder; lines are in lower case.
+_YEAR = r"[\[<{(]*(?:\d{4}|y{2,4}\b|year\b)"
+_NAMES = rf"{_none_of(_SENTENCE)}(?:[.,;:)'-]\S*)?(?:\s+\S+){{0,5}}?"
+_GROUP = r"the\s.*\b(?:authors|contributors|developers|foundation|university|project|team|maintainers|regents)\b"
+_HOLDER = rf"(?:by\s+)?(?:{_GROUP}|[^\s].*\b(?:inc|llc|ltd|gmbh|corp|corporation)\b|{_NAMES})"
+_RESERVED = r"(?:[.,;\s]*all rights reserved)?[.\s]*"
+_COPYRIGHT = rf"^[\s#*/;>-]*(?:copyright[\s:,]*(?:\(c\)|©).*|copyright[\s:,]*{_YEAR}.*|©.*|\(c\)\s*(?:copyright\b|{_YEAR}).*|(?:copyright[\s:,]|\(c\))\s*{_HOLDER}{_RESERVED}|all rights reserved\.?\s*)$"
 
 
 def canonical(text: Column) -> Column:
