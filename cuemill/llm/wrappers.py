@@ -2,8 +2,8 @@
 
 A wrapper is a union-free regular expression over a host's pages: tags, fixed
 text, text slots, optional groups ``( )?`` and repeated groups ``( )+``.  It is
-inferred by aligning the token streams of a bounded sample of the host's pages
-one after the other:
+inferred by aligning the token streams of all of the host's different pages,
+those of equal structure first:
 
 * inside a page, adjacent groups of equal structure become one repeated group;
 * different texts at one place become a slot;
@@ -21,7 +21,9 @@ content does an ``article`` or ``main`` element, where there is one, bound it.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import itertools
 import json
 import re
 import zlib
@@ -31,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 6  #: pages of a host that its wrapper is inferred from
+DEALS = 16  #: parts of a host's structures that are aligned apart before they are joined
+HELD = 20_000  #: structures that a task holds before it passes them on
 EVIDENCE = 3  #: different pages from which on equal text is fixed text
 
 # Element names, and words in class, id and role, by what they stand for.
@@ -393,48 +396,85 @@ def extract(html: str | None, constant: frozenset | set = frozenset(), wrapper:
     return "\n".join(b.text for b in kept)
 
 
-def wrappers(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, n_pages, expression, fixed, wrapper) for every host: its wrapper as
-    text, the texts that are furniture, and the wrapper as JSON if there are
-    pages enough to tell fixed text (else null).  Of each host the ``sample`` pages of smallest
-    hash are aligned; map tasks pass on no more than that of any host."""
-    own = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
+def _merged(a: list, b: list) -> list:
+    """Two folded pages of one structure."""
+    return [_join(x, y) for x, y in zip(a, b)]
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"n": pa.int64(), "deal": pa.int64(), "fixed": pa.list_(pa.string())}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.get(x, pa.string())) for k, x in enumerate(names)], names=names)
+
+
+def wrappers(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(host, n_pages, expression, fixed, wrapper) for every host: how many
+    different pages it has, its wrapper as text, the texts that are furniture,
+    and the wrapper as JSON if there are pages enough to tell fixed text (else
+    null).  Copies of a page and pages without tokens teach nothing.  Pages of one
+    structure are joined place by place where they are read; then each of ``DEALS``
+    parts of a host's structures is aligned, and the parts with one another.  All
+    in an order of their own, so the wrapper does not depend on how pages lie."""
+    own = pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
 
     def tokens(batches):
         for batch in batches:
-            hosts = [host(x) for x in batch.column(1).to_pylist()]
-            streams = [json.dumps(blocks(x)[1]) if x else "[]" for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), batch.column(0), pa.array(streams, pa.string())], names=["host", "id", "tokens"])
-
-    listed = own.mapInArrow(tokens, "host string, id string, tokens string")
-    # copies of one stream teach nothing: each counts once
-    order = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("tokens"), "id"))
-    few = listed.withColumn("order", order).where(F.col("order") <= sample).select("host", "tokens")
-
-    def learn(batches):
-        name, streams = None, []
-
-        def done():
-            different = list(dict.fromkeys(streams))
-            w = infer([json.loads(x) for x in different])
-            enough = len(different) >= EVIDENCE
-            known = sorted(fixed(w)) if enough else []
-            return pa.RecordBatch.from_arrays(
-                [pa.array([name], pa.string()), pa.array([len(streams)], pa.int64()), pa.array([expression(w)], pa.string()), pa.array([known], pa.list_(pa.string())), pa.array([json.dumps(w) if enough else None], pa.string())],
-                names=["host", "n_pages", "expression", "fixed", "wrapper"],
-            )
+            rows = []
+            for u, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                stream = blocks(x)[1] if x else []
+                if stream:
+                    items = folded(stream)
+                    key = hashlib.blake2b(" ".join(stream).encode(), digest_size=16).hexdigest()
+                    shape = hashlib.blake2b(" ".join(map(_kind, items)).encode(), digest_size=16).hexdigest()
+                    rows.append((host(u), key, shape, json.dumps(items)))
+            yield _batch(rows, ["host", "key", "shape", "items"])
+
+    listed = own.mapInArrow(tokens, "host string, key string, shape string, items string").dropDuplicates(["host", "key"])
+
+    def shapes(batches):
+        held: dict = {}
+
+        def out():
+            return _batch([(h, int(s[:8], 16) % DEALS, s, n, json.dumps(w)) for (h, s), (n, w) in held.items()], ["host", "deal", "shape", "n", "items"])
 
         for batch in batches:
-            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if h != name and streams:
-                    yield done()
-                    streams = []
-                name = h
-                streams.append(t)
-        if streams:
-            yield done()
-
-    return few.repartition("host").sortWithinPartitions("host", "tokens").mapInArrow(learn, "host string, n_pages long, expression string, fixed array<string>, wrapper string")
+            for h, s, x in zip(*(batch.column(c).to_pylist() for c in ("host", "shape", "items"))):
+                n, w = held.get((h, s), (0, None))
+                x = loaded(json.loads(x))
+                held[h, s] = (n + 1, _merged(w, x) if w else x)
+            if len(held) > HELD:
+                yield out()
+                held.clear()
+        yield out()
+
+    def grouped(batches, width):
+        """(key, rows) of neighbours whose first ``width`` columns are equal."""
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        return itertools.groupby(rows, key=lambda r: r[:width])
+
+    def deals(batches):
+        for (h, d), rows in grouped(batches, 2):
+            total, wrapper = 0, None
+            for _, same in itertools.groupby(rows, key=lambda r: r[2]):
+                one = None
+                for r in same:
+                    x = loaded(json.loads(r[4]))
+                    total, one = total + r[3], _merged(one, x) if one else x
+                wrapper = align(wrapper, one) if wrapper else one
+            yield _batch([(h, d, total, json.dumps(wrapper))], ["host", "deal", "n", "items"])
+
+    def hosts(batches):
+        for (h,), rows in grouped(batches, 1):
+            total, wrapper = 0, None
+            for r in rows:
+                x = loaded(json.loads(r[3]))
+                total, wrapper = total + r[2], align(wrapper, x) if wrapper else x
+            enough = total >= EVIDENCE
+            yield _batch([(h, total, expression(wrapper), sorted(fixed(wrapper)) if enough else [], json.dumps(wrapper) if enough else None)], ["host", "n", "expression", "fixed", "wrapper"])
+
+    df = listed.mapInArrow(shapes, "host string, deal long, shape string, n long, items string")
+    df = df.repartition("host", "deal").sortWithinPartitions("host", "deal", "shape").mapInArrow(deals, "host string, deal long, n long, items string")
+    df = df.repartition("host").sortWithinPartitions("host", "deal").mapInArrow(hosts, "host string, n long, expression string, fixed array<string>, wrapper string")
+    return df.withColumnRenamed("n", "n_pages")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

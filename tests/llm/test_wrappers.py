@@ -34,3 +34,22 @@ def test_long_groups_and_long_optional_ones():
     long = [y for k in range(200) for y in (f"p.c{k}", "#1", "/p")]
     wrapper = wrappers.infer([["div", "#a", "/div", "h6", "#b", "/h6"], ["div", "#a", "/div", *long, "h6", "#b", "/h6"]])
     assert wrappers.fixed(wrapper) == {"#a", "#b"} and wrappers.Matcher(wrapper).furniture(["div", "#a", "/div", "h6", "#b", "/h6"]) == [True, True]
+
+
+def test_copies_and_empty_pages_teach_nothing(spark):
+    """Of each host the copies, null and empty pages do not hide what is fixed."""
+    page = "<body><div>Site name</div><div class='x'><p>text {k} of the page</p></div></body>"
+    pages = [page.format(k=0)] * 40 + [page.format(k=k) for k in range(1, 5)] + [None, "", "<!-- -->"] * 5
+    got = texts(spark, pages)
+    assert {got[k] for k in range(40)} == {"text 0 of the page"} and all(got[40 + k] == f"text {k + 1} of the page" for k in range(4))
+    assert all(got[k] == "" for k in range(44, len(pages)))
+
+
+def test_wrapper_reads_all_pages_alike(spark):
+    """Text that all but one of many pages share is not fixed, however pages lie."""
+    page = "<body><div>Site name</div><section>{same}</section><p>text {k}</p>{more}</body>"
+    rows = [(k, "http://h/", page.format(k=k, same="other" if k == 77 else "same", more="<table><tr><td>x</td></tr></table>" * (k % 3))) for k in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = ([tuple(r) for r in wrappers.wrappers(df.repartition(n)).collect()] for n in (1, 7))
+    assert one == many and one[0][1] == 90
+    assert {r.page_id for r in wrappers.report(df).collect() if "Site name" in r.text or ("same" in r.text) == (r.page_id == 77)} == set()
