@@ -51,31 +51,44 @@ FROM far"""
 
 
 def mixing_sql(seed: str = "mix") -> str:
+    key = "struct_pack(rank := {0}.rank, id := {0}.id, size := {0}.size)"
+    own = "struct_pack(size := {0}.size, rank := {0}.rank, id := {0}.id)"
     rounds, last = [], "start"
     for k in range(mixing.ROUNDS):
         rounds.append(
-            f"""open{k} AS (SELECT d.source, d.rank, d.id, d.size, gap, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank, d.id, d.size RANGE UNBOUNDED PRECEDING) AS run
-  FROM ranked d JOIN {last} g ON g.source IS NOT DISTINCT FROM d.source WHERE p > 0 AND d.size <= gap AND (after IS NULL OR (d.rank, d.id, d.size) > after)),
-stop{k} AS (SELECT source, arg_min((rank, id, size), (rank, id, size)) FILTER (WHERE run > gap) AS stop, coalesce(max(run) FILTER (WHERE run <= gap), 0) AS got FROM open{k} GROUP BY source),
+            f"""open{k} AS (SELECT d.source, {key.format('d')} AS key, gap, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank, d.id, d.size RANGE UNBOUNDED PRECEDING) AS run
+  FROM ranked d JOIN {last} g ON g.source IS NOT DISTINCT FROM d.source WHERE p > 0 AND d.size > 0 AND d.size <= gap AND (after IS NULL OR {key.format('d')} > after)),
+stop{k} AS (SELECT source, min(key) FILTER (WHERE run > gap) AS stop, coalesce(max(run) FILTER (WHERE run <= gap), 0) AS got FROM open{k} GROUP BY source),
 fill{k} AS (SELECT g.source, g.after AS a, s.stop AS b, g.gap AS size_limit FROM {last} g LEFT JOIN stop{k} s ON s.source IS NOT DISTINCT FROM g.source),
-next{k} AS (SELECT g.source, CASE WHEN s.stop IS NULL THEN -1 ELSE g.gap - s.got END AS gap, coalesce(s.stop, g.after) AS after FROM {last} g LEFT JOIN stop{k} s ON s.source IS NOT DISTINCT FROM g.source)"""
+next{k} AS (SELECT g.source, g.gap - coalesce(s.got, 0) AS gap, coalesce(s.stop, struct_pack(rank := 'infinity'::DOUBLE, id := NULL::BIGINT, size := NULL::BIGINT)) AS after FROM {last} g LEFT JOIN stop{k} s ON s.source IS NOT DISTINCT FROM g.source)"""
         )
         last = f"next{k}"
-    taken = " OR ".join(f"EXISTS (SELECT 1 FROM fill{k} f WHERE f.source IS NOT DISTINCT FROM r.source AND r.size <= f.size_limit AND (f.a IS NULL OR (r.rank, r.id, r.size) > f.a) AND (f.b IS NULL OR (r.rank, r.id, r.size) < f.b))" for k in range(mixing.ROUNDS))
+    taken = " OR ".join(f"EXISTS (SELECT 1 FROM fill{k} f WHERE f.source IS NOT DISTINCT FROM r.source AND r.size <= f.size_limit AND (f.a IS NULL OR {key.format('r')} > f.a) AND (f.b IS NULL OR {key.format('r')} < f.b))" for k in range(mixing.ROUNDS))
     weights = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(mixing.WEIGHTS))
-    return f"""WITH docs AS (SELECT doc_id AS id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
-sums AS (SELECT source, sum(size)::BIGINT AS s FROM docs GROUP BY source),
+    return f"""WITH docs AS (SELECT doc_id AS id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+  (('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
+classes AS (SELECT source, length(bin(size)) AS digits, sum(size)::BIGINT AS words FROM docs GROUP BY ALL),
+sums AS (SELECT source, sum(words)::BIGINT AS s FROM classes GROUP BY source),
 w AS (SELECT *, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} {weights} END)::DOUBLE AS weight, s * {float(mixing.MOST)}::DOUBLE AS lim FROM sums),
 lv AS (SELECT *, (sum(s) OVER () - coalesce(sum(lim) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS lvl, row_number() OVER (ORDER BY lim / weight, source NULLS LAST) AS rk
   FROM w WINDOW b AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 fin AS (SELECT source, s, coalesce(least(lim, (SELECT arg_min(lvl, rk) FROM lv WHERE lim / weight >= lvl) * weight), lim) AS target FROM lv),
 plan AS (SELECT *, CASE WHEN s > 0 THEN least(floor(target / s), {mixing.MOST}) ELSE 0 END::BIGINT AS certain FROM fin),
-part AS (SELECT *, greatest(target - certain * s, 0) AS gap0, CASE WHEN s > 0 THEN greatest(target - certain * s, 0) / s ELSE 0 END AS p FROM plan),
-ranked AS (SELECT d.id, d.source, d.size, s, target, certain, p, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) ELSE u END AS rank
-  FROM (SELECT *, (('0x' || substr(md5('{seed}|' || coalesce(id::VARCHAR, '') || '|' || size), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM docs) d JOIN part ON part.source IS NOT DISTINCT FROM d.source),
+part AS (SELECT *, greatest(target - certain * s, 0::DOUBLE) AS gap0 FROM plan),
+level AS (SELECT c.source, digits, (gap0 - coalesce(sum(words) OVER b, 0)::DOUBLE) / (sum(words * digits) OVER (PARTITION BY c.source) - coalesce(sum(words * digits) OVER b, 0))::DOUBLE AS level
+  FROM classes c JOIN part ON part.source IS NOT DISTINCT FROM c.source WHERE gap0 > 0 AND words > 0 WINDOW b AS (PARTITION BY c.source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rate AS (SELECT source, coalesce(arg_max(level, digits) FILTER (WHERE level * digits <= 1), 1.0::DOUBLE) AS c FROM level GROUP BY source),
+odds AS (SELECT d.id, d.source, d.size, d.u, coalesce(least(1.0::DOUBLE, c * length(bin(d.size))), 0) * (EXISTS (SELECT 1 FROM level l WHERE l.source IS NOT DISTINCT FROM d.source AND l.digits = length(bin(d.size))))::INT AS p
+  FROM docs d LEFT JOIN rate ON rate.source IS NOT DISTINCT FROM d.source),
+ranked AS (SELECT o.id, o.source, o.size, o.p, s, target, certain, CASE WHEN p >= 1 THEN 0 WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM odds o JOIN part ON part.source IS NOT DISTINCT FROM o.source),
 start AS (SELECT source, gap0 AS gap, NULL::STRUCT(rank DOUBLE, id BIGINT, size BIGINT) AS after FROM part),
-{', '.join(rounds)}
-SELECT id AS doc_id, size, s AS source_size, target, copies * size AS taken, copies FROM (SELECT r.*, (certain + CASE WHEN p > 0 AND ({taken}) THEN 1 ELSE 0 END)::BIGINT AS copies FROM ranked r) r""".replace("(d.rank, d.id, d.size)", "struct_pack(rank := d.rank, id := d.id, size := d.size)").replace("(r.rank, r.id, r.size)", "struct_pack(rank := r.rank, id := r.id, size := r.size)").replace("(rank, id, size)", "struct_pack(rank := rank, id := id, size := size)")
+{', '.join(rounds)},
+drawn AS (SELECT r.*, (certain + CASE WHEN p > 0 AND size > 0 AND ({taken}) THEN 1 ELSE 0 END)::BIGINT AS n FROM ranked r),
+short AS (SELECT d.source, {own.format('d')} AS own, d.size, gap, sum(d.size * ({mixing.MOST} - n)) OVER (PARTITION BY d.source ORDER BY d.size, d.rank, d.id RANGE UNBOUNDED PRECEDING) AS run
+  FROM drawn d JOIN {last} g ON g.source IS NOT DISTINCT FROM d.source WHERE n < {mixing.MOST} AND d.size > 0 AND d.size <= gap),
+top AS (SELECT source, any_value(gap) AS gap, min(own) FILTER (WHERE run > gap) AS stop, coalesce(max(run) FILTER (WHERE run <= gap), 0) AS got FROM short GROUP BY source)
+SELECT d.id AS doc_id, d.size, d.s AS source_size, d.target, copies * d.size AS taken, copies FROM (SELECT d.*, (CASE WHEN t.source IS NOT DISTINCT FROM d.source AND t.gap IS NOT NULL AND d.size > 0 AND d.size <= t.gap AND (t.stop IS NULL OR {own.format('d')} < t.stop) THEN {mixing.MOST}
+  WHEN t.gap IS NOT NULL AND {own.format('d')} = t.stop THEN n + floor((t.gap - t.got) / d.size) ELSE n END)::BIGINT AS copies FROM drawn d LEFT JOIN top t ON t.source IS NOT DISTINCT FROM d.source) d"""
 
 
 def decontamination_sql(window: int = 10) -> str:

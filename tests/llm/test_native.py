@@ -129,6 +129,15 @@ def water(sizes, weights=(1, 2, 3)):
     return target
 
 
+def reachable(sizes, target):
+    """The greatest sum of at most 3 copies of each size that is not above target."""
+    bits = 1
+    for n in sizes:
+        for _ in range(3):
+            bits |= bits << n
+    return (bits & ((1 << int(target) + 1) - 1)).bit_length() - 1
+
+
 def test_mix(docs):
     rows = mixing.mixed(docs).collect()
     texts = docs.select("doc_id", "source", "text").collect()
@@ -143,8 +152,15 @@ def test_mix(docs):
         assert abs(r.target - target[r.source]) < 1e-6 * max(1, target[r.source])
         assert 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size
         taken[r.source] += r.taken
+    own, sizes = {s: [] for s in target}, {s: [] for s in target}
+    for r in rows:
+        own[r.source] += [r.size] if 0 < r.size and r.copies < 3 else []
+        sizes[r.source].append(r.size)
     for s, t in target.items():
-        assert -1e-6 <= t - taken[s] <= max(250, 0.02 * t)
+        assert -1e-6 <= t - taken[s]
+        assert not own[s] or t - taken[s] < min(own[s])  # no further copy of any document fits
+        # source "t" has documents of 6006, 1400, 11, 8, 6 and 6 words and a target of 2057: no choice of copies reaches the bound
+        assert t - taken[s] <= max(250, 0.02 * t) or taken[s] == reachable(sizes[s], t)
     again = mixing.mixed(docs.orderBy(F.rand(3))).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
 
@@ -168,3 +184,34 @@ def test_mix_passes_over_a_giant(spark):
     target = {r.source: r.target for r in got}
     for s in target:
         assert abs(taken[s] - target[s]) <= 0.02 * target[s]
+
+
+def test_mix_draws_by_odds(spark):
+    """Inclusion follows p, which grows with the binary digits of the length."""
+    rows = [(i, "w " * (4 if i % 2 else 400), "a") for i in range(3000)] + [(10_000 + i, "w " * 300, "b") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r for r in mixing.mixed(docs, weights=(1, 3)).collect() if r.source == "a"]
+    short, long = ([r for r in got if r.size == n] for n in (4, 400))
+    p_short, p_long = short[0].p, long[0].p
+    assert 0 < p_short < p_long <= 1 and abs(p_long / p_short - 9 / 3) < 1e-9
+    words = sum(r.p * r.size for r in got)
+    assert abs(words - got[0].target) < 1e-6 * words
+    for part, p in ((short, p_short), (long, p_long)):
+        share = sum(r.copies > 0 for r in part) / len(part)
+        assert abs(share - p) < 5 * (p * (1 - p) / len(part)) ** 0.5
+
+
+def test_mix_equal_rows_and_long_text(spark):
+    """Rows without id and of one text are one; a very long text is passed over."""
+    rows = [(None, "same words here", "a")] * 400 + [(i, "w " * (20 + i % 7), "a") for i in range(300)] + [(7, "w " * 200_000, "a"), (8, "v " * 9000, "b"), (9, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(docs, weights=(1, 100)).collect()
+    same = {r.copies for r in got if r.id is None}
+    assert len(same) == 1 and len(got) == len(rows)
+    for s in ("a", "b"):
+        own = [r for r in got if r.source == s]
+        left = own[0].target - sum(r.taken for r in own)
+        units = [r.size * (400 if r.id is None else 1) for r in own if r.size and r.copies < 3]
+        assert -1e-6 <= left and (not units or left < min(units))
+    out = mixing.mix(docs, weights=(1, 100)).collect()
+    assert Counter((r.doc_id, r.copies) for r in out) == Counter((r.id, r.copies) for r in got if r.copies)
