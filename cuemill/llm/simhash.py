@@ -6,13 +6,14 @@ lists of single bytes would hold 1/256 of the corpus each, so a posting is a
 *triple* of positional bytes: the positions are halved into {0..3} and {4..7}
 and all 8 triples inside a half are indexed.  Of any 5 equal positions at least
 3 lie in one half, so no pair that reaches the minimum is missed.  Pairs that
-meet in a list are tallied (equal bytes), kept from 5 on, and verified bit by
-bit.
+meet in a list are tallied (equal bytes); those with fewer than the guaranteed
+minimum of 8 - distance are dropped, and the rest is verified bit by bit.
 
 Work stays bounded: equal fingerprints are one entry; a list yields a spanning
 forest of its links, never all its pairs; a list above ``LIST`` entries is
 dealt anew by pairs of further bytes (of the 5 other positions 2 agree as well)
-and, if still too long, cut into blocks that meet pair by pair.  Components come
+and, if still too long, cut into blocks that meet pair by pair; both ways find
+the same links, so the result does not depend on ``LIST``.  Components come
 from alternating star contraction over tables, nothing goes to the driver.
 """
 
@@ -33,7 +34,6 @@ LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 SLICE_BYTES = 1 << 20
 LIST = 16_384
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
-LEAST = 5  # equal bytes of two fingerprints at 3 or fewer differing bits
 
 
 def fingerprints(raw: np.ndarray, off: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -113,19 +113,26 @@ def _finer(postings: DataFrame) -> DataFrame:
     return finer.select((F.col("list") * F.lit(1 << 20) + F.col("finer") + F.lit(1 << 48)).alias("list"), "fp")
 
 
+def tally(x: np.ndarray) -> np.ndarray:
+    """How many of the 8 positional bytes are equal, by the XOR of two fingerprints."""
+    x = x | (x >> np.uint64(4))
+    x = x | (x >> np.uint64(2))
+    x = (x | (x >> np.uint64(1))) & np.uint64(0x0101010101010101)
+    return 8 - np.bitwise_count(x).astype(np.int64)
+
+
 def links_of(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (fp, smaller root) inside each run of equal ``keys``."""
     n = len(keys)
+    least = max(0, 8 - distance)
     parent = np.arange(n)
     alive = np.arange(n - 1)[keys[1:] == keys[:-1]] if n > 1 else np.zeros(0, np.int64)
     step = 1
     while len(alive):
         x = fps[alive] ^ fps[alive + step]
-        near = alive[np.bitwise_count(x) <= distance] if len(alive) else alive
-        if len(near):
-            near_x = fps[near] ^ fps[near + step]
-            tally = (near_x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = near[tally >= min(LEAST, 8 - distance)]
+        kept = tally(x) >= least  # the count filter, on every pair that shares a list
+        near = alive[kept]
+        near = near[np.bitwise_count(x[kept]) <= distance]  # verification
         a, b = parent[near], parent[near + step]
         fresh = a != b
         if fresh.any():
@@ -211,34 +218,54 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
+def _roots(own: DataFrame, distance: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of ``own``."""
+    distinct = own.select("fp").distinct()
+    roots = components(fingerprint_links(distinct, distance))
+    return distinct.join(roots, distinct.fp == roots.v, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, distance: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest id
     that links of at most ``distance`` differing bits reach.
 
     Documents without words (also null texts) have fingerprint 0 and link like
     any other; rows with equal ids and null ids are documents of their own (a
-    component of null ids only has a null component_id).  Other columns of
-    ``docs`` are ignored.  An empty table gives an empty result.
+    component of null ids only has a null component_id).  A very long text is
+    hashed whole, shingle by shingle, in its own task.  Ties in a bit (set in
+    exactly half of the hashes) count as 0.  Other columns of ``docs`` are
+    ignored.  An empty table gives an empty result.
     """
     own = staged(with_fingerprint(docs, id_col, text, width, seed), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(fingerprint_links(distinct.select("fp"), distance))
-    member = distinct.join(roots, distinct.fp == roots.v, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    member = _roots(own, distance).join(least, "fp")
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     known = staged(member.join(smallest, "root").select("fp", "component_id"), "components")
     return own.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, distance: int = 3) -> DataFrame:
+    """One document of each group, columns unchanged: that of the smallest id,
+    rows without an id last, and of rows of one id that of the smallest hash over
+    all columns, so reruns keep the same rows.  Null and empty texts are one
+    group, rows that are equal in every column are one document, and an empty
+    table stays empty."""
+    x = unused(docs, "__one")
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), row.alias("row")).alias("key"), F.col(f"`{text}`").alias("text"))
+    own = staged(with_fingerprint(rows, "key", "text", width, seed).withColumnRenamed("doc_id", "key"), "fingerprints")
+    groups = own.groupBy("fp").agg(F.min("key").alias("key")).join(_roots(own, distance), "fp")
+    first = groups.groupBy("root").agg(F.min("key").alias("key")).select("key")
+    times = own.join(first, "key").groupBy("key").agg(F.count("*").alias("times"))
+    keys = staged(times.select(F.col("key.id").alias(f"{x}i"), F.col("key.row").alias(f"{x}r"), "times"), "kept")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(f"{x}i")) & (row == F.col(f"{x}r"))
+    kept = docs.join(keys.where("times = 1"), same, "left_semi")
+    again = keys.where("times > 1")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(again, same, "left_semi").dropDuplicates())
+
+
 def report(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, that of the smallest id; columns unchanged.
-    Of rows that share that id one stays.  Rows without an id cannot be told
-    apart by it: they all stay."""
-    name = unused(docs, "__id")
-    keys = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias(name))
-    kept = docs.join(keys.distinct(), F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -9,25 +9,32 @@ are first dealt into *buckets* that can be ordered apart:
    is inside one bucket of equal anchors.  About one position in 70 is an
    anchor; a row of it has hashes of the anchor and of its context, the bytes
    that any string with this anchor can reach, and no text;
-2. anchors that occur once drop out.  Occurrences with equal contexts are
-   repeats as a whole;
-3. only where an anchor has different contexts (the ends of repeated passages)
-   the context bytes are fetched.  Inside a bucket the suffixes that start at
-   the same distance before the anchor are put in suffix order, cut at
-   ``length`` bytes; where two neighbours agree on all of them, the previous or
-   next smaller position is an earlier match: the longest-previous-factor value
-   reaches ``length``, the later one is a copy, the earlier one its source.
-
-Buckets of more than ``HOT`` occurrences are not gathered: their strings are
-counted by hash with partial sums and joined back.
+2. anchors that occur once drop out.  Occurrences of one context (by a digest of
+   128 bits) are one entry: all of them are repeats of each other, whatever else
+   the bucket holds;
+3. where an anchor has different contexts their bytes are fetched and ordered.
+   The suffixes at the anchors are sorted; the order of those that start one byte
+   earlier follows by a stable sort on that byte alone.  Neighbours are compared
+   byte by byte; in a run of neighbours that share ``length`` bytes (LCP) each
+   entry but the first in the text has its previous or next smaller position
+   inside the run, so its longest previous factor reaches ``length``: it is a
+   later copy, and the entry that it comes from is its source.
+
+A bucket of more than ``BUCKET`` contexts is split, with the same result: the
+strings that start at most half as far before the anchor as possible share more
+bytes behind it, the others more bytes before it, so each half is dealt again by
+what its strings share, down to buckets of one string, whose members are counted
+by their bytes with partial sums.  No group is gathered beyond ``BUCKET``.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +42,12 @@ from .common import slices, staged, utf8
 
 LENGTH, GRAM = 200, 64
 SLICE_BYTES = 1 << 20
-HOT = 200_000
-BATCH = 4096  # contexts compared at once
+BUCKET = 20_000  #: contexts that are ordered together
+BATCH = 4096  # contexts ordered at once, in whole buckets
 
 _rng = np.random.default_rng(7)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(1 << 40, 1 << 61)) * 8 + 5
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -70,12 +78,12 @@ def _sliding(a: np.ndarray, width: int, op) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
-    """(document, position, anchor hash, context hash) of the anchors in ``data``,
-    documents at ``off``; positions count from the document's begin."""
+    """(document, position, anchor hash, two context hashes) of the anchors in
+    ``data``, documents at ``off``; positions count from the document's begin."""
     n = len(data)
     if n < length:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     up, down = _power(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * up[:n], out=total[1:])
@@ -90,7 +98,9 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
     lo, hi = np.maximum(off[doc], at - (length - gram)), np.minimum(off[doc + 1], at + length)
     shape = ((at - lo).astype(np.uint64) << np.uint64(32)) | (hi - lo).astype(np.uint64)
     context = _mix((total[hi] - total[lo]) * down[lo] ^ _mix(shape + np.uint64(1)))
-    return doc, at - off[doc], h[at].view(np.int64), context.view(np.int64)
+    np.cumsum(_OTHER[data] * up[:n], out=total[1:])
+    proof = _mix((total[hi] - total[lo]) * down[lo] ^ _mix(shape + np.uint64(2)))
+    return doc, at - off[doc], h[at].view(np.int64), context.view(np.int64), proof.view(np.int64)
 
 
 def pieces(size: int, limit: int, length: int):
@@ -113,13 +123,13 @@ def _anchor_rows(length: int, gram: int):
                 else:
                     parts = [(data[s:e], np.array([0, e - s]), s, first, last) for s, e, first, last in pieces(len(data), SLICE_BYTES, length)]
                 for part, own, base, first, last in parts:
-                    doc, pos, anchor, context = anchors(part, own, length, gram)
+                    doc, pos, anchor, context, proof = anchors(part, own, length, gram)
                     if base or last < len(data):
                         pos = pos + base
                         keep = (pos >= first) & (pos < last)
-                        doc, pos, anchor, context = doc[keep], pos[keep], anchor[keep], context[keep]
+                        doc, pos, anchor, context, proof = doc[keep], pos[keep], anchor[keep], context[keep], proof[keep]
                     rows = pa.array(doc + a)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), batch.column(0).take(rows), pa.array(head[doc + a] | pos)], names=["anchor", "context", "id", "loc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), pa.array(proof), batch.column(0).take(rows), pa.array(head[doc + a] | pos)], names=["anchor", "context", "proof", "id", "loc"])
 
     return run
 
@@ -143,57 +153,52 @@ def _contexts(length: int, gram: int):
                 v = values.slice(s, e - s)
                 yield pa.RecordBatch.from_arrays(
                     [v.field("anchor"), batch.column(0).take(pa.array(row[s:e])), v.field("loc"), v.field("single"), v.field("hot"), pa.array((pos - lo)[s:e].astype(np.int32)), pa.array(text, pa.binary())],
-                    names=["anchor", "id", "loc", "single", "hot", "left", "bytes"],
+                    names=["bucket", "id", "loc", "single", "hot", "left", "bytes"],
                 )
 
     return run
 
 
-def _window_hashes(texts: list[bytes], left: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the strings that start r bytes before the anchor, by row and r,
-    and whether they exist."""
-    reach = length - gram
-    m = np.zeros((len(texts), 2 * length - gram), np.uint8)
-    sizes = np.array([len(t) for t in texts])
-    for i, t in enumerate(texts):
-        s = reach - left[i]
-        m[i, s : s + len(t)] = np.frombuffer(t, np.uint8)
-    up, down = _power(m.shape[1] + 1)
-    total = np.zeros((len(texts), m.shape[1] + 1), np.uint64)
-    np.cumsum(_VALUE[m] * up[: m.shape[1]], axis=1, out=total[:, 1:])
-    r = np.arange(reach + 1)
-    begin = reach - r
-    h = _mix((total[:, begin + length] - total[:, begin]) * down[begin])
-    exists = (r[None, :] <= left[:, None]) & ((sizes - left)[:, None] + r[None, :] >= length)
-    return h, exists
-
-
-def previous_factors(group: np.ndarray, strings: np.ndarray, keep_first: bool) -> np.ndarray:
-    """Which of ``strings`` (rows already in text order) are repeats inside
-    their group.  In suffix order equal strings are neighbours, ties in text
-    order, so the previous smaller position of each but the first is the entry
-    before it: a later copy, whose source is also a repeat unless kept."""
-    order = np.lexsort((strings, group))
-    same = (group[order[1:]] == group[order[:-1]]) & (strings[order[1:]] == strings[order[:-1]])
-    out = np.zeros(len(strings), bool)
-    out[order[1:][same]] = True  # factor of full length at an earlier place
-    if not keep_first:
-        out[order[:-1][same]] = True  # and the place that it came from
-    return out
+def later_copies(place: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries in suffix order, ``place`` being their order in the text and
+    ``full[i]`` whether entries i and i+1 share the whole length: which have a
+    longest previous factor of that length, and which are the source of one.
+    Inside a run of full neighbours the previous or next smaller position exists
+    for all but the entry of the smallest."""
+    starts = np.nonzero(np.concatenate(([True], ~full)))[0]
+    run = np.cumsum(np.concatenate(([False], ~full)))
+    later = place > np.minimum.reduceat(place, starts)[run]
+    return later, ~later & (np.bincount(run)[run] > 1)
 
 
 def _compare(length: int, gram: int, keep_first: bool):
-    def judge(anchor, ids, loc, single, left, texts):
-        order = np.arange(len(anchor))
-        h = np.empty((len(texts), length - gram + 1), np.uint64)
-        exists = np.empty(h.shape, bool)
-        for s in range(0, len(texts), BATCH):
-            h[s : s + BATCH], exists[s : s + BATCH] = _window_hashes(texts[s : s + BATCH], left[s : s + BATCH], length, gram)
-        least = np.full(len(texts), -1)
-        most = np.full(len(texts), -1)
-        for r in range(h.shape[1]):
-            rows = order[exists[:, r]]
-            hit = rows[previous_factors(anchor[rows], h[rows, r], keep_first)]
+    reach = length - gram
+
+    def judge(bucket, ids, loc, single, left, lo, hi, texts):
+        m = np.zeros((len(texts), length + reach), np.uint8)
+        sizes = np.array([len(t) for t in texts])
+        for i, t in enumerate(texts):
+            s = reach - left[i]
+            m[i, s : s + len(t)] = np.frombuffer(t, np.uint8)
+        right = sizes - left
+        group = np.cumsum(np.concatenate(([False], bucket[1:] != bucket[:-1])))
+        group = group.astype(np.uint16 if group[-1] < 1 << 16 else np.uint32)
+        order = np.argsort(np.ascontiguousarray(m[:, reach:]).view(f"S{length}").ravel(), kind="stable")
+        least, most = np.full(len(texts), -1), np.full(len(texts), -1)
+        for r in range(reach + 1):
+            begin, end = reach - r, reach - r + length - 1
+            if r:  # the suffixes one byte earlier, in order
+                order = order[np.argsort(m[order, begin], kind="stable")]
+            order = order[np.argsort(group[order], kind="stable")]
+            rows = order[(r <= left[order]) & (right[order] + r >= length) & (lo[order] <= r) & (r <= hi[order])]
+            if len(rows) < 2:
+                continue
+            a, b = rows[1:], rows[:-1]
+            full = (group[a] == group[b]) & (m[a, end] == m[b, end]) & (m[a, begin] == m[b, begin])
+            likely = np.nonzero(full)[0]
+            full[likely] = (m[a[likely], begin : end + 1] == m[b[likely], begin : end + 1]).all(axis=1)
+            later, source = later_copies(rows, full)  # rows come in text order
+            hit = rows[later] if keep_first else rows[later | source]
             least[hit] = np.where(least[hit] < 0, r, least[hit])
             most[hit] = r
         hit = (most >= 0) & single
@@ -206,7 +211,7 @@ def _compare(length: int, gram: int, keep_first: bool):
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if len(held) < BATCH:
                 continue
-            own = held.column("anchor").to_numpy()
+            own = held.column("bucket").to_numpy()
             cut = int(np.searchsorted(own, own[-1]))  # the last bucket may go on
             if cut:
                 yield out(held.slice(0, cut))
@@ -216,42 +221,83 @@ def _compare(length: int, gram: int, keep_first: bool):
 
     def out(t):
         t = t.combine_chunks()
-        ids, th, s, e = judge(t["anchor"].to_numpy(), t["id"], t["loc"].to_numpy(), t["single"].to_numpy(), t["left"].to_numpy().astype(np.int64), t["bytes"].to_pylist())
+        number = lambda c: t[c].to_numpy().astype(np.int64)
+        ids, th, s, e = judge(number("bucket"), t["id"], number("loc"), t["single"].to_numpy(), number("left"), number("lo"), number("hi"), t["bytes"].to_pylist())
         ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
         return pa.RecordBatch.from_arrays([ids if isinstance(ids, pa.Array) else ids.chunk(0), pa.array(th.astype(np.int32)), pa.array((s << 32) | e)], names=["id", "th", "span"])
 
     return run
 
 
-def _strings(length: int, gram: int):
-    """The rows of a hot bucket by string: (anchor, hash, id, loc, r)."""
+def _halves(length: int):
+    """The rows of large buckets, dealt again: once by what the strings share that
+    start ``lo`` to ``mid`` bytes before the anchor, once for the others."""
 
     def run(batches):
         for batch in batches:
-            for s in range(0, len(batch), 512):
-                part = batch.slice(s, 512)
-                left = part.column(5).to_numpy().astype(np.int64)
-                h, exists = _window_hashes(part.column(6).to_pylist(), left, length, gram)
-                row, r = np.nonzero(exists)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(h[row, r].view(np.int64)), part.column(1).take(take), part.column(2).take(take), part.column(3).take(take), pa.array(r.astype(np.int32))], names=["anchor", "string", "id", "loc", "single", "r"])
+            for s in range(0, len(batch), 4096):
+                part = batch.slice(s, 4096)
+                left, lo, hi = (part.column(k).to_numpy().astype(np.int64) for k in (4, 6, 7))
+                texts = part.column(5).to_pylist()
+                right = np.array([len(t) for t in texts]) - left
+                mid = (lo + hi) // 2
+                for a, b in ((lo, mid), (mid + 1, hi)):
+                    rows = np.nonzero((a <= b) & (np.maximum(a, length - right) <= np.minimum(b, left)))[0]
+                    keys = [xxhash.xxh64_intdigest(texts[i][x:y], z) for i, x, y, z in zip(rows.tolist(), (left - a)[rows].tolist(), (left + length - b)[rows].tolist(), (a * length + b)[rows].tolist())]
+                    take = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.array(keys, np.uint64).view(np.int64)), *(part.column(k).take(take) for k in range(1, 6)), pa.array(a[rows].astype(np.int32)), pa.array(b[rows].astype(np.int32))],
+                        names=["bucket", "id", "loc", "single", "left", "bytes", "lo", "hi"],
+                    )
 
     return run
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """The documents as (id, th, text) and the repeated spans (id, th, span), a
-    span being start << 32 | end.  ``th`` is a hash of the text that keeps rows
-    with equal ids apart; rows that are equal repeat each other."""
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.hash(F.col(f"`{text}`")).alias("th"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    kind = own.schema["id"].dataType.simpleString()
+def _split(rows: DataFrame, length: int, most: int, keep_first: bool, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of buckets above ``most`` as rows of smaller ones, and the spans
+    (id, th, span) of those that are down to one string."""
+    columns, done, found = rows.columns, [], []
+    rows = staged(rows, "large")
+    while True:
+        rows = staged(rows.mapInArrow(_halves(length), schema), "halves")
+        sizes = staged(rows.groupBy("bucket", "lo", "hi").agg(F.count("*").alias("n")).where("n > 1"), "halves")
+        rows = rows.join(sizes, ["bucket", "lo", "hi"])
+        one = rows.where("lo = hi")
+        large = (F.col("lo") < F.col("hi")) & (F.col("n") > most)
+        done.append(rows.where((F.col("lo") < F.col("hi")) & (F.col("n") <= most)).select(columns))
+        found.append(_counted(one, length, keep_first))
+        if sizes.where(large).isEmpty():
+            return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, found)
+        rows = staged(rows.where(large).select(columns), "large")
+
+
+def _counted(rows: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """(id, th, span) of the repeats among rows of one string a bucket."""
+    th, pos = F.shiftright("loc", 32).cast("int"), F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF))
+    own = rows.withColumn("string", F.expr(f"substring(bytes, left - lo + 1, {length})")).withColumn("order", F.struct("id", pos.alias("pos"), "loc"))
+    often = own.groupBy("lo", "string").agg(F.count("*").alias("m"), F.min("order").alias("first")).where("m > 1")
+    found = own.join(often, ["lo", "string"]).where(F.col("single") & (F.col("order") != F.col("first") if keep_first else F.lit(True)))
+    return found.select("id", th.alias("th"), F.shiftleft(pos - F.col("lo"), 32).bitwiseOR(pos - F.col("lo") + length).alias("span"))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """The documents as (doc_id, id, th, text) and the repeated spans (id, th,
+    span), a span being start << 32 | end.  ``th`` is a hash of the text that keeps
+    rows with equal ids apart; rows without an id get one from a longer hash of
+    their text; rows that are equal repeat each other."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    kind = "bigint" if kind in ("tinyint", "smallint", "int") else kind
+    column = F.col(f"`{text}`")
+    uid = F.coalesce(F.col(f"`{id_col}`").cast(kind), F.xxhash64(column).cast(kind))
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), uid.alias("id"), F.hash(column).alias("th"), F.coalesce(column, F.lit("")).alias("text"))
     long = own.where(F.octet_length("text") >= length)
-    rows = staged(long.mapInArrow(_anchor_rows(length, gram), f"anchor long, context long, id {kind}, loc long"), "anchors")
+    rows = staged(long.select("id", "th", "text").mapInArrow(_anchor_rows(length, gram), f"anchor long, context long, proof long, id {kind}, loc long"), "anchors")
     # staged, so that the joins below see plain inputs, whose hot keys Spark can split
-    seen = staged(rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1"), "seen")
-    same = F.lit(False) if keep_first else F.col("c0") == F.col("c1")
-    repeated = rows.join(seen.select("anchor", same.alias("same"), (F.col("n") > hot).alias("hot")), "anchor")
-    repeated = staged(repeated, "repeated")
+    ends = [f(c).alias(f"{c}{k}") for c in ("context", "proof") for k, f in enumerate((F.min, F.max))]
+    seen = staged(rows.groupBy("anchor").agg(F.count("*").alias("n"), *ends).where("n > 1"), "seen")
+    one = (F.col("context0") == F.col("context1")) & (F.col("proof0") == F.col("proof1"))
+    same = F.lit(False) if keep_first else one
+    repeated = staged(rows.join(seen.select("anchor", same.alias("same"), (~one & (F.col("n") > bucket)).alias("hot")), "anchor"), "repeated")
     th, pos = F.shiftright("loc", 32).cast("int"), F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF))
 
     def whole(df):  # all strings of the context; what it has beyond the document's end is cut later
@@ -261,31 +307,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     mixed = repeated.where(~F.col("same"))
     order = F.struct("id", pos.alias("pos"), "loc") if keep_first else F.xxhash64("id", "loc")
     mixed = mixed.withColumn("order", order)
-    classes = mixed.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min("order").alias("first")).where("m > 1")
-    mixed = mixed.join(staged(classes, "classes"), ["anchor", "context"], "left")
+    classes = mixed.groupBy("anchor", "context", "proof").agg(F.count("*").alias("m"), F.min("order").alias("first")).where("m > 1")
+    mixed = mixed.join(staged(classes, "classes"), ["anchor", "context", "proof"], "left")
     is_first = F.col("m").isNull() | (F.col("order") == F.col("first"))
     full = mixed.where(F.col("m").isNotNull() & (~is_first if keep_first else F.lit(True)))
     single = F.lit(True) if keep_first else F.col("m").isNull()
     wanted = mixed.where(is_first).select("id", th.alias("th"), F.struct("anchor", "loc", single.alias("single"), "hot").alias("want"))
     wanted = wanted.groupBy("id", "th").agg(F.collect_list("want").alias("wants"))
-    asked = own.join(wanted.withColumnRenamed("id", "w").withColumnRenamed("th", "v"), F.col("id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("v"))).select("id", "text", "wants")
-    contexts = asked.mapInArrow(_contexts(length, gram), f"anchor long, id {kind}, loc long, single boolean, hot boolean, left int, bytes binary")
-    if not seen.where(F.col("n") > hot).isEmpty():
-        contexts = staged(contexts, "contexts")
-        strings = contexts.where("hot").mapInArrow(_strings(length, gram), f"anchor long, string long, id {kind}, loc long, single boolean, r int")
-        first = F.min(F.struct("id", pos.alias("pos"), "loc"))
-        often = strings.groupBy("anchor", "string", "r").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
-        later = F.struct("id", pos.alias("pos"), "loc") != F.col("first") if keep_first else F.lit(True)
-        found = strings.join(often, ["anchor", "string", "r"]).where(F.col("single") & later)
-        ends = found.groupBy("anchor", "id", "loc").agg(F.min("r").alias("r0"), F.max("r").alias("r1"))
-        hot_spans = ends.select("id", th.alias("th"), F.shiftleft(pos - F.col("r1"), 32).bitwiseOR(pos - F.col("r0") + length).alias("span"))
-        contexts = contexts.where("not hot")
+    asked = own.join(wanted.withColumnRenamed("id", "w").withColumnRenamed("th", "v"), (F.col("id") == F.col("w")) & (F.col("th") == F.col("v"))).select("id", "text", "wants")
+    schema = f"bucket long, id {kind}, loc long, single boolean, left int, bytes binary, lo int, hi int"
+    contexts = asked.mapInArrow(_contexts(length, gram), schema.replace("left int", "hot boolean, left int").replace(", lo int, hi int", ""))
+    whole_range = lambda df: df.drop("hot").withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - gram))
+    spans = whole(repeated.where("same")).unionByName(whole(full))
+    if seen.where(~one & (F.col("n") > bucket)).isEmpty():
+        small = whole_range(contexts)
     else:
-        hot_spans = None
-    dealt = contexts.repartition("anchor").sortWithinPartitions("anchor", *(["id", pos] if keep_first else []))
-    ends = dealt.mapInArrow(_compare(length, gram, keep_first), f"id {kind}, th int, span long")
-    spans = whole(repeated.where("same")).unionByName(whole(full)).unionByName(ends)
-    return own, spans if hot_spans is None else spans.unionByName(hot_spans)
+        contexts = staged(contexts, "contexts")
+        parts, found = _split(whole_range(contexts.where("hot")), length, bucket, keep_first, schema)
+        small = whole_range(contexts.where("not hot")).unionByName(parts)
+        spans = spans.unionByName(found)
+    dealt = small.repartition("bucket").sortWithinPartitions("bucket", *(["id", pos] if keep_first else []))
+    return own, spans.unionByName(dealt.mapInArrow(_compare(length, gram, keep_first), f"id {kind}, th int, span long"))
 
 
 def merged(spans: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -329,14 +371,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of every
     row after the repeats are cut out; ``kept_text`` drops bytes of characters
     that were cut apart.  ``keep_first`` keeps the first copy (by id, then place)
-    of each string instead of none.  Null is the empty text; texts of fewer than
-    ``length`` bytes stay whole; equal rows repeat each other; other columns of
-    ``docs`` are ignored; an empty table gives an empty result."""
+    of each string instead of none; rows without an id are ordered by a hash of
+    their text.  Null is the empty text; texts of fewer than ``length`` bytes stay
+    whole; very long texts are read in overlapping pieces; equal rows repeat each
+    other; other columns of ``docs`` are ignored; an empty table gives an empty
+    result."""
     own, spans = repeats(docs, id_col, text, **options)
-    kind = own.schema["id"].dataType.simpleString()
+    kind = own.schema["doc_id"].dataType.simpleString()
     per = spans.groupBy(F.col("id").alias("w"), F.col("th").alias("v")).agg(F.collect_list("span").alias("spans"))
-    joined = own.join(per, F.col("id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("v")), "left")
-    return joined.select("id", "text", "spans").mapInArrow(_cut(with_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    joined = own.join(per, (F.col("id") == F.col("w")) & (F.col("th") == F.col("v")), "left")
+    return joined.select("doc_id", "text", "spans").mapInArrow(_cut(with_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def report(docs: DataFrame) -> DataFrame:
