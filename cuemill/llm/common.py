@@ -16,13 +16,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Only where the session
-    names none (tests on one machine) a temporary one is set."""
+    """The folder that driver and executors share.  A session in one process that
+    names none gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = sc.getCheckpointDir()
         if not found:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="cuemill-"))
             found = sc.getCheckpointDir()
     elif not spark.sparkContext.getCheckpointDir():
