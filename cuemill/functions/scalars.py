@@ -102,8 +102,9 @@ def _date(month: Column, day: Column, year: Column) -> Column:
 
 
 def title_date(title) -> Column:
-    """Full or short month, any case, optional comma; impossible dates are NULL."""
-    p = rf"(?i){MONTH}\s*([0-9]{{1,2}}),?\s*([0-9]{{4}})"
+    """Full or short month, any case, optional comma, with or without a space on
+    either side; impossible dates are NULL."""
+    p = rf"(?i){MONTH}\s*([0-9]{{1,2}})\s*,?\s*([0-9]{{4}})"
     return _date(_month_number(extract(title, p, 1)), extract(title, p, 2), extract(title, p, 3))
 
 
@@ -206,7 +207,8 @@ def padded(start, end, before, after) -> tuple[Column, Column]:
 
 def fixed_width(seconds) -> Column:
     """``%06.2f`` of a DECIMAL, rounded half up."""
-    return F.lpad(F.round(col(seconds), 2).cast("decimal(12,2)").cast("string"), 6, "0")
+    text = F.round(col(seconds), 2).cast("decimal(12,2)").cast("string")
+    return F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text)  # lpad alone would cut longer texts
 
 
 # --- text -----------------------------------------------------------------
@@ -246,11 +248,11 @@ def list_quote(path) -> Column:
 
 def corrected(text, pairs: list[tuple[str, str]]) -> Column:
     """Literal replacements in the order given; each of a miss as written, in
-    lower case and capitalised."""
+    lower case and with every word capitalised."""
 
     def step(out, pair):
         miss, fix = pair
-        for form in dict.fromkeys((miss, miss.lower(), miss[:1].upper() + miss[1:].lower())):
+        for form in dict.fromkeys((miss, miss.lower(), miss.title())):
             out = F.replace(out, F.lit(form), F.lit(fix))
         return out
 
@@ -289,15 +291,27 @@ def has_audio(formats) -> Column:
     return F.exists(col(formats), lambda f: F.coalesce(f["acodec"], F.lit("none")) != "none")
 
 
+def _stuck(width: int = 10) -> str:
+    """``width`` characters of at most two kinds, and one more behind them: k equal
+    ones, another kind, and as many of both as are missing, for each k."""
+    ways = [rf"(.)\1{{{width - 1}}}"]
+    for k in range(1, width):
+        a = 2 * k
+        ways.append(rf"(.)\{a}{{{k - 1}}}(?!\{a})(.)(?:\{a}|\{a + 1}){{{width - 1 - k}}}")
+    return rf"(?s)(?:{'|'.join(ways)})."
+
+
 def hallucinated(text, start, end) -> Column:
     """Blank; shorter than 0.01 s; over 20 characters with 10 in a row of at most
     two kinds (the last such window is not looked at); or six words or more with
-    a word trigram that comes twice."""
+    a word trigram that comes twice.  Linear in the length of the text."""
     t = F.trim(F.coalesce(col(text), F.lit("")))
-    stuck = F.exists(
-        F.sequence(F.lit(1), F.greatest(F.length(t) - 10, F.lit(1))),
-        lambda i: F.size(F.array_distinct(F.split(F.substr(t, i, F.lit(10)), ""))) <= 2,
-    )
     words = tokens(F.lower(t))
-    three = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " "))
-    return (t == "") | ((col(end) - col(start)) < 0.01) | ((F.length(t) > 20) & stuck) | ((F.size(words) >= 6) & (F.size(F.array_distinct(three)) < F.size(three)))
+
+    def again(ws):
+        three = F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 2, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1), F.get(ws, i + 2)))
+        return (F.size(ws) >= 6) & F.transform(F.array(three), lambda x: F.size(F.array_distinct(x)) < F.size(x))[0]
+
+    # words are split once and held in a variable
+    repeats = F.transform(F.array(words), again)[0]
+    return (t == "") | ((col(end) - col(start)) < 0.01) | ((F.length(t) > 20) & t.rlike(_stuck())) | repeats

@@ -61,10 +61,18 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
-def update(old: DataFrame, staged: DataFrame, key: str, column: str, changed_only: bool = True) -> DataFrame:
+def last_per_key(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row per key, the last in ``order`` (columns; the greatest of the other
+    columns breaks ties, and decides alone if no order is given)."""
+    rest = [c for c in df.columns if c not in keys and c not in (order or [])]
+    return first_per_key(df, keys, [F.col(c).desc_nulls_last() for c in [*(order or []), *rest]] or [F.lit(1)])
+
+
+def update(old: DataFrame, staged: DataFrame, key: str, column: str, changed_only: bool = True, order: list[str] | None = None) -> DataFrame:
     """``old`` with ``column`` taken from ``staged`` (key, column) by key, and
-    whether that changed it; equal values and absent keys change nothing."""
-    s = staged.select(F.col(key).alias("__k"), F.col(column).alias("__v"))
+    whether that changed it; equal values and absent keys change nothing.  Of
+    several staged rows of a key the last in ``order`` counts."""
+    s = last_per_key(staged.select(key, column, *[c for c in order or [] if c not in (key, column)]), [key], order).select(F.col(key).alias("__k"), F.col(column).alias("__v"))
     joined = old.join(s, F.col(key) == F.col("__k"), "left")
     changes = F.col("__k").isNotNull() & (~F.col(column).eqNullSafe(F.col("__v")) if changed_only else F.lit(True))
     return joined.select(*[F.when(changes, F.col("__v")).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in old.columns], changes.alias("changed"))
@@ -88,10 +96,11 @@ def known_source(source: str) -> Column:
     return F.when(F.lower(F.col(source)).isin("yt", "whisper"), F.lower(F.col(source))).otherwise("whisper")
 
 
-def patched(rows: DataFrame, retries: DataFrame, keys: list[str], text: str | None = None, confidence: str = "confidence") -> DataFrame:
+def patched(rows: DataFrame, retries: DataFrame, keys: list[str], text: str | None = None, confidence: str = "confidence", order: list[str] | None = None) -> DataFrame:
     """Retried segments written back: text and confidence where the new text is
-    not blank, or confidence and the retried mark of words (``text`` None)."""
-    r = retries.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("new_text").alias("__text"), F.col("new_confidence").alias("__conf"))
+    not blank, or confidence and the retried mark of words (``text`` None).  Of
+    several retries of a segment the last in ``order`` counts."""
+    r = last_per_key(retries.select(*keys, "new_text", "new_confidence", *(order or [])), keys, order).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("new_text").alias("__text"), F.col("new_confidence").alias("__conf"))
     on = None
     for k in keys:
         part = F.col(k) == F.col(f"__{k}")

@@ -126,11 +126,13 @@ def clips_split_counts(spark, sf):
     return out.groupBy(F.when(F.col("found_start").isNull(), "todo").otherwise("present").alias("part")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {CLIPS}, named AS (SELECT DISTINCT id, lpad(printf('%d.%02d', s // 100, s % 100), 6, '0') || '-' || lpad(printf('%d.%02d', e // 100, e % 100), 6, '0') AS span FROM existing),
+@query(f"""WITH {CLIPS}, named AS (SELECT DISTINCT id, printf('%06.2f-%06.2f', (s + id % 2 * 100000)::DOUBLE / 100, (e + id % 2 * 100000)::DOUBLE / 100) AS span FROM existing),
 want AS (SELECT DISTINCT id, round(start * 100)::BIGINT AS s, round("end" * 100)::BIGINT AS e FROM clips)
-SELECT id, lpad(printf('%d.%02d', s // 100, s % 100), 6, '0') || '-' || lpad(printf('%d.%02d', e // 100, e % 100), 6, '0') AS span FROM want EXCEPT SELECT id, span FROM named""")
+SELECT id, printf('%06.2f-%06.2f', (s + id % 2 * 100000)::DOUBLE / 100, (e + id % 2 * 100000)::DOUBLE / 100) AS span FROM want EXCEPT SELECT id, span FROM named""")
 def sections_missing(spark, sf):
-    c, e = _pair(spark, sf)
+    """Spans as fixed-width text; every other id's clips lie beyond 1,000 s."""
+    late = lambda df: df.withColumns({k: F.col(k) + F.col("id") % 2 * 1000 for k in ("start", "end")})
+    c, e = map(late, _pair(spark, sf))
     span = lambda df: df.select("id", F.concat(S.fixed_width("start"), F.lit("-"), S.fixed_width("end")).alias("span")).distinct()
     return R.missing(span(c), span(e), ["id", "span"])
 
@@ -216,9 +218,9 @@ def provenance_url(spark, sf):
     return with_url(ids, side).select("o_orderkey", "url")
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)")
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)")
 def archive_remove_incomplete(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     return R.missing(o, table(spark, sf, "lineitem").where("l_linenumber = 7").select(F.col("l_orderkey").alias("id")), ["id"])
 
 
@@ -455,22 +457,27 @@ def hallucination_filtered(spark, sf):
     return _flags(spark, sf).where("not flagged").select("doc_id", "seg")
 
 
-_RETRY = "retries AS (SELECT doc_id, seg, CASE WHEN seg % 3 = 0 THEN '' ELSE 'new ' || seg END AS new_text, -0.125::DOUBLE AS new_confidence FROM cues WHERE confidence < -0.7 AND (doc_id + seg) % 2 = 0)"
+_RETRY = """retries AS (SELECT * FROM (SELECT doc_id, seg, 1 AS attempt, CASE WHEN seg % 3 = 0 THEN '' ELSE 'new ' || seg END AS new_text, -0.125::DOUBLE AS new_confidence FROM cues WHERE confidence < -0.7
+  UNION ALL SELECT doc_id, seg, 2, CASE WHEN seg % 10 = 0 THEN ' ' ELSE 'again ' || seg END, -0.25::DOUBLE FROM cues WHERE confidence < -1.2) QUALIFY row_number() OVER (PARTITION BY doc_id, seg ORDER BY attempt DESC) = 1)"""
 
 
 def _retries(spark, sf):
-    c = views.cues(spark, sf).where((F.col("confidence") < -0.7) & ((F.col("doc_id") + F.col("seg")) % 2 == 0))
-    return c.select("doc_id", "seg", F.when(F.col("seg") % 3 == 0, "").otherwise(F.concat(F.lit("new "), F.col("seg").cast("string"))).alias("new_text"), F.lit(-0.125).alias("new_confidence"))
+    """One retry of each weak segment, a second of the weakest: the last counts."""
+    c = views.cues(spark, sf)
+    text = lambda word, none: F.when(none, " ").otherwise(F.concat(F.lit(word), F.col("seg").cast("string")))
+    first = c.where("confidence < -0.7").select("doc_id", "seg", F.lit(1).alias("attempt"), text("new ", F.col("seg") % 3 == 0).alias("new_text"), F.lit(-0.125).alias("new_confidence"))
+    again = c.where("confidence < -1.2").select("doc_id", "seg", F.lit(2).alias("attempt"), text("again ", F.col("seg") % 10 == 0).alias("new_text"), F.lit(-0.25).alias("new_confidence"))
+    return first.unionByName(again)
 
 
 @query(f"WITH {CUES}, {_RETRY} SELECT c.doc_id, c.seg, CASE WHEN trim(new_text) <> '' THEN trim(new_text) ELSE cue END AS cue, CASE WHEN trim(new_text) <> '' THEN new_confidence ELSE confidence END AS confidence FROM cues c LEFT JOIN retries r ON r.doc_id = c.doc_id AND r.seg = c.seg")
 def retry_patch_cues(spark, sf):
-    return T.patched(views.cues(spark, sf), _retries(spark, sf), ["doc_id", "seg"], text="cue").select("doc_id", "seg", "cue", "confidence")
+    return T.patched(views.cues(spark, sf), _retries(spark, sf), ["doc_id", "seg"], text="cue", order=["attempt"]).select("doc_id", "seg", "cue", "confidence")
 
 
 @query(f"WITH {WORDS}, {_RETRY} SELECT ytid, idx, word, CASE WHEN r.doc_id IS NOT NULL THEN new_confidence ELSE confidence END AS confidence, retried OR r.doc_id IS NOT NULL AS retried FROM words w LEFT JOIN retries r ON r.doc_id = w.doc_id AND r.seg = w.seg")
 def retry_patch_words(spark, sf):
-    return T.patched(views.words(spark, sf), _retries(spark, sf), ["doc_id", "seg"]).select("ytid", "idx", "word", "confidence", "retried")
+    return T.patched(views.words(spark, sf), _retries(spark, sf), ["doc_id", "seg"], order=["attempt"]).select("ytid", "idx", "word", "confidence", "retried")
 
 
 @query(f"WITH {CUES} SELECT doc_id, count(*) AS segments, round(coalesce(avg(confidence), 0), 6) AS mean_confidence, md5(string_agg(trim(cue), ' ' ORDER BY seg)) AS text_md5 FROM cues WHERE end_ms > start_ms GROUP BY doc_id")

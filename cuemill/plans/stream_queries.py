@@ -14,12 +14,14 @@ from .views import table
 
 
 def _shared(spark) -> str:
-    """The folder that driver and executors share; a temporary one only where the
-    session names none."""
+    """The folder that driver and executors share.  A session in one process that
+    names none gets a temporary one; on a cluster that is an error."""
     import tempfile
 
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cuemill-"))
         found = spark.sparkContext.getCheckpointDir()
     return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -84,8 +84,8 @@ def watch_url(spark, sf):
 
 _TITLES = (
     VIDEOS
-    + """, t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN title WHEN 1 THEN replace(lower(title), ',', '') WHEN 2 THEN 'Show ' || strftime(upload_date, '%b%d %Y') WHEN 3 THEN 'Show February 31, 2021'
-  WHEN 4 THEN 'no date' ELSE 'Ep ' || strftime(upload_date, '%B %d,%Y') END AS title FROM videos)"""
+    + """, t AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN title WHEN 1 THEN replace(lower(title), ',', '') WHEN 2 THEN 'Show ' || strftime(upload_date, '%b%d %Y') WHEN 3 THEN 'Show February 31, 2021'
+  WHEN 4 THEN 'no date' WHEN 5 THEN 'Ep ' || strftime(upload_date, '%B %d,%Y') ELSE 'Ep ' || strftime(upload_date, '%b %d , %Y') END AS title FROM videos)"""
 )
 _MON = "(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 _FULL = "(January|February|March|April|May|June|July|August|September|October|November|December)"
@@ -93,10 +93,10 @@ _FULL = "(January|February|March|April|May|June|July|August|September|October|No
 
 def _titles(spark, sf):
     v = views.videos(spark, sf)
-    k, d = F.col("o_orderkey") % 6, F.col("upload_date")
+    k, d = F.col("o_orderkey") % 7, F.col("upload_date")
     t = (
         F.when(k == 0, F.col("title")).when(k == 1, F.replace(F.lower("title"), F.lit(","), F.lit(""))).when(k == 2, F.concat(F.lit("Show "), F.date_format(d, "MMMdd yyyy"))).when(k == 3, "Show February 31, 2021")
-        .when(k == 4, "no date").otherwise(F.concat(F.lit("Ep "), F.date_format(d, "MMMM dd,yyyy")))
+        .when(k == 4, "no date").when(k == 5, F.concat(F.lit("Ep "), F.date_format(d, "MMMM dd,yyyy"))).otherwise(F.concat(F.lit("Ep "), F.date_format(d, "MMM dd , yyyy")))
     )
     return v.select("o_orderkey", "upload_date", t.alias("title"))
 
@@ -106,7 +106,7 @@ def _date_sql(pattern: str) -> str:
     return f"try_strptime({part(3)} || '-' || substr(upper(substr({part(1)}, 1, 1)) || lower(substr({part(1)}, 2)), 1, 3) || '-' || {part(2)}, '%Y-%b-%d')::DATE::VARCHAR"
 
 
-@query(f"WITH {_TITLES} SELECT o_orderkey, {_date_sql('(?i)' + _MON + chr(92) + 's*([0-9]{1,2}),?' + chr(92) + 's*([0-9]{4})')} AS title_date FROM t")
+@query(f"WITH {_TITLES} SELECT o_orderkey, {_date_sql('(?i)' + _MON + chr(92) + 's*([0-9]{1,2})' + chr(92) + 's*,?' + chr(92) + 's*([0-9]{4})')} AS title_date FROM t")
 def title_date_sql(spark, sf):
     return _titles(spark, sf).select("o_orderkey", S.title_date("title").cast("string").alias("title_date"))
 
@@ -186,10 +186,10 @@ def quote_escape(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.list_quote(F.concat("p_name", F.lit("'s"))).alias("quoted"))
 
 
-@query("SELECT doc_id, md5(replace(replace(replace(replace(text, 'thble', 'THBLE'), 'Thble', 'THBLE'), 'Of the', 'of a'), 'of the', 'of a')) AS digest FROM documents")
+@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(text || ' Of The', 'thble', 'THBLE'), 'Thble', 'THBLE'), 'Of the', 'of a'), 'of the', 'of a'), 'Of The', 'of a')) AS digest FROM documents")
 def corrections_applied(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.md5(S.corrected("text", [("thble", "THBLE"), ("Of the", "of a")])).alias("digest"))
+    return d.select("doc_id", F.md5(S.corrected(F.concat("text", F.lit(" Of The")), [("thble", "THBLE"), ("Of the", "of a")])).alias("digest"))
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, 'k' AS name FROM events")
@@ -212,53 +212,54 @@ def video_distinct_on(spark, sf):
 
 @query(
     f"""WITH {VIDEOS}, old AS (SELECT o_custkey AS ytid, 'old' AS title, NULL::VARCHAR AS upload_date, o_custkey % 2 AS upload_type FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey % 3 <> 0),
-new AS (SELECT o_custkey AS ytid, title, upload_date::VARCHAR AS upload_date FROM (SELECT *, {_BY_CUSTOMER} FROM videos) WHERE rn = 1 AND o_custkey % 5 <> 0)
+new AS (SELECT o_custkey AS ytid, title, upload_date::VARCHAR AS upload_date FROM (SELECT *, {_BY_CUSTOMER} FROM videos) WHERE rn = 1 AND (o_custkey % 3 = 0 OR o_custkey % 5 <> 0))
 SELECT coalesce(new.ytid, old.ytid) AS ytid, CASE WHEN new.ytid IS NOT NULL THEN new.title ELSE old.title END AS title, CASE WHEN new.ytid IS NOT NULL THEN new.upload_date ELSE old.upload_date END AS upload_date, old.upload_type
 FROM old FULL JOIN new ON old.ytid = new.ytid"""
 )
 def video_upsert(spark, sf):
     v = views.videos(spark, sf)
     old = v.select(F.col("o_custkey").alias("ytid")).distinct().where("ytid % 3 <> 0").select("ytid", F.lit("old").alias("title"), F.lit(None).cast("string").alias("upload_date"), (F.col("ytid") % 2).alias("upload_type"))
-    new = T.distinct_on(v, "o_custkey", [F.col("upload_date").desc_nulls_last(), F.length("title").desc(), F.col("o_orderkey")]).where("o_custkey % 5 <> 0")
+    new = T.distinct_on(v, "o_custkey", [F.col("upload_date").desc_nulls_last(), F.length("title").desc(), F.col("o_orderkey")]).where("o_custkey % 3 = 0 or o_custkey % 5 <> 0")
     new = new.select(F.col("o_custkey").alias("ytid"), "title", F.col("upload_date").cast("string").alias("upload_date"))
     return T.upsert(old, new, ["ytid"], overwrite=["title", "upload_date"])
 
 
 @query(
     """WITH old AS (SELECT doc_id, lang, n_chars AS word_count, NULL::BIGINT AS segment_count FROM documents WHERE doc_id % 2 = 0),
-new AS (SELECT doc_id, 'xx' AS lang, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id END AS word_count, quality::BIGINT AS segment_count FROM labels)
+new AS (SELECT d.doc_id, 'xx' AS lang, CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE d.doc_id END AS word_count, quality::BIGINT AS segment_count FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 2 <> 0 OR l.doc_id IS NOT NULL)
 SELECT coalesce(new.doc_id, old.doc_id) AS doc_id, CASE WHEN new.doc_id IS NOT NULL THEN new.lang ELSE old.lang END AS lang, coalesce(new.word_count, old.word_count) AS word_count, coalesce(new.segment_count, old.segment_count) AS segment_count
 FROM old FULL JOIN new ON old.doc_id = new.doc_id"""
 )
 def transcript_upsert_coalesce(spark, sf):
     old = table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", "lang", F.col("n_chars").alias("word_count"), F.lit(None).cast("long").alias("segment_count"))
-    new = table(spark, sf, "labels").select("doc_id", F.lit("xx").alias("lang"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("word_count"), F.col("quality").cast("long").alias("segment_count"))
+    label = table(spark, sf, "labels").withColumnRenamed("doc_id", "k")
+    new = table(spark, sf, "documents").join(label, F.col("doc_id") == F.col("k"), "left").where("doc_id % 2 <> 0 or k is not null").select("doc_id", F.lit("xx").alias("lang"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("word_count"), F.col("quality").cast("long").alias("segment_count"))
     return T.upsert(old, new, ["doc_id"], overwrite=["lang"], fill=["word_count", "segment_count"])
 
 
 @query(
-    """WITH old AS (SELECT source || '/' || doc_id AS path, lang AS kind, n_chars AS bytes FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT source || '/' || doc_id AS path, 'new' AS kind, n_chars + 1 AS bytes FROM documents WHERE doc_id % 2 = 0)
+    """WITH old AS (SELECT source || '/' || doc_id AS path, lang AS kind, n_chars AS bytes FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT source || '/' || doc_id AS path, 'new' AS kind, n_chars + 1 AS bytes FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)
 SELECT coalesce(new.path, old.path) AS path, coalesce(new.kind, old.kind) AS kind, coalesce(new.bytes, old.bytes) AS bytes FROM old FULL JOIN new ON old.path = new.path"""
 )
 def asset_upsert(spark, sf):
     d = table(spark, sf, "documents").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
     old = d.where("doc_id % 3 <> 0").select("path", F.col("lang").alias("kind"), F.col("n_chars").alias("bytes"))
-    new = d.where("doc_id % 2 = 0").select("path", F.lit("new").alias("kind"), (F.col("n_chars") + 1).alias("bytes"))
+    new = d.where("doc_id % 2 = 0 or doc_id % 3 = 0").select("path", F.lit("new").alias("kind"), (F.col("n_chars") + 1).alias("bytes"))
     return T.upsert(old, new, ["path"], overwrite=["kind", "bytes"])
 
 
 @query(
-    f"""WITH {WORDS}, base AS (SELECT ytid, CASE WHEN doc_id % 3 = 0 THEN 'yt' ELSE 'whisper' END AS source, idx, lower(word) AS word, start_ms, end_ms, seg FROM words WHERE doc_id < 100 AND end_ms >= start_ms),
-old AS (SELECT * FROM base WHERE idx % 2 = 0), new AS (SELECT ytid, source, idx, word || '!' AS word, start_ms, end_ms + 1 AS end_ms, seg FROM base WHERE idx % 3 = 0)
+    f"""WITH {WORDS}, base AS MATERIALIZED (SELECT ytid, CASE WHEN doc_id % 3 = 0 THEN 'yt' ELSE 'whisper' END AS source, idx, lower(word) AS word, start_ms, end_ms, seg FROM words WHERE end_ms >= start_ms),
+old AS (SELECT * FROM base WHERE idx % 2 = 0), new AS (SELECT ytid, source, idx, word || '!' AS word, start_ms, end_ms + 1 AS end_ms, seg FROM base WHERE idx % 2 <> 0 OR idx % 3 = 0)
 SELECT coalesce(new.ytid, old.ytid) AS ytid, coalesce(new.source, old.source) AS source, coalesce(new.idx, old.idx) AS idx, coalesce(new.word, old.word) AS word, coalesce(new.start_ms, old.start_ms) AS start_ms, coalesce(new.end_ms, old.end_ms) AS end_ms, coalesce(new.seg, old.seg) AS seg
-FROM old FULL JOIN new ON old.ytid = new.ytid AND old.source = new.source AND old.idx = new.idx""".replace("WHERE doc_id < 100 AND ", "WHERE ")
+FROM old FULL JOIN new ON old.ytid = new.ytid AND old.source = new.source AND old.idx = new.idx"""
 )
 def word_upsert(spark, sf):
     raw = F.when(F.col("doc_id") % 3 == 0, "YT").when(F.col("doc_id") % 3 == 1, "other").otherwise("whisper")
     base = views.words(spark, sf).withColumn("raw", raw).where(T.valid_interval("start_ms", "end_ms") & (F.col("ytid") != ""))
     base = base.select("ytid", T.known_source("raw").alias("source"), "idx", F.lower("word").alias("word"), "start_ms", "end_ms", "seg")
     old = base.where("idx % 2 = 0")
-    new = base.where("idx % 3 = 0").withColumns({"word": F.concat("word", F.lit("!")), "end_ms": F.col("end_ms") + 1})
+    new = base.where("idx % 2 <> 0 or idx % 3 = 0").withColumns({"word": F.concat("word", F.lit("!")), "end_ms": F.col("end_ms") + 1})
     return T.upsert(old, new, ["ytid", "source", "idx"], overwrite=["word", "start_ms", "end_ms", "seg"])
 
 

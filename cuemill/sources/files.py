@@ -226,11 +226,12 @@ def corrections(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).where(~F.startswith(F.trim("value"), F.lit("#")) & (F.size(p) >= 2)).select(F.get(p, 0).alias("miss"), F.get(p, 1).alias("fix"))
 
 
-def hotwords(spark: SparkSession, path) -> DataFrame:
-    """Distinct terms as first seen, joined with commas, in one row."""
+def hotwords(spark: SparkSession, path, *keep: str) -> DataFrame:
+    """Distinct terms as first seen, joined with commas, one row a file, with the
+    partition columns of the folder that are to be kept."""
     whole_ = spark.read.text(path, wholetext=True)
     terms = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
-    return whole_.select(F.array_join(F.array_distinct(terms), ", ").alias("hotwords"))
+    return whole_.select(*keep, F.array_join(F.array_distinct(terms), ", ").alias("hotwords"))
 
 
 def latest_nonempty(files: DataFrame) -> DataFrame:
@@ -249,3 +250,10 @@ def with_media(ids: DataFrame, files: DataFrame, key: str = "id") -> DataFrame:
     rank = F.nullif(F.array_position(F.array(*map(F.lit, MEDIA)), ext), F.lit(0))
     m = files.withColumns({"__k": S.id_before_mark("name"), "__r": rank}).where("__r is not null").groupBy("__k").agg(F.min_by("path", F.struct("__r", "path")).alias("media"))
     return ids.join(m, F.col(key) == F.col("__k"), "left").drop("__k")
+
+
+def discovered(media: DataFrame, other: DataFrame) -> DataFrame:
+    """Distinct ids of the media files of one listing and of any file of another."""
+    ext = F.lower(F.element_at(F.split("name", r"\."), -1))
+    own = media.where(ext.isin(*MEDIA)).select(S.id_before_mark("name").alias("id"))
+    return own.unionByName(other.select(S.id_before_mark("name").alias("id"))).where("id is not null").distinct()

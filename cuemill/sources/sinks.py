@@ -66,8 +66,8 @@ def words_rows(words: DataFrame) -> DataFrame:
     return words.select(three("start").alias("start"), three("end").alias("end"), "word", "seg", three("confidence").alias("confidence"), F.col("retried").cast("int").alias("retried"))
 
 
-def manifest_rows(segments: DataFrame) -> DataFrame:
-    return segments.select("media_file", "segment_idx", *[F.col(c).cast("decimal(18,3)").cast("string").alias(c) for c in ("start_time", "end_time", "confidence")], S.scrub("text").alias("text"))
+def manifest_rows(segments: DataFrame, *keep: str) -> DataFrame:
+    return segments.select(*keep, "media_file", "segment_idx", *[F.col(c).cast("decimal(18,3)").cast("string").alias(c) for c in ("start_time", "end_time", "confidence")], S.scrub("text").alias("text"))
 
 
 def split(flagged: DataFrame, flag: str, yes: str, no: str) -> None:
@@ -100,6 +100,19 @@ def provenance_new(wanted: DataFrame, there: DataFrame, key: str = "id") -> Data
     return wanted.join(there.select(key), key, "left_anti")
 
 
+def archive_appended(archive: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """An archive with further entries: each (extractor, id) once, at its first
+    place; ``order`` holds the places in both, the archive's come first."""
+    both = archive.withColumn("__side", F.lit(0)).unionByName(new.withColumn("__side", F.lit(1)))
+    rows = both.groupBy("extractor", "id").agg(F.min(F.struct("__side", order)).alias("__at"))
+    return rows.select("extractor", "id", F.col(f"__at.{order}").alias(order))
+
+
+def id_list(videos: DataFrame, key: str = "ytid") -> DataFrame:
+    """The sorted distinct ids of a batch."""
+    return videos.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key)
+
+
 def wordspan(match: DataFrame) -> DataFrame:
     """A match as a JSON document with its frames."""
     rate = S.fps("fps_text")
