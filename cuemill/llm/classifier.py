@@ -9,6 +9,9 @@ documents there are.  Its posterior is the weak label of each pattern.  On a
 bounded sample a logistic scorer over hashed words and word shapes learns the
 weak labels, so that it also judges what no labeller looks at; it then scores
 every document.
+
+Texts are read once: votes and hashed features of every document are staged, and
+histogram, sample and scores come from them.
 """
 
 from __future__ import annotations
@@ -21,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_of, slices, utf8
-from .quality import WORDS
+from .common import sample_of, slices, staged, utf8
 
 BAD, GOOD, NONE = 0, 1, 2
 DIMENSIONS = 1 << 18
@@ -33,7 +35,14 @@ SLICE_BYTES = 4 << 20
 EXPECTED, BELIEF = {BAD: (0.35, 0.65), GOOD: (0.01, 0.99)}, 0.05
 KEEP = 0.5  #: least score of a document that stays
 
-_STOP = frozenset(w.encode() for w in WORDS)
+# Frequent function words of four languages, for one labeller.
+FUNCTION_WORDS = {
+    "de": "der die das und ist nicht mit von für auf den dem des ein eine im in zu als auch sich wie bei aus oder nach wird",
+    "en": "the of and to in a is that for it as was with be by on not he this are or from at which but have an had they you",
+    "es": "el la los las de del que y en un una por con para se no es al lo como su más pero sus le o este entre",
+    "fr": "le la les de des du et en un une est que qui dans pour par sur au aux avec ce il ne pas plus se son ou",
+}
+_STOP = frozenset(w.encode() for text in FUNCTION_WORDS.values() for w in text.split())
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 #: letters to a or A, digits to 0, bytes beyond ASCII to a
@@ -92,20 +101,26 @@ def pattern(data: bytes) -> int:
     return out
 
 
-def votes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, pattern) of every row."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, known, pattern, words, shapes, shares) of every row: whether there
+    is a text, the votes, the hashed words, and the hashed word shapes with their
+    weights."""
 
     def run(batches):
         for batch in batches:
             raw, off = utf8(batch.column(1))
-            got = []
+            known = batch.column(1).is_valid()
             for a, b in slices(off, SLICE_BYTES):
                 data = raw[off[a] : off[b]].tobytes()
-                got += [pattern(data[s - off[a] : e - off[a]]) for s, e in zip(off[a:b], off[a + 1 : b + 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int32())], names=["doc_id", "pattern"])
+                texts = [data[s - off[a] : e - off[a]] for s, e in zip(off[a:b], off[a + 1 : b + 1])]
+                rows = [features(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), known.slice(a, b - a), pa.array([pattern(t) for t in texts], pa.int32()), *(pa.array([r[k] for r in rows], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.int32(), pa.float32())))],
+                    names=["doc_id", "known", "pattern", "words", "shapes", "shares"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, pattern int")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, known boolean, pattern int, words array<int>, shapes array<int>, shares array<float>")
 
 
 class LabelModel:
@@ -144,8 +159,9 @@ class LabelModel:
         return dict(zip(LABELLERS, right.tolist()))
 
 
-def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features: each distinct word once, each word shape by its share."""
+def features(data: bytes) -> tuple[list[int], list[int], list[float]]:
+    """Hashed features: each distinct word once, each word shape with its share
+    times three; the words weigh one over the root of their number."""
     crc = zlib.crc32
     words = {w.strip(b".,;:!?\"'()") for w in set(data.translate(_LOWER).split())}
     shapes: dict[bytes, int] = {}
@@ -153,20 +169,25 @@ def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         key = bytes(dict.fromkeys(w))  # the kinds of characters, in order of first sight
         shapes[key] = shapes.get(key, 0) + c
     n = max(1, sum(shapes.values()))
-    at = [crc(w) % DIMENSIONS for w in words] + [crc(s, 1) % DIMENSIONS for s in shapes]
-    scale = 1 / max(1.0, len(words)) ** 0.5
-    value = [scale] * len(words) + [3.0 * c / n for c in shapes.values()]
-    return np.array(at, np.int32), np.array(value, np.float32)
+    return sorted(crc(w) % DIMENSIONS for w in words), [crc(s, 1) % DIMENSIONS for s in shapes], [3.0 * c / n for c in shapes.values()]
+
 
+def flattened(words, shapes, shares) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, value) of all features of some rows of ``measured``."""
+    rows, places, values = [], [], []
+    for at, value in ((words, None), (shapes, shares)):
+        counts = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        rows.append(np.repeat(np.arange(len(at)), counts))
+        places.append(at.flatten().to_numpy(zero_copy_only=False))
+        values.append(np.repeat(1 / np.sqrt(np.maximum(counts, 1)), counts) if value is None else value.flatten().to_numpy(zero_copy_only=False).astype(float))
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(values)
 
-def fit(rows: list[tuple[float, list[int], list[float]]], rounds: int = 150, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+
+def fit(y: np.ndarray, row: np.ndarray, at: np.ndarray, value: np.ndarray, rounds: int = 150, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic weights for soft labels by full-batch Adam; classes weigh alike."""
-    w, bias = np.zeros(DIMENSIONS), 0.0
-    if not rows:
-        return w.astype(np.float32), bias
-    y = np.array([r[0] for r in rows])
-    at, value = np.concatenate([np.array(r[1], np.int64) for r in rows]), np.concatenate([np.array(r[2]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    w = np.zeros(DIMENSIONS)
+    if not len(y):
+        return w.astype(np.float32), 0.0
     used, at = np.unique(at, return_inverse=True)
     theta = np.zeros(len(used) + 1)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -185,51 +206,31 @@ def fit(rows: list[tuple[float, list[int], list[float]]], rounds: int = 150, rid
 def classified(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(doc_id, pattern, weak_label, score, kept) of every row.
 
-    Null is the empty text, on which nobody votes but those that need no words.
-    Rows with equal texts get equal results; other columns are ignored; an
-    empty table gives an empty result.
+    Null is the empty text, on which nobody votes but those that need no words,
+    and which teaches nothing.  A very long text costs its own task; a score equal
+    to the limit keeps the document; rows with equal texts get equal results;
+    other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    counts = votes(own).groupBy("pattern").count().collect()  # at most 3**len(LABELLERS) rows
+    own = staged(measured(docs, id_col, text), "measured")
+    counts = own.groupBy("pattern").count().collect()  # at most 3**len(LABELLERS) rows
     model = LabelModel({r[0]: r[1] for r in counts})
-    seen = sample_of(own.where(F.col("text").isNotNull()), sample, "doc_id", "text").select("text")
-    taught = seen.mapInArrow(_features(spark.sparkContext.broadcast(model.posterior)), "label double, at array<int>, value array<float>")
-    scorer = spark.sparkContext.broadcast((model.posterior, *fit([tuple(r) for r in taught.collect()])))
+    seen = sample_of(own.where("known"), sample, "doc_id", "words", "shapes").select("pattern", "words", "shapes", "shares").toArrow().combine_chunks()
+    column = lambda c: seen[c].combine_chunks() if isinstance(seen[c], pa.ChunkedArray) else seen[c]
+    y = np.array([model.posterior[p] for p in seen["pattern"].to_pylist()])
+    weights = fit(y, *flattened(column("words"), column("shapes"), column("shares"))) if len(y) else fit(y, y, y, y)
     kind = own.schema["doc_id"].dataType.simpleString()
+    scorer = own.sparkSession.sparkContext.broadcast((model.posterior, *weights))
     return own.mapInArrow(_score(scorer), f"doc_id {kind}, pattern int, weak_label double, score double").withColumn("kept", F.col("score") >= KEEP)
 
 
-def _features(posterior):
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for t in batch.column(0).to_pylist():
-                at, value = features(t.encode())
-                rows.append((posterior.value.get(pattern(t.encode()), 0.5), at, value))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float32()))],
-                names=["label", "at", "value"],
-            )
-
-    return run
-
-
 def _score(scorer):
     def run(batches):
         posterior, w, bias = scorer.value
         for batch in batches:
-            raw, off = utf8(batch.column(1))
-            patterns, labels, scores = [], [], []
-            for i in range(len(batch)):
-                data = raw[off[i] : off[i + 1]].tobytes()
-                p = pattern(data)
-                at, value = features(data)
-                patterns.append(p)
-                labels.append(posterior.get(p, 0.5))
-                z = float(w[at] @ value) + bias
-                scores.append(1 / (1 + np.exp(-min(max(z, -30), 30))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(patterns, pa.int32()), pa.array(labels, pa.float64()), pa.array(scores, pa.float64())], names=["doc_id", "pattern", "weak_label", "score"])
+            row, at, value = flattened(*(batch.column(k) for k in (3, 4, 5)))
+            z = np.bincount(row, w[at] * value, minlength=len(batch)) + bias
+            labels = [posterior.get(p, 0.5) for p in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(labels, pa.float64()), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "pattern", "weak_label", "score"])
 
     return run
 

@@ -349,3 +349,72 @@ def test_classifier(spark, sf, docs):
     got = classifier.report(docs)
     assert got.count() == docs.count()
     assert classifier.report(docs.limit(0)).collect() == []
+
+
+def test_classifier_against_plain_model(spark, sf):
+    """Expectation-maximisation and the scorer, in plain Python, over a whole small table."""
+    own = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "same words"), (-3, "same words"), (-4, "# $ % | " * 60)], "doc_id long, text string"))
+    data = [(r[0], r[1]) for r in own.collect()]
+    names = list(classifier.LABELLERS)
+    votes = {}
+    for i, t in data:
+        f = classifier.facts((t or "").encode())
+        votes[(i, t)] = tuple(classifier.LABELLERS[n](f) for n in names)
+    counts = Counter(votes[x] for x in data)
+    total = sum(counts.values())
+    good = {v: 1 / (1 + np.exp(-(1.0 + v.count(classifier.GOOD) - 4.0 * v.count(classifier.BAD)))) for v in counts}
+    prior = 0.5
+    for _ in range(200):
+        chance = {}
+        for c in (classifier.GOOD, classifier.BAD):
+            for k in range(len(names)):
+                for vote in (classifier.BAD, classifier.GOOD):
+                    mass = sum(n * (good[v] if c == classifier.GOOD else 1 - good[v]) for v, n in counts.items() if v[k] == vote)
+                    chance[c, k, vote] = mass + classifier.BELIEF * total * classifier.EXPECTED[c][vote] + 1e-3
+                both = chance[c, k, classifier.BAD] + chance[c, k, classifier.GOOD]
+                for vote in (classifier.BAD, classifier.GOOD):
+                    chance[c, k, vote] /= both
+        prior = (sum(n * good[v] for v, n in counts.items()) + 1) / (total + 2)
+        new = {}
+        for v in counts:
+            odds = np.log(prior / (1 - prior)) + sum(np.log(chance[classifier.GOOD, k, x] / chance[classifier.BAD, k, x]) for k, x in enumerate(v) if x != classifier.NONE)
+            new[v] = 1 / (1 + np.exp(-max(min(odds, 40), -40)))
+        done, good = max(abs(new[v] - good[v]) for v in counts) < 1e-9, new
+        if done:
+            break
+    taught = [x for x in data if x[1] is not None]
+    rows = []
+    for x in data:
+        words, shapes, shares = classifier.features((x[1] or "").encode())
+        f = Counter()
+        for w in words:
+            f[w] += 1 / max(1, len(words)) ** 0.5
+        for k, share in zip(shapes, shares):
+            f[k] += share
+        rows.append(f)
+    index = {k: n for n, k in enumerate(sorted({k for x, f in zip(data, rows) if x[1] is not None for k in f}))}
+    m = np.zeros((len(taught), len(index) + 1))
+    m[:, -1] = 1
+    for n, f in enumerate(f for x, f in zip(data, rows) if x[1] is not None):
+        for k, v in f.items():
+            m[n, index[k]] = v
+    y = np.array([good[votes[x]] for x in taught])
+    weight = y * (len(y) / 2 / max(y.sum(), 1)) + (1 - y) * (len(y) / 2 / max((1 - y).sum(), 1))
+    theta, first, second = np.zeros(len(index) + 1), 0.0, 0.0
+    for t in range(1, 151):
+        g = m.T @ (weight * (1 / (1 + np.exp(-np.clip(m @ theta, -30, 30))) - y)) / len(y) + 1e-4 * theta
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        theta = theta - 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    want = {x: 1 / (1 + np.exp(-(sum(theta[index[k]] * v for k, v in f.items() if k in index) + theta[-1]))) for x, f in zip(data, rows)}
+    got = classifier.classified(own).join(own.groupBy("doc_id").agg(F.first("text").alias("t")), "doc_id").collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert abs(r.weak_label - good[votes[(r.doc_id, r.t)]]) < 1e-6
+        assert abs(r.score - want[(r.doc_id, r.t)]) < 1e-3
+
+
+def test_all_operators_are_registered():
+    """The entry module leaves the corpus queries out if they cannot be imported: here they can."""
+    import __spark_entry__ as entry
+
+    assert sum(q.startswith("op") for q in entry.queries()) == 10 and "pipeline" in entry.queries()
