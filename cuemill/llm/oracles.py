@@ -17,11 +17,9 @@ def _part(p: str, q: str) -> str:
 
 
 def quality_sql() -> str:
-    words = ", ".join(map(_quoted, quality.WORDS))
-    langs = ", ".join(map(_quoted, quality.COMMON))
     n = len(quality.CLASSES)
     chain = "coalesce(text, '') AS t0"
-    tables = [f"t_0 AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN lang IN ({langs}) THEN lang ELSE 'other' END AS lang, {chain} FROM documents)"]
+    tables = [f"t_0 AS (SELECT row_number() OVER () AS rid, doc_id, lang, {chain} FROM documents)"]
     for k, (_, pattern) in enumerate(quality.CLASSES[:-1]):
         tables.append(f"t_{k + 1} AS (SELECT *, regexp_replace(t{k}, {_quoted(pattern)}, '', 'g') AS t{k + 1} FROM t_{k})")
     sizes = ", ".join(f"(length(t{k}) - length(t{k + 1}))::DOUBLE AS c{k}" for k in range(n - 1)) + f", length(t{n - 1})::DOUBLE AS c{n - 1}"
@@ -36,17 +34,19 @@ word AS (SELECT rid, lang, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d
 win AS (SELECT rid, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS s FROM word WINDOW o AS (PARTITION BY rid ORDER BY i)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM win WHERE s IS NOT NULL) WHERE c > 1),
 rep AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + k AS p FROM twice, (SELECT unnest(range({quality.SHINGLE})) AS k)) GROUP BY rid),
-common AS (SELECT rid, lang, c AS w, count(*)::DOUBLE AS n FROM (SELECT rid, lang, lower(rtrim(w, '.,;:!?')) AS c FROM word) WHERE c IN ({words}) GROUP BY ALL),
-ref AS (SELECT lang, {shares}, greatest(sum(len(w)), 1)::DOUBLE AS words FROM doc GROUP BY lang),
+bare AS (SELECT rid, lang, lower(rtrim(w, '.,;:!?')) AS w, count(*)::DOUBLE AS n FROM word WHERE lang IS NOT NULL GROUP BY ALL),
+top AS (SELECT lang, w FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, w) AS place FROM bare WHERE regexp_matches(w, {_quoted(quality.LETTERS)}) GROUP BY lang, w) WHERE place <= {quality.TOP}),
+common AS (SELECT rid, b.lang, b.w, n FROM bare b JOIN top ON top.lang = b.lang AND top.w = b.w),
+ref AS (SELECT lang, {shares}, greatest(sum(len(w)), 1)::DOUBLE AS words FROM doc WHERE lang IS NOT NULL GROUP BY lang),
 refw AS (SELECT c.lang, w, sum(n) / any_value(words) AS q FROM common c JOIN ref ON ref.lang = c.lang GROUP BY c.lang, w),
 known AS (SELECT lang, sum(q) AS known FROM refw GROUP BY lang),
 seen AS (SELECT c.rid, sum({_part("(n / len(d.w))", "q")} - q) AS s, sum(n) AS m FROM common c JOIN doc d ON d.rid = c.rid JOIN refw r ON r.lang = c.lang AND r.w = c.w GROUP BY c.rid),
 far AS (SELECT d.*, coalesce(rep.n, 0) AS n_repeat, sqrt(greatest(({char}) / 2, 0)) AS cd,
   sqrt(greatest((coalesce(s, 0) + coalesce(known, 0) + {_part("(1 - coalesce(m, 0) / greatest(len(w), 1))", "greatest(1 - coalesce(known, 0), 0)")}) / 2, 0)) AS wd
-  FROM doc d JOIN ref ON ref.lang = d.lang LEFT JOIN known ON known.lang = d.lang LEFT JOIN seen ON seen.rid = d.rid LEFT JOIN rep ON rep.rid = d.rid)
+  FROM doc d LEFT JOIN ref ON ref.lang = d.lang LEFT JOIN known ON known.lang = d.lang LEFT JOIN seen ON seen.rid = d.rid LEFT JOIN rep ON rep.rid = d.rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words,
   len(w) < 10 OR 100 * n_repeat > 20 * len(w) AS base_failed,
-  NOT (len(w) < 10 OR 100 * n_repeat > 20 * len(w)) AND NOT (word_chars >= {quality.MIN_CHARS} AND cd > {quality.MAX_CHAR_DISTANCE}) AND NOT (len(w) >= {quality.MIN_WORDS} AND wd > {quality.MAX_WORD_DISTANCE} + {quality.WORD_NOISE} / sqrt(len(w))) AS kept
+  NOT (len(w) < 10 OR 100 * n_repeat > 20 * len(w)) AND NOT coalesce(word_chars >= {quality.MIN_CHARS} AND cd > {quality.MAX_CHAR_DISTANCE}, false) AND NOT coalesce(lang IS NOT NULL AND len(w) >= {quality.MIN_WORDS} AND wd > {quality.MAX_WORD_DISTANCE} + {quality.WORD_NOISE} / sqrt(len(w)), false) AS kept
 FROM far"""
 
 

@@ -1,31 +1,26 @@
 """Quality rules by distribution divergence, in SQL functions only.
 
 A document's histogram of character classes and its histogram of common words
-are held against those of its language, which are counted over the whole table.
-The measure is the Jensen-Shannon distance (square root of the divergence to
+are held against those of its language.  Both references, and which ``TOP`` words
+are a language's commonest, are counted over the whole table, for every value of
+``lang``.  The measure is the Jensen-Shannon distance (square root of the divergence to
 base 2, 0 to 1).  Short documents have ragged histograms; below the minimum
 lengths a histogram is not judged.
 
-Everything stays inside the row, so a document of any length costs its own
-task only and nothing is shuffled but one small row per language.
+A document's own measures stay inside its row, so a text of any length costs its
+own task only; what is shuffled are word counts, summed in each task beforehand,
+and one small row per language.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, flat, nested, staged
 
-# Frequent function words of each language.
-COMMON = {
-    "de": "der die das und ist nicht mit von für auf den dem des ein eine im in zu als auch sich wie bei aus oder nach wird",
-    "en": "the of and to in a is that for it as was with be by on not he this are or from at which but have an had they you",
-    "es": "el la los las de del que y en un una por con para se no es al lo como su más pero sus le o este entre",
-    "fr": "le la les de des du et en un une est que qui dans pour par sur au aux avec ce il ne pas plus se son ou",
-}
-WORDS = sorted({w for text in COMMON.values() for w in text.split()})
-OTHER = "other"  #: the group of all rows whose language has no list
+TOP = 30  #: commonest words of a language that make its histogram
+LETTERS = r"^[\p{L}']+$"
 
 #: A histogram is judged from so many characters or words on.
 MIN_CHARS, MIN_WORDS = 200, 40
@@ -80,9 +75,26 @@ def repeated_words(words: Column, width: int = SHINGLE) -> Column:
     return let(words, count)
 
 
-def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def bare(word: Column) -> Column:
+    """A word in lower case without the punctuation behind it."""
+    return F.lower(F.rtrim(word, F.lit(".,;:!?")))
+
+
+def top_words(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP) -> DataFrame:
+    """(__top, words): the commonest words of each language, ties by code point.
+    The rank is limited in each task before the languages meet."""
+    words = docs.select(F.col(f"`{lang}`").alias("lang"), F.explode(words_of(F.col(f"`{text}`"))).alias("w")).where("lang is not null")
+    counts = words.groupBy("lang", bare(F.col("w")).alias("w")).agg(F.count("*").alias("n")).where(F.col("w").rlike(LETTERS))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "w"))
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= top)
+    return best.groupBy(F.col("lang").alias("__top")).agg(F.collect_list("w").alias("words"))
+
+
+def measured(docs: DataFrame, tops: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(d, q): the rows of ``docs`` as a struct, and their counts and histograms."""
-    df = nested(docs).withColumn("t0", F.coalesce(F.col("d")[text], F.lit("")))
+    df = nested(docs)
+    df = df.join(tops, F.col("d")[lang] == F.col("__top"), "left")
+    df = df.withColumn("t0", F.coalesce(F.col("d")[text], F.lit("")))
     for k, (_, pattern) in enumerate(CLASSES[:-1]):
         df = df.withColumn(f"t{k + 1}", F.regexp_replace(f"t{k}", pattern, ""))
     sizes = [F.length(f"t{k}") for k in range(len(CLASSES))]
@@ -90,10 +102,7 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     rest = F.length("t1") - F.length(F.regexp_replace("t1", r"[#*$%&|<>]+", ""))
     lines = F.filter(F.split("t0", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("w", words_of(F.col("t0")))
-    common = F.filter(
-        F.transform("w", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))),
-        lambda w: w.isin(*WORDS),
-    )
+    common = F.when(F.col("words").isNotNull(), F.filter(F.transform("w", bare), lambda w: F.array_contains("words", w))).otherwise(F.expr("array()").cast("array<string>"))
     counted = let(common, lambda c: F.transform(F.array_distinct(c), lambda w: F.struct(w.alias("w"), (F.size(c) - F.size(F.array_remove(c, w))).alias("n"))))
     q = F.struct(
         F.size("w").cast("long").alias("n_words"),
@@ -103,15 +112,15 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
         repeated_words(F.col("w")).cast("long").alias("n_repeat_words"),
         classes.alias("classes"),
         counted.alias("common"),
-        F.when(F.col("d")[lang].isin(*COMMON), F.col("d")[lang]).otherwise(OTHER).alias("lang"),
+        F.col("d")[lang].alias("lang"),
     )
     return df.select("d", q.alias("q"))
 
 
 def histograms(own: DataFrame) -> DataFrame:
-    """One row per language, at most one more than ``COMMON`` has: the shares of
-    character classes and of common words over all of ``measured``."""
-    df = own.select("q.*")
+    """One row per language: the shares of character classes and of common words
+    over all of ``measured``."""
+    df = own.select("q.*").where("lang is not null")
     sums = df.groupBy("lang").agg(
         F.sum("n_words").alias("n"), *[F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(len(CLASSES))]
     )
@@ -167,16 +176,19 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", max_char: fl
     """(d, v): the rows of ``docs`` as a struct, and a struct of the counts, both
     distances (null below the minimum length), ``base_failed`` and ``kept``.
 
-    Null texts are empty texts and fail the base rule; rows of an unknown or
-    null language are held against the pool of all such rows; repeated rows get
-    equal verdicts; columns of ``docs`` pass through untouched, whatever their
-    names, the text only with ``with_text``.  Texts are measured once: the measures are staged, the
-    references are summed from them and held against them.
+    Null texts are empty texts and fail the base rule.  Rows of one language, by
+    any name, are held against that language only; rows of a null language have
+    none to be held against and are judged by the base rule alone, as a mixture
+    of scripts would condemn the rarer ones.  A very long text costs its own task;
+    at a distance equal to the limit a document stays; repeated rows get equal
+    verdicts; columns of ``docs`` pass through untouched, whatever their names,
+    the text only with ``with_text``; an empty table stays empty.  The measures
+    are staged, the references are summed from them and held against them.
     """
     kept = [c for c in docs.columns if with_text or c.lower() != text.lower()]
-    own = measured(docs, text, lang).select(F.struct(*[F.col("d")[c].alias(c) for c in kept]).alias("d"), "q")
+    own = measured(docs, staged(top_words(docs, text, lang), "top"), text, lang).select(F.struct(*[F.col("d")[c].alias(c) for c in kept]).alias("d"), "q")
     own = staged(own, "measured")
-    refs = F.broadcast(histograms(own))  # a row for each of COMMON and one more
+    refs = staged(histograms(own), "references")
     q = F.col("q")
     df = own.join(refs, q["lang"] == F.col("__lang"), "left")
     chars = F.when(q["word_chars"] >= MIN_CHARS, char_distance(q["classes"], F.col("ref_classes")))
