@@ -6,13 +6,14 @@ of word numbers, so comparing numbers is comparing words.  For each pattern
 length there is
 
 * a *shift table*: for every block of ``BLOCK`` words the least distance from
-  its end to a pattern's end.  A text position whose block has a shift above 0
-  cannot end a match and is skipped, for all positions of a batch at once;
+  its end to a pattern's end.  The text is read by cursors, one for every ``RUN``
+  words, that look at the block where they stand and jump ahead by its shift, so
+  most positions are never looked at;
 * *suffix buckets*: the patterns by the number of their last block.  A position
   of shift 0 is compared only with the patterns of its own bucket, from the
   last word to the first.
 
-Matches are exact, so no verification beyond the direct comparison is needed.
+Bucket numbers may clash; the direct comparison of all words decides.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 from .common import slices, unused, utf8
 
 BLOCK = 3
+RUN = 64  #: words that one cursor reads
 #: Benchmark bytes that one broadcast holds; a larger benchmark is searched in
 #: blocks of this size, one pass after the other.
 BLOCK_BYTES = 16 << 20
@@ -70,19 +72,33 @@ class Length:
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def _stops(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of shift 0 and the numbers of their blocks."""
+        at = np.arange(self.m - 1, len(ids), RUN)
+        limit = np.minimum(at + RUN, len(ids))
+        ends, keys = [], []
+        while len(at):
+            key = np.zeros(len(at), np.uint64)
+            for j in range(self.block - 1, -1, -1):
+                key = key * np.uint64(self.base) + ids[at - j].astype(np.uint64)
+            shift = self.shift[self.slot(key)]
+            stop = shift == 0
+            ends.append(at[stop])
+            keys.append(key[stop])
+            at = at + np.maximum(shift, 1)
+            go = at < limit
+            at, limit = at[go], limit[go]
+        ends, keys = np.concatenate(ends), np.concatenate(keys)
+        order = np.argsort(ends)
+        return ends[order], keys[order]
+
     def find(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, pattern) of each occurrence in ``ids``; ``begins`` holds for
         every word the position at which its document begins."""
-        n, m, b = len(ids), self.m, self.block
+        n, m = len(ids), self.m
         if n < m:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ends = np.arange(m - 1, n)
-        ends = ends[ids[ends] > 0]
-        key = np.zeros(len(ends), np.uint64)
-        for j in range(b - 1, -1, -1):
-            key = key * np.uint64(self.base) + ids[ends - j].astype(np.uint64)
-        stop = self.shift[self.slot(key)] == 0
-        ends, key = ends[stop], key[stop]
+        ends, key = self._stops(ids)
         at = np.searchsorted(self.suffixes, key)
         at[at == len(self.suffixes)] = 0
         stop = (self.suffixes[at] == key) & (ends - m + 1 >= begins[ends])
@@ -91,7 +107,7 @@ class Length:
         where = np.repeat(ends, many)
         inner = np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many)
         pattern = self.order[np.repeat(self.first[at], many) + inner]
-        for j in range(b, m):  # the last block is equal already
+        for j in range(m):
             same = ids[where - j] == self.patterns[pattern, m - 1 - j]
             where, pattern = where[same], pattern[same]
         return where - m + 1, pattern
@@ -102,14 +118,24 @@ class WuManber:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
+        self.items = np.array([item for item, _ in items], object)
+        windows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
+        for k, (_, text) in enumerate(items):
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
             m = min(window, len(ids))
-            for i in range(len(ids) - m + 1 if m else 0):
-                by_length.setdefault(m, {}).setdefault(tuple(ids[i : i + m]), set()).add(item)
-        size = len(self.vocabulary) + 1
-        self.lengths = [(Length(np.array(list(x), np.int32), size), [sorted(v) for v in x.values()]) for x in by_length.values()]
+            if m:
+                own = np.lib.stride_tricks.sliding_window_view(ids, m)
+                windows.setdefault(m, []).append(own)
+                owners.setdefault(m, []).append(np.full(len(own), k, np.int32))
+        self.lengths = []
+        for m, parts in windows.items():
+            rows = np.ascontiguousarray(np.concatenate(parts))
+            _, first, inverse = np.unique(rows.view(np.dtype((np.void, 4 * m))).ravel(), return_index=True, return_inverse=True)
+            order = np.argsort(inverse, kind="stable")
+            ends = np.cumsum(np.bincount(inverse))
+            # the items of pattern p are those of owner[ends[p - 1] : ends[p]]
+            self.lengths.append((Length(rows[first], len(self.vocabulary) + 1), np.concatenate(owners[m])[order], np.concatenate(([0], ends))))
 
     def search(self, raw: np.ndarray, off: np.ndarray):
         """Of each document: its words, hit word ranges and items."""
@@ -122,12 +148,12 @@ class WuManber:
         begins = np.repeat(start[:-1], count)
         spans: list[list[tuple[int, int]]] = [[] for _ in split]
         items: list[set] = [set() for _ in split]
-        for length, owners in self.lengths:
+        for length, owner, ends in self.lengths:
             found, pattern = length.find(ids, begins)
             doc = np.searchsorted(start, found, side="right") - 1
             for d, s, p in zip(doc.tolist(), (found - start[doc]).tolist(), pattern.tolist()):
                 spans[d].append((s, s + length.m))
-                items[d].update(owners[p])
+                items[d].update(self.items[owner[ends[p] : ends[p + 1]]])
         return count, spans, items
 
 
@@ -155,9 +181,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     (s, e) covered by occurrences of benchmark windows, and the items found.
 
     Null texts have no words; items without words or with a null id are never
-    found; repeated rows and items give repeated rows and one item; an empty
-    benchmark finds nothing.  An existing column ``into`` is replaced, all
-    other columns pass through.
+    found; repeated rows and items give repeated rows and one item; occurrences
+    that overlap are one range; a very long text costs its own task; an empty
+    table or an empty benchmark finds nothing.  An existing column ``into`` is
+    replaced, all other columns pass through.
     """
     spark = docs.sparkSession
     own = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).dropna()
