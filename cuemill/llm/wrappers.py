@@ -26,13 +26,15 @@ import html as entities
 import itertools
 import json
 import re
-import zlib
 from bisect import bisect_left
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 DEALS = 16  #: parts of a host's structures that are aligned apart before they are joined
 HELD = 20_000  #: structures that a task holds before it passes them on
 EVIDENCE = 3  #: different pages from which on equal text is fixed text
@@ -114,7 +116,7 @@ def blocks(html: str) -> tuple[list[Block], list[str]]:
                 path = "/".join(x[0] for x in stack)
                 top = stack[-1] if stack else ("", False, False)
                 out.append(Block(path, plain, top[2], top[1], linked * 2 > len(plain)))
-                stream.append(f"#{zlib.crc32(plain.encode()):08x}")
+                stream.append("#" + xxhash.xxh3_64_hexdigest(plain.encode()))
             text.clear()
         linked = 0
 
@@ -392,7 +394,7 @@ def extract(html: str | None, constant: frozenset | set = frozenset(), wrapper:
     else:
         kept = [b for b in found if b.main and not b.drop]
     if not kept and not wrapper:
-        kept = [b for b in found if not b.drop and not b.linked and f"#{zlib.crc32(b.text.encode()):08x}" not in constant]
+        kept = [b for b in found if not b.drop and not b.linked and "#" + xxhash.xxh3_64_hexdigest(b.text.encode()) not in constant]
     return "\n".join(b.text for b in kept)
 
 
@@ -480,9 +482,12 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page.  Null html is an empty page
     with empty text; pages without a host share the host ''; repeated rows and
-    pages give equal texts; other columns are ignored."""
+    pages give equal texts; elements that are never closed end with their parent or
+    the page; a very long page costs its own task; an empty table stays empty; other
+    columns are ignored."""
     kind = pages.schema[id_col].dataType.simpleString()
-    known = wrappers(pages, id_col, url, html).select(F.col("host").alias("h"), "wrapper")
+    # staged: the join sees how large the wrappers are, broadcasts them only below Spark's bound, and can split a hot host
+    known = staged(wrappers(pages, id_col, url, html).select(F.col("host").alias("h"), "wrapper"), "wrappers")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     pattern = r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
     own = own.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", pattern, 1), F.lit(""))))

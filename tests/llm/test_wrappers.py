@@ -53,3 +53,26 @@ def test_wrapper_reads_all_pages_alike(spark):
     one, many = ([tuple(r) for r in wrappers.wrappers(df.repartition(n)).collect()] for n in (1, 7))
     assert one == many and one[0][1] == 90
     assert {r.page_id for r in wrappers.report(df).collect() if "Site name" in r.text or ("same" in r.text) == (r.page_id == 77)} == set()
+
+
+def test_altered_wrapper_alters_the_text():
+    """With the tag rules out of play the wrapper decides what stays."""
+    page = "<body><div>Alpha line</div><h2>Beta line</h2><p>text {k}</p></body>"
+    wrapper = wrappers.infer([wrappers.blocks(page.format(k=k))[1] for k in range(4)])
+    assert wrappers.extract(page.format(k=2), wrapper=wrappers.Matcher(wrapper)) == "text 2"
+    for fixed in sorted(wrappers.fixed(wrapper)):
+        altered = ["#" if x == fixed else x for x in wrapper]
+        got = wrappers.extract(page.format(k=2), wrapper=wrappers.Matcher(altered))
+        assert got in ("Alpha line\ntext 2", "Beta line\ntext 2")
+
+
+def test_long_and_broken_pages(spark):
+    """A page of a million characters, thousands of unclosed elements, columns of clashing names."""
+    long = "<body><div>Site</div>" + "".join(f"<p>line {k}</p>" for k in range(40_000)) + "</body>"
+    unclosed = "<body>" + "<div><b><i>" * 5000 + "deep text"
+    rows = [(1, "http://h/1", long, "t", 5, "h"), (2, "http://g/1", unclosed, "t", 5, "h"), (3, None, "<p>no host", None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, host string")
+    got = {r.page_id: r for r in wrappers.main_text(df).collect()}
+    assert got[1].text.count("\n") >= 39_999 and got[1].n_chars == len(got[1].text)
+    assert got[2].text == "deep text" and got[3].text == "no host"
+    assert wrappers.main_text(df.limit(0)).collect() == []
