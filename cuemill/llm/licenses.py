@@ -95,6 +95,8 @@ SPELLINGS = [
     ("https:", "http:"),
     ("(c)", "©"),
 ]
+#: A line that can be a notice, whatever stands between its words.
+CANDIDATE = r"(?i)licen[cs]e|spdx|released[^\p{L}\p{N}]+under|subject[^\p{L}\p{N}]+to"
 # Words after which "copyright" goes on as a sentence, not as a notice.
 _SENTENCE = "a above all and any are as but by can claim claims disclaimer doctrine doctrines for from has holder holders if in infringement interest interests is it its law laws license licensed licenses licensor may must not notice notices of on or owned owner owners ownership patent permission policy protected protection right rights shall statement statements such term terms that the their this to treaties treaty under will with within work works you your".split()
 
@@ -149,7 +151,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", texts=None
     licences that they name, sorted and comma-joined.
 
     Null and empty texts, and texts of copyright lines only, have a null digest
-    and no licence.  Rows are judged one by one, so repeated rows and ids give
+    and no licence; a very long text costs its own task; of licences of one digest
+    the first by name counts.  Rows are judged one by one, so repeated rows and ids give
     as many results; other columns are ignored; no rows give no rows.
     """
     whole, lines = known(docs.sparkSession, texts, notices)
@@ -158,7 +161,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", texts=None
     all_ = F.broadcast(whole.select(F.col("digest").alias("d"), F.col("license")))
     names = F.create_map(*[F.lit(x) for pair in few.items() for x in pair]) if few else F.expr("map()").cast("map<string,string>")
     # only lines that can be notices are digested: those with a word that every notice has one of
-    some = r"(?i)licen[cs]e|spdx|released under|licensed under|subject to"
+    some = CANDIDATE
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     candidates = F.filter(F.split(own, r"\r\n|\r|\n", -1), lambda x: x.rlike(some)) if notices is None else F.split(own, r"\r\n|\r|\n", -1)
     hits = F.filter(F.transform(candidates, lambda x: F.try_element_at(names, F.coalesce(digest(x), F.lit("")))), lambda x: x.isNotNull())

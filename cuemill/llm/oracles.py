@@ -119,6 +119,6 @@ def licenses_sql() -> str:
     return f"""WITH lines AS (SELECT min(name) AS name, {canonical('t')} AS f FROM (VALUES {notices}) v(name, t) GROUP BY 2),
 whole AS (SELECT min(name) AS name, {canonical('t')} AS f FROM (VALUES {notices}, {texts}) v(name, t) GROUP BY 2),
 doc AS (SELECT row_number() OVER () AS rid, doc_id, text, {canonical('text')} AS f FROM documents),
-hit AS (SELECT rid, lines.name FROM (SELECT rid, {canonical('line')} AS f FROM (SELECT rid, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM doc) WHERE regexp_matches(line, '(?i)licen[cs]e|spdx|released under|licensed under|subject to')) c JOIN lines ON lines.f = c.f)
+hit AS (SELECT rid, lines.name FROM (SELECT rid, {canonical('line')} AS f FROM (SELECT rid, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM doc) WHERE regexp_matches(line, {_quoted(licenses.CANDIDATE)})) c JOIN lines ON lines.f = c.f)
 SELECT doc_id, CASE WHEN doc.f <> '' THEN sha256(doc.f) END AS digest, whole.name AS license, count(hit.rid) AS n_notices, coalesce(string_agg(DISTINCT hit.name, ',' ORDER BY hit.name), '') AS notices
 FROM doc LEFT JOIN whole ON whole.f = doc.f LEFT JOIN hit ON hit.rid = doc.rid GROUP BY doc.rid, doc_id, doc.f, whole.name"""

@@ -74,3 +74,15 @@ def test_sentences_stay(line):
 ])
 def test_notices_go(line):
     assert notice(line)
+
+
+def test_notices_in_any_spacing_and_long_texts(spark):
+    """What stands between the words of a notice does not matter; a text of
+    millions of characters, clashing column names and ties have results."""
+    mit = licenses.TEXTS["MIT"]
+    rows = [(1, "Released  under CC0 1.0", "x", 1), (2, "released-under the\tMIT license", "x", 1), (3, "word " * 400_000 + "\nReleased under the MIT license", "x", 1), (4, mit, "x", 1), (4, mit, "x", 1), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, hits int")
+    got = licenses.scan(df).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == 6 and by[1].notices.startswith("CC0") and by[2].notices == by[3].notices == "MIT"
+    assert by[4].license == "MIT" and by[5].digest is None
