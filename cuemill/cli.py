@@ -99,14 +99,8 @@ def voice(spark, a):
 
 def stitch(spark, a):
     """Ordered batch lists of clip files."""
-    listing = files.listing(spark, a.path)
-    start, _ = S.clip_span("name")
-    f = listing.withColumns({"day": S.title_date("name"), "at": start})
-    order = {"date_timestamp": ["at", "path"], "timestamp": ["at", "path"], "name": ["path"], "time": ["modified", "path"]}[a.sort]
-    if a.sort == "timestamp":
-        f = f.where("at is not null")
-    bucket = {"date_timestamp": F.col("day"), "timestamp": F.floor("at"), "name": F.lit(0), "time": F.to_date("modified")}[a.sort]
-    sinks.batch_lists(recon.batches(f.withColumn("bucket", bucket), "bucket", [F.col(c) for c in order], a.size)).write.mode("overwrite").parquet(a.out)
+    ordered = recon.clip_order(files.listing(spark, a.path), a.sort, ["path"], a.size)
+    sinks.batch_lists(ordered).write.mode("overwrite").parquet(a.out)
 
 
 def watch(spark, a):

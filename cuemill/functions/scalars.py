@@ -237,6 +237,13 @@ def label(text) -> Column:
     return F.translate(F.regexp_replace(col(text), "[^-A-Za-z0-9_. ]", ""), " ", "_")
 
 
+def natural_key(name) -> Column:
+    """A text that sorts names with their numbers as numbers."""
+    parts = F.regexp_extract_all(F.lower(col(name)), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    digits = lambda x: F.when(F.length(x) < 20, F.lpad(x, 20, "0")).otherwise(x)
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), digits(x)).otherwise(x)), "")
+
+
 def short_title(text, most: int) -> Column:
     return F.substring(col(text), 1, most)
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import to_cents
+from ..functions.scalars import clip_span, natural_key, title_date, to_cents
+from ..sources.shared import staged
 
 MODES = ("half_up", "floor", "ceiling")
 
@@ -44,18 +45,20 @@ def clips_tolerant(clips: DataFrame, existing: DataFrame, before: str = "0.00",
     among the nine roundings of both ends (half up, floor, ceiling; the start's
     first), NULL without one.
 
-    Only the existing clips of the same id can match, so their spans are gathered
-    per id and probed in the row: one join, no row per candidate, no regrouping.
-    An id's clips are few by nature; were one to hold very many, the nine
-    candidates could be exploded and joined instead.
+    The start's roundings are its cents cut off and at most one cent more, so the
+    existing spans are gathered by id and start in cents, each under its own start
+    and the one before: one join, no row per candidate, and what is gathered are
+    the spans of one id that start within two cents.
     """
     keyed = clip_keys(clips, before, after)
-    spans = existing.select("id", F.struct(F.col("start").cast("decimal(12,2)").alias("s"), F.col("end").cast("decimal(12,2)").alias("e")).alias("x")).distinct()
-    per = spans.groupBy("id").agg(F.collect_set("x").alias("__there")).withColumnRenamed("id", "__i")
-    joined = keyed.join(per, F.col("id") == F.col("__i"), "left")
+    cents = lambda c: (F.floor(F.col(c), F.lit(2)) * 100).cast("long")
+    spans = existing.select(F.col("id").alias("__i"), F.struct(F.col("start").cast("decimal(12,2)").alias("s"), F.col("end").cast("decimal(12,2)").alias("e")).alias("x")).distinct()
+    own = (F.col("x.s") * 100).cast("long")
+    per = spans.select("__i", "x", F.explode(F.array(own, own - 1)).alias("__c")).groupBy("__i", "__c").agg(F.collect_list("x").alias("__there"))
+    joined = keyed.join(per, (F.col("id") == F.col("__i")) & (cents("s_adj") == F.col("__c")), "left")
     tries = [F.struct(to_cents("s_adj", a).alias("s"), to_cents("e_adj", b).alias("e")) for a in MODES for b in MODES]
     found = F.coalesce(*[F.when(F.array_contains("__there", t), t) for t in tries])
-    return joined.withColumn("__f", found).withColumns({"found_start": F.col("__f.s"), "found_end": F.col("__f.e")}).drop("__f", "__i", "__there")
+    return joined.withColumn("__f", found).withColumns({"found_start": F.col("__f.s"), "found_end": F.col("__f.e")}).drop("__f", "__i", "__c", "__there")
 
 
 def compare_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -84,14 +87,41 @@ def batches(df: DataFrame, bucket: str, order: list, size: int) -> DataFrame:
     """``df`` with a global ``ordinal`` (from 1) and ``batch`` (from 0) in the
     order of ``bucket`` (NULL last), then ``order``, which must break all ties.
 
-    A row number over everything would gather everything in one task.  Here rows
-    are numbered inside their bucket, such as a day, and the buckets' running
-    counts, one small row each, are added.
+    A row number over everything would gather everything in one task, and one
+    over each bucket a hot bucket.  Here rows are dealt by ranges of the whole
+    order, numbered inside their range, and the ranges' running counts, one small
+    row each, are added.  The dealt rows are staged: their places are asked for
+    twice and must not change.
     """
-    counts = df.groupBy(bucket).agg(F.count("*").alias("__c"))
-    up = Window.orderBy(F.col(bucket).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(bucket).alias("__b"), F.coalesce(F.sum("__c").over(up), F.lit(0)).alias("__o"))
-    inside = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
-    out = df.withColumn("__n", inside).join(offsets, F.col(bucket).eqNullSafe(F.col("__b")))
-    ordinal = F.col("__n") + F.col("__o")
-    return out.withColumns({"ordinal": ordinal.cast("long"), "batch": F.floor((ordinal - 1) / size).cast("long")}).drop("__n", "__b", "__o")
+    by = [F.col(bucket).asc_nulls_last(), *[F.col(c) if isinstance(c, str) else c for c in order]]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id())
+    dealt = staged(dealt.withColumns({"__p": F.shiftright("__m", 33), "__n": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__m"), "ordered")
+    up = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(F.col("__p").alias("__b")).agg(F.count("*").alias("__c"))
+    offsets = counts.select("__b", F.coalesce(F.sum("__c").over(up), F.lit(0)).alias("__o"))
+    out = dealt.join(offsets, F.col("__p") == F.col("__b"))
+    at = F.col("__n") + F.col("__o")
+    return out.withColumns({"ordinal": (at + 1).cast("long"), "batch": F.floor(at / size).cast("long")}).drop("__n", "__p", "__b", "__o")
+
+
+#: The four orders of clips: (bucket, order) before the tie breakers.
+CLIP_ORDERS = {"name": ("natural", []), "time": ("modified", []), "timestamp": ("at", []), "date_timestamp": ("day", ["at"])}
+
+
+def clip_order(clips: DataFrame, kind: str, ties: list[str], size: int, name: str = "name") -> DataFrame:
+    """``clips`` (name[, modified]) numbered and batched in one of the four
+    orders: by name with numbers as numbers, by file time, by start in the name
+    (clips without one go), by date and start in the name."""
+    start, _ = clip_span(name)
+    df = clips.withColumns({"natural": natural_key(name), "at": start, "day": title_date(name)})
+    bucket, order = CLIP_ORDERS[kind]
+    if kind == "timestamp":
+        df = df.where("at is not null")
+    return batches(df, bucket, [*order, *ties], size).drop("natural", "at", "day")
+
+
+def valid_files(files: DataFrame, size: str = "length", name: str = "name", lasts: str | None = None, expected: str | None = None, least: int = 10_240, share: float = 0.6) -> DataFrame:
+    """Files that count as complete: no unfinished suffix, at least ``least``
+    bytes and, where durations are given, at least ``share`` of the expected one."""
+    out = files.where(~F.lower(name).rlike(r"\.(part|ytdl|tmp|temp)$") & (F.col(size) >= least))
+    return out if lasts is None else out.where(F.coalesce(F.col(lasts), F.lit(0.0)) >= F.col(expected) * share)

@@ -249,10 +249,12 @@ def clip_media_join(spark, sf):
     return c.join(o, "id").select("id", "l_linenumber", "l_partkey", "l_suppkey", "media")
 
 
-@query("SELECT doc_id, n_chars AS size FROM documents WHERE n_chars >= 1024 AND source NOT IN ('src3') AND n_chars >= 0.6 * (1000 + doc_id % 500)")
+@query("SELECT o_orderkey, CEIL(o_totalprice)::BIGINT AS size FROM orders WHERE o_orderkey % 7 <> 3 AND CEIL(o_totalprice) >= 10240 AND o_custkey % 100 >= 0.6 * (o_orderkey % 100)")
 def valid_files(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.where((F.col("n_chars") >= 1024) & ~F.col("source").isin("src3") & (F.col("n_chars") * 10 >= 6 * (1000 + F.col("doc_id") % 500))).select("doc_id", F.col("n_chars").alias("size"))
+    """Files that are finished, of 10 KiB at least, and of 0.6 of the expected duration."""
+    name = F.concat(F.lit("a.mp4"), F.when(F.col("o_orderkey") % 7 == 3, ".part").otherwise(""))
+    o = table(spark, sf, "orders").select("o_orderkey", F.ceil("o_totalprice").alias("size"), name.alias("name"), (F.col("o_custkey") % 100).cast("double").alias("lasts"), (F.col("o_orderkey") % 100).cast("double").alias("expected"))
+    return R.valid_files(o, "size", "name", "lasts", "expected").select("o_orderkey", "size")
 
 
 @query("SELECT doc_id, source FROM documents WHERE source || '/' || doc_id <> 'src1/1'")
@@ -500,6 +502,58 @@ def manifest_media(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(bad, "doc_id", "left_semi")
 
 
+_LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ordinal FROM lineitem")
+def clip_order_name(spark, sf):
+    """By name, numbers as numbers: clip2 comes before clip10."""
+    name = F.concat(F.lit("clip"), F.concat_ws("x", *[F.col(c).cast("string") for c in _LINE]), F.lit(".mp4"))
+    return R.clip_order(table(spark, sf, "lineitem").select(*_LINE, name.alias("name")), "name", list(_LINE), 100).select(*_LINE, "ordinal")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ordinal FROM lineitem")
+def clip_order_time(spark, sf):
+    """By file time."""
+    n = table(spark, sf, "lineitem").select(*_LINE, F.lit("a.mp4").alias("name"), F.col("l_shipdate").alias("modified"))
+    return R.clip_order(n, "time", list(_LINE), 100).select(*_LINE, "ordinal")
+
+
+@query(f"WITH {_SIDES} SELECT CASE WHEN a.day IS NULL THEN 1 WHEN b.day IS NULL THEN 0 ELSE 2 END AS section, row_number() OVER (PARTITION BY CASE WHEN a.day IS NULL THEN 1 WHEN b.day IS NULL THEN 0 ELSE 2 END ORDER BY coalesce(a.day, b.day)) AS place, coalesce(a.day, b.day)::VARCHAR AS line FROM a FULL JOIN b ON a.day = b.day UNION ALL VALUES (0, 0, 'DATES ONLY IN PODCASTS:'), (1, 0, 'DATES ONLY IN ARCHIVE:'), (2, 0, 'DATES IN BOTH:')")
+def date_sections(spark, sf):
+    """The comparison as a text of three sections."""
+    sides = R.compare_sets(_days(spark, sf), _days(spark, sf, "lineitem", "l_shipdate"), "day")
+    return sinks.date_sections(sides, "day", ("PODCASTS", "ARCHIVE"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, 'https://e.org/' || o_orderkey AS url, o_orderkey || chr(9) || 'https://e.org/' || o_orderkey || chr(9) || 'youtube' || chr(9) || o_orderpriority AS line, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N') AS ok FROM orders)
+SELECT 'requested' AS log, id, line FROM r UNION ALL SELECT 'succeeded', id, line FROM r WHERE ok UNION ALL SELECT 'failed', id, line FROM r WHERE NOT ok UNION ALL SELECT 'failed_urls', id, url FROM r WHERE NOT ok""")
+def pull_logs(spark, sf):
+    want = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("https://e.org/"), F.col("o_orderkey").cast("string")).alias("url"), F.lit("youtube").alias("extractor"), F.col("o_orderpriority").alias("title"))
+    return sinks.pull_logs(want, table(spark, sf, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("id")))
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'https://www.youtube.com/watch?v=' || lpad(s_suppkey::VARCHAR, 11, '0') ELSE 'u/' || s_suppkey END AS url, s_name AS title FROM supplier")
+def provenance_written(spark, sf):
+    """Sidecar documents: an absent URL becomes the watch URL."""
+    k = F.col("s_suppkey")
+    m = table(spark, sf, "supplier").select(F.lit("youtube").alias("platform"), F.lpad(k.cast("string"), 11, "0").alias("id"), F.when(k % 3 != 0, F.concat(F.lit("u/"), k.cast("string"))).alias("url"), F.col("s_name").alias("title"))
+    get = lambda c: F.get_json_object("value", f"$.{c}")
+    return sinks.provenance_rows(m).select(get("id").cast("long").alias("id"), get("url").alias("url"), get("title").alias("title"))
+
+
+@query(f"WITH {VIDEOS}, f AS (SELECT 'in/' || ytid || ' Show ' || strftime(upload_date, '%B %d, %Y') AS stem, o_orderkey AS k FROM videos WHERE upload_date IN (SELECT l_shipdate::DATE FROM lineitem WHERE l_returnflag = 'R')) SELECT stem || '.opus' AS path FROM f UNION ALL SELECT stem || '.info.json' FROM f WHERE k % 2 = 0")
+def move_plan_companions(spark, sf):
+    """The plan takes the JSON files beside a moved file along."""
+    stem = F.concat(F.lit("in/"), "ytid", F.lit(" Show "), F.date_format("upload_date", "MMMM dd, yyyy"))
+    v = views.videos(spark, sf).select(stem.alias("stem"), "o_orderkey")
+    listed = v.select(F.concat("stem", F.lit(".opus")).alias("path")).unionByName(v.where("o_orderkey % 2 = 0").select(F.concat("stem", F.lit(".info.json")).alias("path")))
+    listed = listed.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    days = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_shipdate").cast("date").alias("day"))
+    moves = sinks.move_plan(listed.where("endswith(name, '.opus')"), days, "/moved", "show")
+    return sinks.with_companions(moves, listed, "/moved").select("path")
+
+
 # --- similarity -------------------------------------------------------------
 
 _VOICE = """p AS (SELECT pos, avg(x) AS m FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE label = 0) GROUP BY pos),

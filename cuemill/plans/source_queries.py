@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import recon as R
 from ..operators import tables as T
-from ..sources import files, sinks
+from ..sources import files, schemas, sinks
+from ..sources.shared import folder as _shared
 from . import views
 from .registry import query
-from .stream_queries import _shared
 from .views import CUES, WORDS, table
 
 
@@ -78,8 +78,6 @@ def words_file_bulk(spark, sf):
     w = views.words(spark, sf)
     line = _tabs(F.col("ytid"), F.col("source"), F.col("idx"), F.col("word"), (F.col("start_ms") / 1000).cast("decimal(10,3)"), (F.col("end_ms") / 1000).cast("decimal(10,3)"), F.lit("-0.5"), F.when(F.col("idx") % 7 != 0, F.col("seg")))
     folder = _written(spark, w, "source", ["doc_id", "idx"], line, "ytid\tsource\tidx\tword\tstart_sec\tend_sec\tconfidence\tsegment_id\n")
-    from ..sources import schemas
-
     got = files.bulk(spark, f"{folder}/*", schemas.WORDS)
     ms = lambda c: (F.col(f"{c}_sec") * 1000).cast("long").alias(f"{c}_ms")
     return got.select("ytid", "source", F.col("idx").cast("long").alias("idx"), "word", ms("start"), ms("end"), F.col("segment_id").cast("long").alias("segment_id"))
@@ -335,6 +333,26 @@ def absent_list_append(spark, sf):
     return T.insert_ignore(s.where("id % 3 <> 0"), s.where("id % 2 = 0"), ["id"])
 
 
+@query("SELECT DISTINCT '/home/me/' || p_name AS path FROM part WHERE p_partkey % 4 <> 0 AND p_size > 10")
+def media_list_file(spark, sf):
+    """A list of files with ``~`` and comments, joined with what is there."""
+    p = table(spark, sf, "part")
+    line = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("# ~/"), "p_name")).otherwise(F.concat(F.lit("~/"), "p_name"))
+    wanted = files.items(spark, _written(spark, p.where("p_size > 10"), "p_size", ["p_partkey"], line))
+    there = p.select(F.concat(F.lit("/home/me/"), "p_name").alias("path")).distinct()
+    return files.listed(wanted, there, "/home/me")
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'p/x' || s_suppkey || '.opus' WHEN s_suppkey % 3 = 1 THEN 'm/' || lpad(s_suppkey::VARCHAR, 11, '0') || '__t.mkv' END AS media FROM supplier")
+def media_of_ids_by_sidecar(spark, sf):
+    """Without a media file the sidecar says where it would be."""
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey") % 3
+    own = F.lpad(F.col("s_suppkey").cast("string"), 11, "0")
+    listed = s.where(k == 1).select(F.concat(own, F.lit("__t.mkv")).alias("name")).withColumn("path", F.concat(F.lit("m/"), "name"))
+    side = s.where(k == 0).select(own.alias("id"), F.concat(F.lit("p/x"), F.col("s_suppkey").cast("string")).alias("path"))
+    return files.with_media(s.select("s_suppkey", own.alias("id")), listed, sidecars=side).select(F.col("s_suppkey").alias("id"), "media")
+
+
 # --- sinks ------------------------------------------------------------------
 
 

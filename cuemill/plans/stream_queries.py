@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources.shared import folder as folder_of
 from ..streaming import alerts
 from . import views
 from .registry import query
@@ -13,20 +12,6 @@ from .search_queries import alert_debounce  # noqa: F401  the batch twin
 from .views import table
 
 
-def _shared(spark) -> str:
-    """The folder that driver and executors share.  A session in one process that
-    names none gets a temporary one; on a cluster that is an error."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cuemill-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("""WITH RECURSIVE src AS (SELECT user_id AS k, event_id AS ord, epoch_us(ts) // 1000000 AS "at" FROM events WHERE event_type = 'error'), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY "at", ord) AS rn FROM src),
 walk AS (SELECT k, rn, "at", true AS pass, "at" AS last FROM n WHERE rn = 1
   UNION ALL SELECT n.k, n.rn, n."at", n."at" - w.last >= 3600, CASE WHEN n."at" - w.last >= 3600 THEN n."at" ELSE w.last END FROM walk w JOIN n ON n.k = w.k AND n.rn = w.rn + 1)
@@ -36,7 +21,7 @@ def stream_alert_debounce(spark, sf):
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     lines = alerts.matching(events, "event_type", "error")
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("at")
-    folder = _shared(spark)
+    folder = folder_of(spark, "stream")
     alerts.drain(alerts.debounced(lines.select(F.col("user_id").alias("k"), F.col("event_id").alias("ord"), at), 3600), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(alerts.KEPT).parquet(f"{folder}/out")
 
@@ -45,7 +30,7 @@ def stream_alert_debounce(spark, sf):
 def stream_incremental(spark, sf):
     """Two runs over the same source: the second finds nothing new."""
     schema = table(spark, sf, "events").select("event_id", "user_id", "event_type").schema
-    folder = _shared(spark)
+    folder = folder_of(spark, "stream")
     for _ in range(2):
         stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
         alerts.drain(stream, f"{folder}/out", f"{folder}/checkpoint")
@@ -56,7 +41,7 @@ def stream_incremental(spark, sf):
 def stream_counts(spark, sf):
     """Lines per class, summed over micro-batches by a keyed sink."""
     schema = table(spark, sf, "events").select("event_type").schema
-    folder = _shared(spark)
+    folder = folder_of(spark, "stream")
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
 
     def write(batch, number):
@@ -64,3 +49,13 @@ def stream_counts(spark, sf):
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type")
+def stream_one_shot(spark, sf):
+    """Files of a folder taken once: a second run finds nothing new."""
+    folder = folder_of(spark, "stream")
+    table(spark, sf, "events").select("event_type").write.text(f"{folder}/in")
+    for _ in range(2):
+        alerts.consume_once(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", f"{folder}/archive")
+    return spark.read.schema("value string").parquet(f"{folder}/out").groupBy("value").agg(F.count("*").alias("n"))

@@ -49,11 +49,11 @@ def bulk(spark: SparkSession, path, schema: str, quote: str = "") -> DataFrame:
 
 
 def _raw(spark: SparkSession, path) -> DataFrame:
-    """The lines of tables with a position in their file, and the file's header."""
-    text = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("path"), file_name().alias("file"))
-    rows = text.select("path", "file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "line"))
-    header = F.first_value("line").over(Window.partitionBy("path").orderBy("pos"))
-    return rows.withColumn("header", header).where("pos > 0")
+    """The lines of tables with a position in their file, and the file's header.  A
+    file is one value (2 GB at most), as a table of one recording is."""
+    text = spark.read.text(path, wholetext=True).select(F.split("value", r"\r\n|\n|\r").alias("lines"), F.input_file_name().alias("path"), file_name().alias("file"))
+    rows = text.select("path", "file", F.get("lines", F.lit(0)).alias("header"), F.posexplode("lines").alias("pos", "line"))
+    return rows.where("pos > 0")
 
 
 def _field(names: tuple[str, ...], header: Column, parts: Column) -> Column:
@@ -176,8 +176,10 @@ def clip_list(spark: SparkSession, path) -> DataFrame:
 
 def clips_of_names(names: DataFrame, name: str = "name", only_mp4: bool = True) -> DataFrame:
     """Existing clips from names ``ID_title_S-E.ext``; zero-padded numbers and
-    plain ones are the same."""
-    p = rf"^({S.ID})_.*_([0-9]+\.[0-9]{{2,3}})-([0-9]+\.[0-9]{{2,3}})\." + ("mp4$" if only_mp4 else "[A-Za-z0-9]+$")
+    plain ones are the same.  Two or three decimals and mp4 only, or exactly two
+    decimals and any extension."""
+    places, ext = ("{2,3}", "mp4") if only_mp4 else ("{2}", "[A-Za-z0-9]+")
+    p = rf"^({S.ID})_.*_([0-9]+\.[0-9]{places})-([0-9]+\.[0-9]{places})\.{ext}$"
     return names.where(F.col(name).rlike(p)).select(S.extract(name, p, 1).alias("id"), S.extract(name, p, 2).cast("decimal(12,3)").alias("start"), S.extract(name, p, 3).cast("decimal(12,3)").alias("end"), F.col(name).alias("file"))
 
 
@@ -198,10 +200,17 @@ def manifest(spark: SparkSession, path) -> DataFrame:
     return df.withColumn("all_ok", F.min("ok").over(Window.partitionBy("path"))).where("all_ok").select("file", "r.*")
 
 
-def unprocessed(manifests: DataFrame, processed: DataFrame) -> DataFrame:
-    """Manifests without a ``.processed`` sibling."""
+def unprocessed(manifests: DataFrame, processed: DataFrame, first: int | None = None) -> DataFrame:
+    """Manifests without a ``.processed`` sibling, the first few by name if asked."""
     done = processed.select(F.regexp_replace("name", r"\.processed$", "").alias("name"))
-    return manifests.join(done, "name", "left_anti")
+    out = manifests.join(done, "name", "left_anti")
+    return out if first is None else out.orderBy("name").limit(first)
+
+
+def listed(items_: DataFrame, files: DataFrame, home: str) -> DataFrame:
+    """The files of a list (``item``, ``~`` for the home folder) that are there."""
+    own = items_.select(F.regexp_replace("item", "^~", home).alias("path")).distinct()
+    return files.join(own, "path", "left_semi")
 
 
 def items(spark: SparkSession, path) -> DataFrame:
@@ -244,12 +253,17 @@ def with_url(ids: DataFrame, sidecars: DataFrame, key: str = "id") -> DataFrame:
     return ids.join(s, F.col(key) == F.col("__k"), "left").withColumn("url", F.coalesce("__u", S.watch_url(key))).drop("__k", "__u")
 
 
-def with_media(ids: DataFrame, files: DataFrame, key: str = "id") -> DataFrame:
-    """The first media file of an id, by extension order and path."""
+def with_media(ids: DataFrame, files: DataFrame, key: str = "id", sidecars: DataFrame | None = None) -> DataFrame:
+    """The first media file of an id, by extension order and path; else, from its
+    sidecar (id, path without extension), the path that the audio would have."""
     ext = F.lower(F.element_at(F.split("name", r"\."), -1))
     rank = F.nullif(F.array_position(F.array(*map(F.lit, MEDIA)), ext), F.lit(0))
     m = files.withColumns({"__k": S.id_before_mark("name"), "__r": rank}).where("__r is not null").groupBy("__k").agg(F.min_by("path", F.struct("__r", "path")).alias("media"))
-    return ids.join(m, F.col(key) == F.col("__k"), "left").drop("__k")
+    out = ids.join(m, F.col(key) == F.col("__k"), "left").drop("__k")
+    if sidecars is None:
+        return out
+    base = sidecars.groupBy(F.col("id").alias("__k")).agg(F.min("path").alias("__b"))
+    return out.join(base, F.col(key) == F.col("__k"), "left").withColumn("media", F.coalesce("media", F.concat("__b", F.lit(".opus")))).drop("__k", "__b")
 
 
 def discovered(media: DataFrame, other: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ their group, so no global sort is needed for per-file formats."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -125,6 +125,47 @@ def move_plan(files: DataFrame, dates: DataFrame, target: str, prefix: str) -> D
     return d.join(dates.select("day").distinct(), "day", "left_semi").select("path", F.concat(F.lit(target.rstrip("/") + "/"), "name").alias("to"), "day")
 
 
+def with_companions(moves: DataFrame, files: DataFrame, target: str) -> DataFrame:
+    """A move plan with the ``stem*.json`` files beside each file: (path, to, day).
+    ``files`` (path, name) is the listing; a companion lies in the same folder, and
+    its name begins with the stem and a dot."""
+    folder = lambda c: F.regexp_replace(c, "[^/]*$", "")
+    stem = moves.select(folder("path").alias("__f"), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("__s"), "day")
+    json = files.where(F.col("name").endswith(".json")).select("path", "name", folder("path").alias("__g"))
+    # every beginning of a companion's name that ends at a dot may be the stem
+    cut = json.select("path", "name", "__g", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("name", r"\.")) - 1), lambda k: F.array_join(F.slice(F.split("name", r"\."), F.lit(1), k), "."))).alias("__t"))
+    more = cut.join(stem, (F.col("__g") == F.col("__f")) & (F.col("__t") == F.col("__s"))).select("path", F.concat(F.lit(target.rstrip("/") + "/"), "name").alias("to"), "day")
+    return moves.select("path", "to", "day").unionByName(more).distinct()
+
+
+def date_sections(compared: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+    """(section, place, line): the three lists of a comparison, headed, in order:
+    only left, only right, both."""
+    order = F.when(F.col("side") == "left", 0).when(F.col("side") == "right", 1).otherwise(2)
+    heads = F.array(F.lit(f"DATES ONLY IN {names[0]}:"), F.lit(f"DATES ONLY IN {names[1]}:"), F.lit("DATES IN BOTH:"))
+    body = compared.select(order.alias("section"), F.row_number().over(Window.partitionBy("side").orderBy(key)).alias("place"), F.col(key).cast("string").alias("line"))
+    head = compared.sparkSession.range(3).select(F.col("id").cast("int").alias("section"), F.lit(0).alias("place"), F.get(heads, F.col("id").cast("int")).alias("line"))
+    return head.unionByName(body)
+
+
+def pull_logs(requested: DataFrame, succeeded: DataFrame, key: str = "id") -> DataFrame:
+    """(log, key, line) of the four logs of a run: what was asked for, what came,
+    what failed, and the URLs of that."""
+    ok = succeeded.select(key).distinct()
+    row = F.concat_ws("\t", key, "url", "extractor", S.scrub("title"))
+    failed = requested.join(ok, key, "left_anti")
+    say = lambda df, log, line: df.select(F.lit(log).alias("log"), key, line.alias("line"))
+    return say(requested, "requested", row).unionByName(say(requested.join(ok, key, "left_semi"), "succeeded", row)).unionByName(say(failed, "failed", row)).unionByName(say(failed, "failed_urls", F.col("url")))
+
+
+def provenance_rows(media: DataFrame) -> DataFrame:
+    """(id, value): the sidecar documents of media (columns of the schema; an absent
+    URL is the watch URL)."""
+    url = F.coalesce(F.nullif("url", F.lit("")), S.watch_url("id"))
+    fields = [url.alias("url") if c == "url" else F.col(c) for c in ("platform", "id", "url", "title", "uploader", "upload_date", "duration", "base_offset") if c in media.columns or c == "url"]
+    return media.select("id", F.to_json(F.struct(*fields)).alias("value"))
+
+
 def batch_lists(batched: DataFrame, name: str = "path") -> DataFrame:
     """One list per batch, quoted for concatenation."""
     return _joined(batched, "batch", "ordinal", F.concat(F.lit("file '"), S.list_quote(name), F.lit("'")))

@@ -140,7 +140,7 @@ def test_listing(spark, put):
 def test_clip_names_and_tolerance(spark):
     names = spark.createDataFrame([(f"{ID}_t_012.30-013.46.mp4",), (f"{ID}_t_001.235-002.000.mp4",), (f"{ID}_t_5.00-6.00.mkv",), ("bad.mp4",)], "name string")
     there = files.clips_of_names(names)
-    assert there.count() == 2 and files.clips_of_names(names, only_mp4=False).count() == 3
+    assert there.count() == 2 and files.clips_of_names(names, only_mp4=False).count() == 2  # exactly two decimals
     want = spark.createDataFrame([(ID, "12.3049", "13.455"), (ID, "1.235", "2.0"), (ID, "0.01", "9")], "id string, start string, end string")
     # padded names under 100 s are found, as numbers are compared
     got = recon.clips_tolerant(want, there, "0.00", "0.00").orderBy("start").collect()
@@ -230,3 +230,76 @@ def test_sinks(spark, tmp_path):
     assert '"start_frame":25,"end_frame":51' in sinks.wordspan(span).first().value
     b = spark.createDataFrame([(0, 1, "a'b.mp4"), (0, 2, "c.mp4")], "batch int, ordinal int, path string")
     assert sinks.batch_lists(b).first().value == "file 'a'\\''b.mp4'\nfile 'c.mp4'"
+
+
+def test_last_retry_wins(spark):
+    cues = spark.createDataFrame([("f", 0, "old", -1.0, False)], "file string, seg int, text string, confidence double, retried boolean")
+    retries = spark.createDataFrame([("f", 0, "second", -0.3, 2), ("f", 0, "first", -0.2, 1)], "file string, seg int, new_text string, new_confidence double, attempt int")
+    assert [(r.text, r.confidence) for r in tables.patched(cues, retries, ["file", "seg"], text="text", order=["attempt"]).collect()] == [("second", -0.3)]
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "k int, v string, at int")
+    assert sorted(tuple(r) for r in tables.update(old, new, "k", "v", order=["at"]).collect()) == [(1, "y", True), (2, "b", False)]
+
+
+def test_fixed_width_and_dates_as_written(spark):
+    wide = lambda x: spark.createDataFrame([(x,)], "x string").select(S.fixed_width(F.col("x").cast("decimal(12,3)"))).first()[0]
+    assert [wide(x) for x in ("1.5", "999.994", "1234.56", "12345.678")] == ["001.50", "999.99", "1234.56", "12345.68"]
+    assert str(one(spark, S.title_date("t"), t="January 5 , 2024")) == "2024-01-05"
+    assert one(spark, S.corrected("t", [("new york", "NYC")]), t="new york New York New york") == "NYC NYC New york"
+
+
+def plain_hallucinated(text):
+    text = text.strip(" ")
+    if not text:
+        return True
+    if len(text) > 20 and any(len(set(text[i : i + 10])) <= 2 for i in range(len(text) - 10)):
+        return True
+    words = text.lower().split()
+    three = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    return len(words) >= 6 and len(three) != len(set(three))
+
+
+def test_hallucinated_against_plain_rule(spark):
+    import random
+
+    r = random.Random(5)
+    rows = ["", " ", "a" * 21, "x" * 20, "ab" * 12, "y" * 11 + "0123456789", "0123456789" + "y" * 10, "0123456789" + "y" * 10 + "z", "one two three one two three"]
+    rows += ["".join(r.choice("ab" * 8 + "c") for _ in range(r.randint(15, 45))) for _ in range(300)]
+    rows += [" ".join(r.choice(["no", "yes", "so", "it", "is"]) for _ in range(r.randint(3, 12))) for _ in range(300)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", S.hallucinated("t", F.lit(0.0), F.lit(1.0)).alias("h")).collect()
+    assert {x.i: x.h for x in got} == {i: plain_hallucinated(t) for i, t in enumerate(rows)}
+
+
+def test_hallucinated_is_linear(spark):
+    import time
+
+    rows = [(" ".join(f"word{k}" for k in range(60_000)),)]
+    begin = time.time()
+    assert spark.createDataFrame(rows, "t string").select(S.hallucinated("t", F.lit(0.0), F.lit(1.0))).first()[0] is False
+    assert time.time() - begin < 30
+
+
+def test_follow_a_growing_log(spark, tmp_path):
+    """Appended lines, a line that is still being written, and rotation."""
+    from cuemill.streaming import alerts
+
+    log = tmp_path / "worker.log"
+    log.write_text("one\ntwo\nhal")
+    q = alerts.follow(spark, str(log)).writeStream.format("memory").queryName("followed").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+        with log.open("a") as f:
+            f.write("f\nthree\n")
+        q.processAllAvailable()
+        log.rename(tmp_path / "worker.log.1")
+        log.write_text("fresh\n")
+        q.processAllAvailable()
+        assert [r.value for r in spark.sql("select value from followed").collect()] == ["one", "two", "half", "three", "fresh"]
+    finally:
+        q.stop()
+
+
+def test_natural_names(spark):
+    df = spark.createDataFrame([(n,) for n in ["clip10.mp4", "clip2.mp4", "Clip1.mp4"]], "name string")
+    got = recon.clip_order(df, "name", ["name"], 2).orderBy("ordinal").collect()
+    assert [r.name for r in got] == ["Clip1.mp4", "clip2.mp4", "clip10.mp4"] and [r.batch for r in got] == [0, 0, 1]
