@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip_span, natural_key, title_date, to_cents
+from ..functions.scalars import clip_span, natural_key, title_date, to_cents, watch_url
 from ..sources.shared import staged
 
 MODES = ("half_up", "floor", "ceiling")
@@ -125,3 +125,11 @@ def valid_files(files: DataFrame, size: str = "length", name: str = "name", last
     bytes and, where durations are given, at least ``share`` of the expected one."""
     out = files.where(~F.lower(name).rlike(r"\.(part|ytdl|tmp|temp)$") & (F.col(size) >= least))
     return out if lasts is None else out.where(F.coalesce(F.col(lasts), F.lit(0.0)) >= F.col(expected) * share)
+
+
+def already_complete(infos: DataFrame, media: DataFrame, urls: DataFrame, key: str = "id") -> DataFrame:
+    """(key, url) of metadata without media: its own URL, else the first of
+    ``urls``, else the watch URL."""
+    known = urls.groupBy(F.col(key).alias("__k")).agg(F.min("url").alias("__u"))
+    out = missing(infos, media, [key]).join(known, F.col(key) == F.col("__k"), "left")
+    return out.select(key, F.coalesce(F.nullif("url", F.lit("")), "__u", watch_url(key)).alias("url"))

@@ -236,10 +236,16 @@ def id_set_difference(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey").exceptAll(table(spark, sf, "lineitem").where("l_linenumber > 2").select("l_orderkey").distinct()).distinct()
 
 
-@query("SELECT d.doc_id, d.source, l.quality, 'https://www.youtube.com/watch?v=' || lpad(d.doc_id::VARCHAR, 11, '0') AS url FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
+@query("SELECT d.doc_id, d.source, CASE WHEN l.quality = 1 THEN 'm/' || lpad(d.doc_id::VARCHAR, 11, '0') || '__t.mp4' ELSE 'm/' || lpad(d.doc_id::VARCHAR, 11, '0') || '__t.webm' END AS media, 'https://www.youtube.com/watch?v=' || lpad(d.doc_id::VARCHAR, 11, '0') AS url FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
 def media_sibling_join(spark, sf):
-    d, label = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return d.join(label.select("doc_id", "quality"), "doc_id").select("doc_id", "source", "quality", S.watch_url(views.ytid("doc_id")).alias("url"))
+    """A words file's media (the first extension wins) and its URL."""
+    from ..sources.files import with_media
+
+    own = views.ytid("doc_id")
+    name = lambda tail: F.concat(own, F.lit(tail))
+    there = table(spark, sf, "labels").select(F.explode(F.when(F.col("quality") == 1, F.array(name("__t.webm"), name("__t.mp4"))).otherwise(F.array(name("__t.webm"), name("__t.json")))).alias("name"))
+    d = table(spark, sf, "documents").select("doc_id", "source", own.alias("id"))
+    return with_media(d, there.withColumn("path", F.concat(F.lit("m/"), "name"))).where("media is not null").select("doc_id", "source", "media", S.watch_url("id").alias("url"))
 
 
 @query(f"WITH {CLIPS} SELECT c.id, l_linenumber, l_partkey, l_suppkey, o_orderstatus AS media FROM clips c JOIN orders ON o_orderkey = c.id WHERE start IS NOT NULL AND \"end\" IS NOT NULL")

@@ -432,3 +432,55 @@ def quality_report_written(spark, sf):
     folder = _shared(spark)
     sinks.quality_json(per.agg(F.sum("files").alias("files")), per, folder)
     return spark.read.schema("source string, files bigint, mean double").json(f"{folder}/files")
+
+
+@query(f"WITH {CUES}, hit AS (SELECT doc_id FROM cues WHERE confidence < -1.9 GROUP BY doc_id) SELECT 'f' || doc_id || '.vtt' AS path, 'new' AS kind FROM hit UNION ALL SELECT 'f' || doc_id || '.vtt.bak', 'old' FROM hit WHERE doc_id % 3 <> 0")
+def captions_rewritten(spark, sf):
+    """Patched caption files, and one backup of each that has none."""
+    c = views.cues(spark, sf).withColumn("path", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".vtt")))
+    own = c.select("path", "doc_id", "seg", "confidence", "retried", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("cue").alias("text"))
+    bad = own.where("confidence < -1.9").select("path", "seg", F.lit("new text").alias("new_text"), F.lit(-0.1).alias("new_confidence"))
+    old = sinks.vtt(own, "path")
+    new = sinks.vtt(T.patched(own, bad, ["path", "seg"], text="text"), "path").join(bad.select("path").distinct(), "path", "left_semi")
+    there = table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".vtt.bak")).alias("path"))
+    put = sinks.rewritten(old, new, there)
+    return put.select("path", F.when(F.contains("value", F.lit("new text")), "new").otherwise("old").alias("kind"))
+
+
+@query("SELECT DISTINCT 'youtube' AS extractor, lpad(c_custkey::VARCHAR, 11, 'k') AS id FROM customer UNION SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'vimeo' ELSE 'youtube' END, lpad(s_suppkey::VARCHAR, 11, 's') FROM supplier UNION SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'vimeo' ELSE 'youtube' END, lpad(s_suppkey::VARCHAR, 11, 's') FROM supplier UNION SELECT 'peertube', lpad(n_nationkey::VARCHAR, 11, 'n') FROM nation")
+def archive_keys_of_files(spark, sf):
+    """Archive keys from media names, metadata and sidecars."""
+    key = lambda c, mark: F.lpad(F.col(c).cast("string"), 11, mark)
+    names = table(spark, sf, "customer").select(F.concat(key("c_custkey", "k"), F.lit("__t.opus")).alias("name"))
+    s = table(spark, sf, "supplier")
+    infos = s.select(key("s_suppkey", "s").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, " Vimeo ").alias("extractor"), F.lit("https://www.youtube.com/watch?v=x").alias("url"))
+    same = s.select(F.concat(key("s_suppkey", "s"), F.lit("__t.src.json")).alias("file"), F.lit(None).cast("string").alias("id"), F.lit("youtube").alias("extractor"), F.lit(None).cast("string").alias("url"))
+    other = table(spark, sf, "nation").select(F.lit("x.src.json").alias("file"), key("n_nationkey", "n").alias("id"), F.lit("PeerTube").alias("extractor"), F.lit("https://e.org/").alias("url"))
+    return files.archive_keys(names, infos, same.unionByName(other))
+
+
+@query("SELECT conv_id AS request, 'e' || turn AS id FROM conversations WHERE conv_id % 3 <> 0 UNION SELECT DISTINCT conv_id, 'single' FROM conversations WHERE conv_id % 3 = 0")
+def entries_with_fallback(spark, sf):
+    """A request whose list is empty is read from its single document."""
+    c = table(spark, sf, "conversations")
+    entry = F.struct(F.concat(F.lit("e"), F.col("turn").cast("string")).alias("id"), F.lit("https://e.org/x").alias("url"), F.col("role").alias("title"))
+    lists = c.groupBy(F.col("conv_id").alias("request")).agg(F.collect_list(entry).alias("entries"))
+    lists = lists.select("request", F.when(F.col("request") % 3 == 0, "{}").otherwise(F.to_json(F.struct("entries"))).alias("value"))
+    single = c.select(F.col("conv_id").alias("request")).distinct().withColumn("value", F.lit('{"id": "single", "webpage_url": "https://e.org/s"}'))
+    return files.entries_or_single(lists, single).select("request", "id").distinct()
+
+
+@query("SELECT DISTINCT l_shipmode_name AS name FROM (SELECT 'seg' || l_partkey || '.mp4' AS l_shipmode_name FROM lineitem)")
+def existing_segment_list(spark, sf):
+    """The sorted distinct names of the segments that are there."""
+    return sinks.existing_list(table(spark, sf, "lineitem").select(F.concat(F.lit("seg"), F.col("l_partkey").cast("string"), F.lit(".mp4")).alias("name")))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'own/' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'side/' || o_orderkey ELSE 'https://www.youtube.com/watch?v=' || o_orderkey END AS url FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def complete_without_media(spark, sf):
+    """Metadata without media, with the best URL known."""
+    text = F.col("o_orderkey").cast("string")
+    o = table(spark, sf, "orders").select(text.alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("own/"), text)).alias("url"), "o_orderkey")
+    side = o.where("o_orderkey % 3 = 1").select("id", F.concat(F.lit("side/"), "id").alias("url"))
+    media = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"))
+    return R.already_complete(o.drop("o_orderkey"), media, side).select(F.col("id").cast("long").alias("id"), "url")

@@ -271,3 +271,25 @@ def discovered(media: DataFrame, other: DataFrame) -> DataFrame:
     ext = F.lower(F.element_at(F.split("name", r"\."), -1))
     own = media.where(ext.isin(*MEDIA)).select(S.id_before_mark("name").alias("id"))
     return own.unionByName(other.select(S.id_before_mark("name").alias("id"))).where("id is not null").distinct()
+
+
+def archive_keys(names: DataFrame, infos: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Distinct (extractor, id) of three kinds of file: media by the id that begins
+    their ``name`` (youtube); metadata documents (id, extractor, url); provenance
+    sidecars (file, id, extractor, url), whose extractor is that of the metadata of
+    the same id if there is one, and whose id may stand in the file's name only."""
+    ext = F.lower(F.element_at(F.split("name", r"\."), -1))
+    media = names.where(ext.isin("opus", "m4a", "mp3", "mp4", "mkv")).select(F.lit("youtube").alias("extractor"), S.id_at_start("name").alias("id"))
+    info_ = infos.where("id is not null").select(S.extractor("extractor", "url").alias("extractor"), "id")
+    given = infos.where("id is not null").groupBy(F.col("id").alias("__k")).agg(F.min("extractor").alias("__x"), F.min("url").alias("__u"))
+    side = sidecars.withColumn("id", F.coalesce("id", S.id_at_start("file"))).join(given, F.col("id") == F.col("__k"), "left")
+    own = side.select(S.extractor(F.coalesce("__x", "extractor"), F.coalesce("url", "__u")).alias("extractor"), "id")
+    return media.unionByName(info_).unionByName(own).where("id is not null").distinct()
+
+
+def entries_or_single(lists: DataFrame, single: DataFrame, request: str = "request") -> DataFrame:
+    """Entries of playlist documents by ``request``; a request that gave none is
+    read from its single document instead."""
+    flat = entries_of(lists)
+    rest = single.join(flat.select(request).distinct(), request, "left_anti")
+    return flat.select(request, "id", "url", "extractor", "title").unionByName(entries_of(rest).select(request, "id", "url", "extractor", "title"))

@@ -169,3 +169,18 @@ def provenance_rows(media: DataFrame) -> DataFrame:
 def batch_lists(batched: DataFrame, name: str = "path") -> DataFrame:
     """One list per batch, quoted for concatenation."""
     return _joined(batched, "batch", "ordinal", F.concat(F.lit("file '"), S.list_quote(name), F.lit("'")))
+
+
+def rewritten(old: DataFrame, new: DataFrame, backups: DataFrame, key: str = "path") -> DataFrame:
+    """(path, value) of what a rewrite of text files (key, value) puts down: every
+    new text, and the old one as ``.bak`` where there is no backup (key) yet.
+    Nothing is changed in place."""
+    changed = new.select(F.col(key).alias("path"), "value")
+    first = old.join(new.select(key), key, "left_semi").withColumn("path", F.concat(F.col(key), F.lit(".bak")))
+    known = backups.select(F.col(key).alias("path"))
+    return changed.unionByName(first.join(known, "path", "left_anti").select("path", "value"))
+
+
+def existing_list(names: DataFrame, name: str = "name") -> DataFrame:
+    """The sorted distinct names of segments that are there."""
+    return names.select(name).where(F.col(name).isNotNull()).distinct().orderBy(name)
