@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, unused, utf8
+from .common import slices, staged, unused, utf8
 
 BLOCK = 3
 RUN = 64  #: words that one cursor reads
-#: Benchmark bytes that one broadcast holds; a larger benchmark is searched in
-#: blocks of this size, one pass after the other.
-BLOCK_BYTES = 16 << 20
+#: Benchmark bytes that one broadcast holds (its model is about twelve times as
+#: large); a larger benchmark is searched in blocks of this size, one pass after
+#: the other, so a worker holds one block at a time.
+BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 4 << 20
 
 #: A-Z become a-z; ASCII that is neither letter nor digit becomes a space.
@@ -197,6 +198,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     for k in range(blocks):
         part = own.where(F.pmod(F.hash("item", "text"), F.lit(blocks)) == k) if blocks > 1 else own
         model = spark.sparkContext.broadcast(WuManber([(r[0], bytes(r[1])) for r in part.collect()], window))
+        if k:
+            df = staged(df, "found")
         df = df.mapInArrow(_search(model, where, place, k > 0, into), schema)
     return df
 
