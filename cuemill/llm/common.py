@@ -42,7 +42,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files and fewer filled tasks than cores (a file of one row
+    group is one task) is dealt out once; any other table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df.select(F.spark_partition_id()).distinct().count() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def nested(docs: DataFrame) -> DataFrame:
