@@ -90,11 +90,12 @@ def batches(df: DataFrame, bucket: str, order: list, size: int) -> DataFrame:
     A row number over everything would gather everything in one task, and one
     over each bucket a hot bucket.  Here rows are dealt by ranges of the whole
     order, numbered inside their range, and the ranges' running counts, one small
-    row each, are added.  The dealt rows are staged: their places are asked for
-    twice and must not change.
+    row each, are added.  Rows are staged before they are dealt, as ranges are
+    sampled first, and after, as their places are asked for twice and must not
+    change.
     """
     by = [F.col(bucket).asc_nulls_last(), *[F.col(c) if isinstance(c, str) else c for c in order]]
-    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id())
+    dealt = staged(df, "unordered").repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id())
     dealt = staged(dealt.withColumns({"__p": F.shiftright("__m", 33), "__n": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__m"), "ordered")
     up = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(F.col("__p").alias("__b")).agg(F.count("*").alias("__c"))
