@@ -32,13 +32,24 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: cuts
-    the lineage, survives lost executors and lets several readers share it."""
+def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``staged``, and the path, for ``removed``."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: cuts
+    the lineage, survives lost executors and lets several readers share it."""
+    return stage(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Take away a staged table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -122,3 +122,20 @@ doc AS (SELECT row_number() OVER () AS rid, doc_id, text, {canonical('text')} AS
 hit AS (SELECT rid, lines.name FROM (SELECT rid, {canonical('line')} AS f FROM (SELECT rid, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM doc) WHERE regexp_matches(line, {_quoted(licenses.CANDIDATE)})) c JOIN lines ON lines.f = c.f)
 SELECT doc_id, CASE WHEN doc.f <> '' THEN sha256(doc.f) END AS digest, whole.name AS license, count(hit.rid) AS n_notices, coalesce(string_agg(DISTINCT hit.name, ',' ORDER BY hit.name), '') AS notices
 FROM doc LEFT JOIN whole ON whole.f = doc.f LEFT JOIN hit ON hit.rid = doc.rid GROUP BY doc.rid, doc_id, doc.f, whole.name"""
+
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Plain Lloyd rounds, each over all distances."""
+    far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    near = "a{0} AS MATERIALIZED (SELECT rid, x.p, x, first(j ORDER BY {1}, j) AS j, min({1}) AS d FROM x JOIN b{0} b ON b.p = x.p GROUP BY rid, x.p, x)"
+    move = """b{1} AS MATERIALIZED (SELECT b.p, b.j, coalesce(m.c, b.c) AS c FROM b{0} b LEFT JOIN (
+  SELECT p, j, list(floor(s / n)::BIGINT ORDER BY i) AS c FROM (SELECT p, j, i, sum(v)::DOUBLE AS s, count(*) AS n FROM (SELECT p, j, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{0}) GROUP BY p, j, i) GROUP BY p, j) m ON m.p = b.p AND m.j = b.j)"""
+    steps = [near.format(0, far)] + [part for r in range(rounds) for part in (move.format(r, r + 1), near.format(r + 1, far))]
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT rid, p, list_slice(x, p * (len(x) // {parts}) + 1, (p + 1) * (len(x) // {parts})) AS x FROM v, range({parts}) t(p)),
+b0 AS (SELECT p, rid - 1 AS j, x AS c FROM x WHERE rid <= {entries}),
+{", ".join(steps)},
+r AS (SELECT rid, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(v, ',' ORDER BY p, j, i)) FROM (SELECT p, j, unnest(c)::VARCHAR AS v, generate_subscripts(c, 1) AS i FROM b{rounds})) AS codebooks_sha256
+FROM r JOIN v USING (rid)"""
