@@ -146,9 +146,9 @@ def search_sql(k: int = 10) -> str:
     return f"""WITH doc AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents WHERE text IS NOT NULL),
 tf AS MATERIALIZED (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM doc) GROUP BY rid, term),
 num AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM doc WHERE len(w) > 0),
-weight AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, num GROUP BY term, n),
+weight AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, num GROUP BY term, n),
 asked AS (SELECT DISTINCT item_id, unnest({words}) AS term FROM benchmark),
-score AS (SELECT item_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(doc.w)::BIGINT * n) // l))))::BIGINT AS score
+score AS (SELECT item_id, rid, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(doc.w)::BIGINT * n) // l))))::BIGINT AS score
   FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN doc USING (rid), num GROUP BY item_id, rid)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM score JOIN doc USING (rid) WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= {k}"""

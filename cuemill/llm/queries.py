@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, codes, decontam, langid, licenses, mixing, oracles, quality, search, secrets, simhash, suffix, wrappers
+from . import classifier, codes, decontam, langid, licenses, mixing, oracles, personal, quality, search, secrets, simhash, suffix, wrappers
 from .common import table
 
 
@@ -58,10 +58,14 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_language_id, op2_html_extraction, op3_secret_scan, op4_license_scan, op5_quality_rules, op6_simhash_near_duplicates,
     op7_repeated_strings, op8_source_mix, op9_quality_classifier, op10_benchmark_decontamination, op11_vector_codes,
-    op12_ranked_search,
+    op12_ranked_search, op13_personal_data,
 )
 
 
