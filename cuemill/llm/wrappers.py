@@ -10,13 +10,19 @@ those of equal structure first:
 * where tags differ, the shorter way to a common tag is skipped on either side
   and becomes an optional group.
 
-Every page is matched against its host's wrapper.  What meets fixed text there is
-the host's furniture and leaves the page, inside an ``article`` as well; what
-meets a slot or an optional or repeated group is content, inside an ``article``
-or beside it, unless its element's name, class or role says that it is a menu,
-advert, form, comment or the like, or it is a list of links outside the main
-element.  Only where a host has too few different pages to tell fixed text from
-content does an ``article`` or ``main`` element, where there is one, bound it.
+Every page is matched against its host's wrapper.  The page's chief ``article`` or
+``main`` element bounds the content where it holds a fair part of the text.  What
+is fixed by the wrapper is the host's furniture if the evidence is enough: every
+further page on which a text stands makes it more likely that it is, by as much as
+it is rare that texts of the chief element are fixed; inside that element the odds
+begin at one to ``DOUBT``, elsewhere even.  One rule holds for any number of pages.
+What meets a slot or an optional or repeated group is content, unless its
+element's name, class or role, or that of an inline element around the words, says
+that it is a menu, advert, form, comment or the like, or it is a list of links
+outside the chief element.
+
+Names in class and id attributes tell furniture only where the element neither
+holds the chief element nor, on a page without one, half of the text.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ import hashlib
 import html as entities
 import itertools
 import json
+import math
 import re
 from bisect import bisect_left
 
@@ -35,9 +42,11 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-DEALS = 16  #: parts of a host's structures that are aligned apart before they are joined
+WIDTHS = (4096, 64, 1)  #: parts of a host's structures that are aligned apart, level by level, until one is left
 HELD = 20_000  #: structures that a task holds before it passes them on
-EVIDENCE = 3  #: different pages from which on equal text is fixed text
+RARE = 64  #: an optional group that less than one in so many pages has leaves the wrapper; it decides nothing
+DOUBT = 8  #: what the odds of furniture begin below inside the chief element
+FAIR = 4  #: the chief element bounds the content if it has at least one in so many of the page's characters
 
 # Element names, and words in class, id and role, by what they stand for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,9 +68,16 @@ WORDS = frozenset(
 HEADERS = frozenset("header siteheader pageheader".split())
 MAIN_WORDS = frozenset("articlebody post-body entry-content article-body post-content article-content main-content".split())
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S)
-_attr = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\bhidden(?=[\s/>]|$)", re.I)
+#: Elements whose furniture words are no verdict, words of state, and elements that often wrap a whole page.
+NEVER = frozenset("html body article main".split())
+STATES = frozenset("has no with without is not js".split())
+SOFT = frozenset("form fieldset header".split())
+
+_name = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_rest = re.compile(r"""((?:[^=>]++|=(?:\s*+(?:"[^"]*+"|'[^']*+'))?+)*+)>""")
+_attr = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))?)?""")
 _split = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
+_closing = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>?", re.I) for x in RAW}
 
 
 def host(url: str | None) -> str:
@@ -70,71 +86,134 @@ def host(url: str | None) -> str:
 
 
 class Block:
-    __slots__ = ("path", "text", "main", "drop", "linked")
+    """A run of text of one block element: whether it lies in a main element, in
+    the chief one, in furniture, and whether most of it are links."""
+
+    __slots__ = ("text", "main", "chief", "drop", "linked")
 
-    def __init__(self, path, text, main, drop, linked):
-        self.path, self.text, self.main, self.drop, self.linked = path, text, main, drop, linked
+    def __init__(self, text, main, chief, drop, linked):
+        self.text, self.main, self.chief, self.drop, self.linked = text, main, chief, drop, linked
 
 
-def _drops(name: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
-    """Whether the element is furniture, and whether it is the main element."""
+def _verdict(name: str, attrs: str, inside_main: bool) -> tuple[bool, bool, bool]:
+    """Whether the element is furniture for certain, whether by a word that may be
+    overruled, and whether it is a main element."""
     main = name in ("article", "main")
-    drop = name in DROPPED or (name == "header" and not inside_main)
+    hard = name in DROPPED and name not in SOFT
+    soft = name in SOFT and (name != "header" or not inside_main)
     if attrs:
         for m in _attr.finditer(attrs):
-            key, value = (m[1] or "hidden").lower(), m[2] or m[3] or m[4] or ""
+            key = m[1].lower()
+            if key not in ("class", "id", "role", "itemprop", "hidden", "aria-hidden", "style"):
+                continue
+            value = m[2] or m[3] or m[4] or ""
             low = value.lower()
             if key == "role":
                 main |= low == "main"
-                drop |= low in ROLES
+                hard |= low in ROLES
             elif key == "itemprop":
                 main |= low == "articlebody"
-            elif key == "hidden" or (key == "aria-hidden" and low == "true") or (key == "style" and re.search(r"display\s*:\s*none", low)):
-                drop = True
+            elif key == "hidden" or (key == "aria-hidden" and low == "true") or (key == "style" and re.search(r"display\s*+:\s*+none", low)):
+                hard = True
             elif key in ("class", "id"):
-                parts = {p.lower() for p in _split.split(value) if p}
                 if any(c in MAIN_WORDS for c in low.split()):
                     main = True
-                elif parts & WORDS or (parts & HEADERS and not inside_main) or low in WORDS:
-                    drop = True
-    return drop, main and not drop
+                    continue
+                for one in value.split():
+                    parts = [x.lower() for x in _split.split(one) if x]
+                    if parts and parts[0] not in STATES:
+                        soft |= not WORDS.isdisjoint(parts) or one.lower() in WORDS or (not inside_main and not HEADERS.isdisjoint(parts))
+    return hard and name not in ("html", "body"), soft and name not in NEVER, main
+
+
+class _Page:
+    """The elements of a page while it is read: parallel lists, parents first."""
+
+    def __init__(self):
+        self.parent, self.hard, self.soft, self.main, self.size, self.plain = [-1], [False], [False], [False], [0], [0]
+
+    def add(self, above: int, hard: bool, soft: bool, main: bool) -> int:
+        for column, value in zip((self.parent, self.hard, self.soft, self.main, self.size, self.plain), (above, hard, soft, main, 0, 0)):
+            column.append(value)
+        return len(self.parent) - 1
+
+    def judged(self) -> tuple[list[bool], list[bool], int]:
+        """Of each element whether it is furniture and whether it is in a main
+        element; and the chief one: of the outermost main elements in the fewest
+        elements of furniture words that of most text outside links (0: none)."""
+        up = self.parent
+        n = len(up)
+        for i in range(n - 1, 0, -1):
+            self.size[up[i]] += self.size[i]
+            self.plain[up[i]] += self.plain[i]
+        hard, worded, main = self.hard[:], list(map(int, self.soft)), self.main[:]
+        first, least = 0, (0, 0)
+        for i in range(1, n):
+            hard[i] |= hard[up[i]]
+            worded[i] += worded[up[i]]
+            if main[i] and not main[up[i]] and not hard[i] and (not first or (worded[i], -self.plain[i]) < least):
+                first, least = i, (worded[i], -self.plain[i])
+            main[i] |= main[up[i]]
+        holds, i = set(), first
+        while i > 0:
+            holds.add(i)
+            i = up[i]
+        drop = [False] * n
+        for i in range(1, n):
+            drop[i] = drop[up[i]] or self.hard[i] or (self.soft[i] and i not in holds and bool(first or 2 * self.size[i] < self.size[0]))
+        return drop, main, first
 
 
 def blocks(html: str) -> tuple[list[Block], list[str]]:
     """The text blocks of a page in order, and its token stream for alignment."""
-    out: list[Block] = []
-    stream: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, inside dropped, inside main
-    text: list[str] = []
-    linked = links = 0
+    page = _Page()
+    stream: list = []  # tokens, and numbers of the runs of text between them
+    runs: list[tuple[int, list[tuple[str, int, bool]]]] = []
+    stack: list[tuple[str, int, bool]] = []  # name, element, inside main
+    text: list[tuple[str, int, bool]] = []
+    links = 0
 
     def flush():
-        nonlocal linked
         if text:
-            plain = " ".join(entities.unescape("".join(text)).split())
-            if plain:
-                path = "/".join(x[0] for x in stack)
-                top = stack[-1] if stack else ("", False, False)
-                out.append(Block(path, plain, top[2], top[1], linked * 2 > len(plain)))
-                stream.append("#" + xxhash.xxh3_64_hexdigest(plain.encode()))
+            if any(x.strip() for x, _, _ in text):
+                at = next((e for x, e, _ in reversed(stack) if x.split(".")[0] in BLOCK), 0)
+                stream.append(len(runs))
+                runs.append((at, text[:]))
             text.clear()
-        linked = 0
 
-    at, n = 0, len(html)
+    def words(value: str):
+        at = stack[-1][1] if stack else 0
+        text.append((value, at, links > 0))
+        size = len(value.strip())
+        page.size[at] += size
+        page.plain[at] += 0 if links else size
+
+    at, n, broken = 0, len(html), False
     while at < n:
-        m = _token.match(html, at)
-        if not m:  # a "<" that starts no tag
-            text.append(html[at])
-            at += 1
-            continue
-        at = m.end()
-        if m[4] is not None:
-            text.append(m[4])
-            if links:
-                linked += len(m[4].strip())
+        begin = html.find("<", at)
+        if begin != at:
+            words(html[at : begin if begin >= 0 else n])
+        if begin < 0:
+            break
+        m = _name.match(html, begin)
+        if not m:
+            if html.startswith("<!--", begin):
+                end = html.find("-->", begin + 2)
+                at = end + 3 if end >= 0 else n
+            elif html[begin + 1 : begin + 2] in ("!", "?", "/"):
+                at = html.find(">", begin) + 1 or n
+            else:  # a "<" that starts no tag
+                words("<")
+                at = begin + 1
             continue
-        if m[2] is None:
-            continue  # a comment or declaration
+        whole = None if broken else _rest.match(html, m.end())
+        if whole:
+            attrs, at = whole[1], whole.end()
+        else:  # quotes that never end: from here on a tag ends at the next ">"
+            broken, end = True, html.find(">", m.end())
+            if end < 0:
+                break
+            attrs, at = html[m.end() : end], end + 1
         name = m[2].lower()
         if m[1]:
             if name in BLOCK:
@@ -149,7 +228,7 @@ def blocks(html: str) -> tuple[list[Block], list[str]]:
                     break
             continue
         if name == "br":
-            text.append(" ")
+            words(" ")
             continue
         if name in BLOCK:
             flush()
@@ -165,23 +244,40 @@ def blocks(html: str) -> tuple[list[Block], list[str]]:
                     break
         if name == "a":
             links += 1
-        above = stack[-1] if stack else ("", False, False)
-        drop, main = _drops(name, m[3], above[2])
+        _, above, inside = stack[-1] if stack else ("", 0, False)
+        hard, soft, main = _verdict(name, attrs, inside)
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            end = _closing[name].search(html, at)
             at = end.end() if end else n
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attrs.endswith("/"):
             continue
         if name in BLOCK:
-            found = re.search(r"class\s*=\s*[\"']?([\w-]+)", m[3])
+            found = re.search(r"class\s*=\s*[\"']?([\w-]+)", attrs)
             full = f"{name}.{found[1]}" if found else name
             stream.append(full)
         else:
             full = name
-        stack.append((full, above[1] or drop, above[2] or main))
+        stack.append((full, page.add(above, hard, soft, main and not hard), inside or main))
     flush()
-    return out, stream
+
+    drop, main, chief = page.judged()
+    inside = [False] * len(drop)
+    for i in range(1, len(drop)):
+        inside[i] = bool(chief) and (i == chief or inside[page.parent[i]])
+    out: list[Block] = []
+    for k, (at, pieces) in enumerate(runs):
+        kept = pieces if drop[at] else [x for x in pieces if not drop[x[1]]]
+        gone = drop[at]
+        plain = " ".join(entities.unescape("".join(x for x, _, _ in kept)).split())
+        if not plain and kept is not pieces:  # all of it lies in inline furniture
+            kept, gone = pieces, True
+            plain = " ".join(entities.unescape("".join(x for x, _, _ in kept)).split())
+        if plain:
+            linked = sum(len(x.strip()) for x, _, link in kept if link)
+            out.append(Block(plain, main[at], inside[at], gone, linked * 2 > len(plain)))
+        runs[k] = "#" + xxhash.xxh3_64_hexdigest(plain.encode()) if plain else ""
+    return out, [y for x in stream if (y := runs[x] if isinstance(x, int) else x)]
 
 
 def folded(stream: list[str]) -> list:
@@ -226,21 +322,25 @@ def _kind(x) -> str:
     return "#" if x[0] == "#" else x
 
 
-def spread(wrapper: list) -> list[tuple]:
-    """(item, optional) with the optional groups opened."""
-    return [(y, z) for x in wrapper for y, z in ([(v, True) for v in x[1]] if x[0] == "?" else [(x, False)])]
+def spread(wrapper: list, total: int = 1) -> list[tuple]:
+    """(item, pages) with the optional groups opened: how many of the ``total``
+    pages have it."""
+    return [(y, n) for x in wrapper for y, n in ([(v, x[2]) for v in x[1]] if x[0] == "?" else [(x, total)])]
 
 
-def gathered(items: list[tuple]) -> list:
-    """The other way round: neighbours that are optional become one group."""
+def gathered(items: list[tuple], total: int) -> list:
+    """The other way round: neighbours that as many but not all pages have become
+    one optional group; what hardly a page has goes."""
     out: list = []
-    for x, optional in items:
-        if not optional:
+    for x, n in items:
+        if n >= total:
             out.append(x)
-        elif out and out[-1][0] == "?":
+        elif n * RARE < total:
+            continue
+        elif out and out[-1][0] == "?" and out[-1][2] == n:
             out[-1][1].append(x)
         else:
-            out.append(("?", [x]))
+            out.append(("?", [x], n))
     return out
 
 
@@ -290,24 +390,24 @@ def walk(a: Places, b: Places):
                 i = m
 
 
-def align(wrapper: list, page: list) -> list:
-    """The wrapper that reads what either of two wrappers (a folded page is one) reads."""
-    a, b = spread(wrapper), spread(page)
+def align(wrapper: list, page: list, pages: int = 1, more: int = 1) -> list:
+    """The wrapper that reads what either of two wrappers reads (a folded page is
+    one), the first taught by ``pages`` pages, the other by ``more``."""
+    a, b = spread(wrapper, pages), spread(page, more)
     left, right = [x for x, _ in a], [x for x, _ in b]
     out: list = []
     at = to = 0
     for i, n, j, m in walk(Places(left), Places(right)):
-        out += [(x, True) for x, _ in a[at:i]] + [(x, True) for x, _ in b[to:j]]
-        optional = any(o for _, o in a[i : i + n]) or any(o for _, o in b[j : j + m])
+        out += a[at:i] + b[to:j]
+        have = min(x for _, x in a[i : i + n]) + min(x for _, x in b[j : j + m])
         if n == m == 1:
-            out.append((_join(left[i], right[j]), optional))
+            out.append((_join(left[i], right[j]), have))
         elif n == 1:
-            out.append((("+", [_join(x, y) for x, y in zip(left[i][1], right[j : j + m])]), optional))
+            out.append((("+", [_join(x, y) for x, y in zip(left[i][1], right[j : j + m])]), have))
         else:
-            out.append((("+", [_join(x, y) for x, y in zip(left[i : i + n], right[j][1])]), optional))
+            out.append((("+", [_join(x, y) for x, y in zip(left[i : i + n], right[j][1])]), have))
         at, to = i + n, j + m
-    out += [(x, True) for x, _ in a[at:]] + [(x, True) for x, _ in b[to:]]
-    return gathered(out)
+    return gathered(out + a[at:] + b[to:], pages + more)
 
 
 def _join(a, b):
@@ -328,10 +428,12 @@ def fixed(wrapper: list, optional: bool = False) -> set[str]:
 
 
 class Matcher:
-    """A host's wrapper, to tell the fixed texts of its pages by place."""
+    """A host's wrapper, taught by ``pages`` different pages, to tell the fixed
+    texts of its pages by place."""
 
-    def __init__(self, wrapper: list):
-        self.items = [(x, optional) for x, optional in spread(wrapper)]
+    def __init__(self, wrapper: list, pages: int = 2):
+        self.pages = pages
+        self.items = [(x, n < pages) for x, n in spread(wrapper, pages)]
         self.places = Places([x for x, _ in self.items])
 
     def furniture(self, stream: list[str]) -> list[bool]:
@@ -370,32 +472,41 @@ def expression(items: list) -> str:
 
 def loaded(items: list) -> list:
     """A wrapper from its JSON, where groups are lists."""
-    return [(x[0], loaded(x[1])) if isinstance(x, list) else x for x in items]
+    return [(x[0], loaded(x[1]), *x[2:]) if isinstance(x, list) else x for x in items]
 
 
 def infer(streams: list[list[str]]) -> list:
     wrapper: list = []
     for k, stream in enumerate(streams):
         page = folded(stream)
-        wrapper = page if k == 0 else align(wrapper, page)
+        wrapper = page if k == 0 else align(wrapper, page, k)
     return wrapper
 
 
+def furniture(found: list[Block], fix: list[bool], pages: int) -> list[bool]:
+    """Which blocks are the host's.  A text that is fixed on all of ``pages`` pages
+    is so by chance with the power ``pages`` - 1 of how often texts of the chief
+    element are fixed on this page."""
+    inside = [f for b, f in zip(found, fix) if b.chief and not b.drop]
+    chance = (sum(inside) + 1) / (len(inside) + 2)
+    odds = min(1000.0, (pages - 1) * -math.log(chance))
+    return [f and odds > (math.log(DOUBT) if b.chief else 0) for b, f in zip(found, fix)]
+
+
 def extract(html: str | None, constant: frozenset | set = frozenset(), wrapper: Matcher | None = None) -> str:
     """The main text of a page.  ``wrapper``: that of its host, which tells
-    furniture by place; without one, ``constant`` are the host's fixed texts and
-    an article bounds the content."""
+    furniture by place; without one, ``constant`` are texts that are furniture
+    outside the chief element."""
     if not html:
         return ""
     found, stream = blocks(html)
     if wrapper:
-        fix = wrapper.furniture(stream)
-        kept = [b for b, out in zip(found, fix) if not (b.drop or out) and (b.main or not b.linked)]
+        out = furniture(found, wrapper.furniture(stream), wrapper.pages)
     else:
-        kept = [b for b in found if b.main and not b.drop]
-    if not kept and not wrapper:
-        kept = [b for b in found if not b.drop and not b.linked and "#" + xxhash.xxh3_64_hexdigest(b.text.encode()) not in constant]
-    return "\n".join(b.text for b in kept)
+        out = [not b.chief and x in constant for b, x in zip(found, (x for x in stream if x[0] == "#"))]
+    left = [b for b, gone in zip(found, out) if not (b.drop or gone) and (b.chief or not b.linked)]
+    bounded = FAIR * sum(len(b.text) for b in left if b.chief) >= sum(len(b.text) for b in left)
+    return "\n".join(b.text for b in left if b.main or not bounded or not any(x.chief for x in left))
 
 
 def _merged(a: list, b: list) -> list:
@@ -404,18 +515,19 @@ def _merged(a: list, b: list) -> list:
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"n": pa.int64(), "deal": pa.int64(), "fixed": pa.list_(pa.string())}
+    kinds = {"n": pa.int64(), "n_pages": pa.int64(), "deal": pa.int64(), "fixed": pa.list_(pa.string())}
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.get(x, pa.string())) for k, x in enumerate(names)], names=names)
 
 
 def wrappers(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(host, n_pages, expression, fixed, wrapper) for every host: how many
-    different pages it has, its wrapper as text, the texts that are furniture,
-    and the wrapper as JSON if there are pages enough to tell fixed text (else
-    null).  Copies of a page and pages without tokens teach nothing.  Pages of one
-    structure are joined place by place where they are read; then each of ``DEALS``
-    parts of a host's structures is aligned, and the parts with one another.  All
-    in an order of their own, so the wrapper does not depend on how pages lie."""
+    different pages it has, its wrapper as text, the texts that all of them have,
+    and the wrapper as JSON.  Copies of a page and pages without tokens teach
+    nothing.  Pages of one structure are joined place by place where they are read;
+    then structures are aligned in parts, and these in larger ones (``WIDTHS``),
+    all in an order of their own, so the wrapper does not depend on how pages lie.
+    What hardly a page has leaves the wrapper, so its length keeps to a multiple of
+    the pages'."""
     own = pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
 
     def tokens(batches):
@@ -436,7 +548,7 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
         held: dict = {}
 
         def out():
-            return _batch([(h, int(s[:8], 16) % DEALS, s, n, json.dumps(w)) for (h, s), (n, w) in held.items()], ["host", "deal", "shape", "n", "items"])
+            return _batch([(h, int(s[:8], 16) % WIDTHS[0], s, n, json.dumps(w)) for (h, s), (n, w) in held.items()], ["host", "deal", "shape", "n", "items"])
 
         for batch in batches:
             for h, s, x in zip(*(batch.column(c).to_pylist() for c in ("host", "shape", "items"))):
@@ -453,30 +565,37 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
         return itertools.groupby(rows, key=lambda r: r[:width])
 
-    def deals(batches):
+    def structures(batches):
         for (h, d), rows in grouped(batches, 2):
             total, wrapper = 0, None
             for _, same in itertools.groupby(rows, key=lambda r: r[2]):
-                one = None
+                n, one = 0, None
                 for r in same:
                     x = loaded(json.loads(r[4]))
-                    total, one = total + r[3], _merged(one, x) if one else x
-                wrapper = align(wrapper, one) if wrapper else one
+                    n, one = n + r[3], _merged(one, x) if one else x
+                wrapper = align(wrapper, one, total, n) if wrapper else one
+                total += n
             yield _batch([(h, d, total, json.dumps(wrapper))], ["host", "deal", "n", "items"])
 
-    def hosts(batches):
-        for (h,), rows in grouped(batches, 1):
+    def parts(batches):
+        for (h, d), rows in grouped(batches, 2):
             total, wrapper = 0, None
             for r in rows:
-                x = loaded(json.loads(r[3]))
-                total, wrapper = total + r[2], align(wrapper, x) if wrapper else x
-            enough = total >= EVIDENCE
-            yield _batch([(h, total, expression(wrapper), sorted(fixed(wrapper)) if enough else [], json.dumps(wrapper) if enough else None)], ["host", "n", "expression", "fixed", "wrapper"])
+                x = loaded(json.loads(r[4]))
+                wrapper = align(wrapper, x, total, r[3]) if wrapper else x
+                total += r[3]
+            yield _batch([(h, d, total, json.dumps(wrapper))], ["host", "deal", "n", "items"])
+
+    def said(batches):
+        for batch in batches:
+            rows = [(h, n, loaded(json.loads(x)), x) for h, n, x in zip(*(batch.column(c).to_pylist() for c in ("host", "n", "items")))]
+            yield _batch([(h, n, expression(w), sorted(fixed(w)), x) for h, n, w, x in rows], ["host", "n_pages", "expression", "fixed", "wrapper"])
 
     df = listed.mapInArrow(shapes, "host string, deal long, shape string, n long, items string")
-    df = df.repartition("host", "deal").sortWithinPartitions("host", "deal", "shape").mapInArrow(deals, "host string, deal long, n long, items string")
-    df = df.repartition("host").sortWithinPartitions("host", "deal").mapInArrow(hosts, "host string, n long, expression string, fixed array<string>, wrapper string")
-    return df.withColumnRenamed("n", "n_pages")
+    df = df.repartition("host", "deal").sortWithinPartitions("host", "deal", "shape").mapInArrow(structures, "host string, deal long, n long, items string")
+    for width in WIDTHS[1:]:
+        df = df.select("host", (F.col("deal") % width).alias("to"), "deal", "n", "items").repartition("host", "to").sortWithinPartitions("host", "to", "deal").mapInArrow(parts, "host string, deal long, n long, items string")
+    return df.mapInArrow(said, "host string, n_pages long, expression string, fixed array<string>, wrapper string")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -487,17 +606,22 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
     columns are ignored."""
     kind = pages.schema[id_col].dataType.simpleString()
     # staged: the join sees how large the wrappers are, broadcasts them only below Spark's bound, and can split a hot host
-    known = staged(wrappers(pages, id_col, url, html).select(F.col("host").alias("h"), "wrapper"), "wrappers")
+    known = staged(wrappers(pages, id_col, url, html).select(F.col("host").alias("h"), "n_pages", "wrapper"), "wrappers")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     pattern = r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
     own = own.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", pattern, 1), F.lit(""))))
-    joined = own.join(known, own.host == known.h, "left").select("page_id", "url", "html", "wrapper")
+    joined = own.join(known, own.host == known.h, "left").select("page_id", "url", "html", "wrapper", "n_pages")
 
     def read(batches):
+        of: dict = {}  # the wrappers of late
         for batch in batches:
-            of = batch.column(3).dictionary_encode()
-            host_ = [Matcher(loaded(json.loads(w))) for w in of.dictionary.to_pylist()]
-            texts = [extract(x, wrapper=None if k is None else host_[k]) for x, k in zip(batch.column(2).to_pylist(), of.indices.to_pylist())]
+            texts = []
+            for x, w, n in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))):
+                if w is not None and w not in of:
+                    if len(of) >= 256:
+                        of.clear()
+                    of[w] = Matcher(loaded(json.loads(w)), n)
+                texts.append(extract(x, wrapper=of.get(w)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")

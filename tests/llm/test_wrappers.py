@@ -76,3 +76,62 @@ def test_long_and_broken_pages(spark):
     assert got[1].text.count("\n") >= 39_999 and got[1].n_chars == len(got[1].text)
     assert got[2].text == "deep text" and got[3].text == "no host"
     assert wrappers.main_text(df.limit(0)).collect() == []
+
+
+ARTICLE = "<article><h1>Head</h1><p>Real text of the page, as long as a page is.</p></article>"
+
+
+def test_class_words_on_what_holds_the_page():
+    want = "Head\nReal text of the page, as long as a page is."
+    for begin in ("<body class='single has-sidebar'>", "<body class='nav-open'>", "<html class='menu-open'><body id='legal'>", "<body><div class='page-nav wrap'>", "<body><form id='aspnet'>", "<body><main class='widget'>"):
+        assert wrappers.extract(f"{begin}<div class='menu'>Home</div>{ARTICLE}<div class='comments'><article class='comment'>{'A long comment. ' * 20}</article></div>") == want
+    assert wrappers.extract("<body><article class='post category-legal tag-search'><p>Real text</p></article></body>") == "Real text"
+    assert wrappers.extract("<div class='post tag-search'><p>Real text here</p></div><div class='ads'>Buy</div>") == "Real text here"
+    assert wrappers.extract(f"{ARTICLE}<section class='related-posts'><article>{'Another story. ' * 20}</article></section>") == want
+
+
+def test_inline_furniture_goes_where_it_stands():
+    page = "<article><p>One <button>Click</button> two <label>Name</label> three <span hidden>hid</span> four <span class='advert'>Buy</span> five <span style='display: none'>x</span>six</p><p><a class='share'>Share</a></p></article>"
+    assert wrappers.extract(page) == "One two three four five six"
+
+
+def test_attributes_are_read_one_by_one():
+    assert wrappers.extract("<article><p title='a > b' data-x=\"class='ad' hidden\">kept</p><p title=it's>own</p></article>") == "kept\nown"
+
+
+def test_broken_markup_is_read_once():
+    """A page of a million broken attributes, comments or declarations takes no longer than its length."""
+    import time
+
+    for unit in ("<p a='", '<p a="', "<!", "<?", "<p='>'", "<p a=", "<", "</", "<a ", "<!--", "<script>", "<p class='", "class=' ", "<span hidden>z"):
+        began = time.process_time()
+        wrappers.extract(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - began < 20, unit  # quadratic reading takes hours
+    assert wrappers.extract("<p>before</p><p a='never ends <b>more</b> text>after") == "before\nmore text>after"
+
+
+def test_evidence_grows_without_a_step(spark):
+    """Fixed text inside the article leaves when enough pages have it, sooner where little else is fixed; beside it at once."""
+    page = "<body><div>Site name and so on</div><article><h1>head {k}</h1><div>Read us every day</div>{more}</article></body>"
+
+    def stays(n, own):
+        got = texts(spark, [page.format(k=k, more="".join(f"<p>line {k} {j}</p>" for j in range(own))) for k in range(n)])
+        assert not any("Site name" in t for t in got.values())
+        return all("Read us" in t for t in got.values())
+
+    assert [stays(n, 1) for n in (1, 2, 3, 4, 5)] == [True, True, True, False, False]
+    assert [stays(n, 30) for n in (1, 2, 3)] == [True, False, False]
+    same = "<article>" + "".join(f"<p>shared line {j}</p>" for j in range(20)) + "<p>own line {k}</p></article>"
+    got = texts(spark, [same.format(k=k) for k in range(3)])
+    assert all(t.count("shared line") == 20 for t in got.values())  # near copies are no furniture
+
+
+def test_wrappers_keep_to_the_length_of_pages():
+    """Thousands of different structures: what hardly a page has leaves the wrapper."""
+    import random
+
+    rng = random.Random(1)
+    streams = [["div", "#site", "/div", *[y for _ in range(12) for c in [rng.randrange(10**6)] for y in (f"p.c{c}", f"#{c}", "/p")], "h6", "#foot", "/h6"] for _ in range(600)]
+    wrapper = wrappers.infer(streams)
+    assert len(wrappers.spread(wrapper, 600)) < 12 * 3 * wrappers.RARE and wrappers.fixed(wrapper) == {"#site", "#foot"}
+    assert wrappers.Matcher(wrapper, 600).furniture(streams[5])[0] and not any(wrappers.Matcher(wrapper, 600).furniture(streams[5])[1:-1])
