@@ -182,13 +182,13 @@ def clip_list_file(spark, sf):
     return got.select(own[0].cast("long").alias("id"), own[1].cast("int").alias("n"), F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"))
 
 
-_NAMED = """SELECT lpad(l_orderkey::VARCHAR, 11, '0') AS id, round(l_extendedprice / 1000, 2)::DECIMAL(12,3)::VARCHAR AS "start", (l_quantity::DECIMAL(12,2) + 1000)::DECIMAL(12,3)::VARCHAR AS "end" FROM lineitem"""
+_NAMED = """SELECT lpad(l_orderkey::VARCHAR, 11, '0') AS id, round(l_extendedprice::DECIMAL(12,2) * 0.001::DECIMAL(4,3), 2)::DECIMAL(12,3)::VARCHAR AS "start", (l_quantity::DECIMAL(12,2) + 1000)::DECIMAL(12,3)::VARCHAR AS "end" FROM lineitem"""
 
 
 def _clip_names(spark, sf):
     two = lambda c: S.fixed_width(c)
     ext = F.when(F.col("l_linenumber") % 3 == 0, ".mkv").otherwise(".mp4")
-    start = F.round(F.col("l_extendedprice") / 1000, 2).cast("decimal(12,3)")
+    start = F.round(F.col("l_extendedprice").cast("decimal(12,2)") * F.lit("0.001").cast("decimal(4,3)"), 2).cast("decimal(12,3)")
     name = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 11, "0"), F.lit("_a title_"), two(start), F.lit("-"), two((F.col("l_quantity") + 1000).cast("decimal(12,3)")), ext)
     return table(spark, sf, "lineitem").select(name.alias("name"))
 
