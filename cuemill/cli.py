@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import intervals, recon, reports, search, tables
 from .sources import files, sinks
+from .sources.keyed import KeyedTable
 from .streaming import alerts
 
 
@@ -71,10 +72,14 @@ def quality(spark, a):
 
 
 def update(spark, a):
-    """Metadata documents into a keyed table of videos: a new version is written."""
+    """Metadata documents into a keyed table of videos: a new version is written;
+    with --merge into a table of buckets, of which only those touched are rewritten."""
     new = tables.distinct_on(files.info(spark, a.path), "ytid", [F.col("upload_date").desc_nulls_last(), F.length("url").desc(), F.col("file")])
     cols = ["url", "title", "upload_date", "duration_sec", "channel", "channel_id", "extractor_key", "tags", "categories"]
     new = new.select("ytid", *cols).withColumns({"upload_type": F.lit(None).cast("string"), "title_date": S.title_date("title")})
+    if a.merge:
+        KeyedTable.at(spark, a.out, new.schema, ["ytid"]).merge(new.drop("upload_type"), overwrite=cols, fill=["title_date"])
+        return
     if a.old:
         new = tables.upsert(spark.read.parquet(a.old), new.drop("upload_type"), ["ytid"], overwrite=cols, fill=["title_date"])
     new.write.mode("errorifexists").parquet(a.out)
@@ -104,8 +109,9 @@ def stitch(spark, a):
 
 
 def watch(spark, a):
-    """Alerts of a folder of logs, debounced by arrival second."""
-    lines = alerts.matching(alerts.follow_text(spark, a.path), "value", a.match)
+    """Alerts of growing logs (a log, a folder or a glob), rotated ones too,
+    debounced by arrival second; the next call goes on where this one ends."""
+    lines = alerts.matching(alerts.follow(spark, a.path), "value", a.match)
     at = F.unix_timestamp(F.current_timestamp()).alias("at")
     alerts.drain(alerts.debounced(lines.select(F.lit(0).cast("long").alias("k"), F.xxhash64("value").alias("ord"), at), a.debounce), a.out, a.checkpoint)
 
@@ -129,7 +135,7 @@ def parser() -> argparse.ArgumentParser:
     add(filter_clips, ("--clips", {"required": True}), ("--tolerant", {"action": "store_true"}), *text_pads)
     add(captions)
     add(quality)
-    add(update, ("--old", {}))
+    add(update, ("--old", {}), ("--merge", {"action": "store_true"}))
     add(dates, ("--action", {"choices": ["find-missing", "compare", "move"], "default": "find-missing"}), ("--files", {"required": True}), ("--prefix", {"required": True}), ("--dest", {"default": "moved"}))
     add(voice, ("--reference", {"required": True}), ("--threshold", {"type": float, "default": 0.7}), ("--name", {"default": "speaker"}))
     add(stitch, ("--sort", {"choices": ["date_timestamp", "timestamp", "name", "time"], "default": "date_timestamp"}), ("--size", {"type": int, "default": 100}))

@@ -59,3 +59,17 @@ def stream_one_shot(spark, sf):
     for _ in range(2):
         alerts.consume_once(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", f"{folder}/archive")
     return spark.read.schema("value string").parquet(f"{folder}/out").groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_logs_followed(spark, sf):
+    """Events as lines of many growing logs, followed by byte ranges in two runs of
+    one checkpoint: the second run finds what was added since, and nothing twice."""
+    folder = folder_of(spark, "logs")
+    lines = table(spark, sf, "events").select(F.concat_ws(",", "event_id", "user_id", "event_type").alias("value"), "event_type")
+    for error in (False, True):
+        lines.where((F.col("event_type") == "error") == F.lit(error)).select("value").write.mode("append").text(f"{folder}/in")
+        alerts.drain(alerts.follow(spark, f"{folder}/in/part-*", chunk="65536"), f"{folder}/out", f"{folder}/checkpoint")
+    own = F.split("value", ",")
+    got = spark.read.schema("file string, place long, value string").parquet(f"{folder}/out")
+    return got.select(own[0].cast("long").alias("event_id"), own[1].cast("long").alias("user_id"), own[2].alias("event_type"))

@@ -8,78 +8,22 @@ in event order, which the file source does with ``latestFirst`` off.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from .logs import GrowingLogs
+
 KEPT = "k long, ord long, at long"
 
 
-def follow(spark: SparkSession, path: str, from_end: bool = False) -> DataFrame:
-    """Lines (value, place) appended to one growing file, surviving rotation."""
-    spark.dataSource.register(GrowingFile)
-    return spark.readStream.format("growing_file").option("path", path).option("from_end", str(from_end).lower()).load()
-
-
-class GrowingFile(DataSource):
-    """A log that other programs append to.  The position is the byte up to which
-    whole lines were read, and the file's identity; a file of another identity, or
-    one that became shorter, is read from its begin."""
-
-    @classmethod
-    def name(cls):
-        return "growing_file"
-
-    def schema(self):
-        return "value string, place long"
-
-    def simpleStreamReader(self, schema):
-        return GrowingFileReader(self.options["path"], self.options.get("from_end") == "true")
-
-
-class GrowingFileReader(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, from_end: bool):
-        self.path, self.from_end = path, from_end
-
-    def _identity(self):
-        try:
-            st = os.stat(self.path)
-            return st.st_ino, st.st_size
-        except FileNotFoundError:
-            return None, 0
-
-    def initialOffset(self):
-        node, size = self._identity()
-        return {"node": node, "at": size if self.from_end else 0}
-
-    def read(self, start):
-        node, size = self._identity()
-        at = start["at"] if node == start["node"] and size >= start["at"] else 0
-        if node is None:
-            return iter([]), start
-        with open(self.path, "rb") as f:
-            f.seek(at)
-            data = f.read(size - at)
-        whole = data[: data.rfind(b"\n") + 1]  # a line that is still being written waits
-        rows, place = [], at
-        for line in whole.splitlines(True):
-            rows.append((line.rstrip(b"\r\n").decode("utf-8", "replace"), place))
-            place += len(line)
-        return iter(rows), {"node": node, "at": place}
-
-    def readBetweenOffsets(self, start, end):
-        with open(self.path, "rb") as f:
-            f.seek(start["at"] if start["node"] == end["node"] and start["at"] <= end["at"] else 0)
-            data = f.read(end["at"] - f.tell())
-        place = end["at"] - len(data)
-        for line in data.splitlines(True):
-            yield line.rstrip(b"\r\n").decode("utf-8", "replace"), place
-            place += len(line)
+def follow(spark: SparkSession, path: str, from_end: bool = False, **options) -> DataFrame:
+    """Lines (file, place, value) appended to growing logs, surviving rotation."""
+    spark.dataSource.register(GrowingLogs)
+    return spark.readStream.format("growing_logs").options(path=path, from_end=str(from_end).lower(), **options).load()
 
 
 def follow_text(spark: SparkSession, path: str, **options) -> DataFrame:
