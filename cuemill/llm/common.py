@@ -23,7 +23,7 @@ def scratch(spark: SparkSession) -> str:
         sc = spark.sparkContext
         found = sc.getCheckpointDir()
         if not found:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="cuemill-"))
             found = sc.getCheckpointDir()

@@ -32,8 +32,9 @@ from .common import slices, staged, unused, utf8
 BLOCK = 3
 RUN = 64  #: words that one cursor reads
 #: Benchmark bytes that one broadcast holds (its model is about twelve times as
-#: large); a larger benchmark is searched in blocks of this size, one pass after
-#: the other, so a worker holds one block at a time.
+#: large); a larger benchmark is searched in blocks of this size, one pass over the
+#: texts after the other, so a worker holds one block at a time.  What a pass writes
+#: are the hits by text digest; the documents are never written.
 BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 4 << 20
 
@@ -154,7 +155,7 @@ class WuManber:
             doc = np.searchsorted(start, found, side="right") - 1
             for d, s, p in zip(doc.tolist(), (found - start[doc]).tolist(), pattern.tolist()):
                 spans[d].append((s, s + length.m))
-                items[d].update(self.items[owner[ends[p] : ends[p + 1]]])
+                items[d].update(x for x in self.items[owner[ends[p] : ends[p + 1]]] if x is not None)
         return count, spans, items
 
 
@@ -181,46 +182,60 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     """``docs`` with a struct column ``into``: n_words, the merged word ranges
     (s, e) covered by occurrences of benchmark windows, and the items found.
 
-    Null texts have no words; items without words or with a null id are never
-    found; repeated rows and items give repeated rows and one item; occurrences
-    that overlap are one range; a very long text costs its own task; an empty
-    table or an empty benchmark finds nothing.  An existing column ``into`` is
-    replaced, all other columns pass through.
+    Null texts have no words; items without words are never found; a null id hits
+    like any other but is not among the items; repeated rows and items give repeated
+    rows and one item; occurrences that overlap are one range; a very long text costs
+    its own task; an empty table or an empty benchmark finds nothing.  An existing
+    column ``into`` is replaced, all other columns pass through.
     """
     spark = docs.sparkSession
-    own = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).dropna()
+    own = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).where("text is not null")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     kept = [c for c in docs.columns if c.lower() != into.lower()]
-    df, place = docs.select(*[F.col(f"`{c}`") for c in kept]), len(kept)
+    df = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*df.schema.fields, T.StructField(into, FOUND)])
     where = [c.lower() for c in kept].index(text.lower())
-    for k in range(blocks):
-        part = own.where(F.pmod(F.hash("item", "text"), F.lit(blocks)) == k) if blocks > 1 else own
-        model = spark.sparkContext.broadcast(WuManber([(r[0], bytes(r[1])) for r in part.collect()], window))
-        if k:
-            df = staged(df, "found")
-        df = df.mapInArrow(_search(model, where, place, k > 0, into), schema)
-    return df
 
+    def model(k: int):
+        part = own.where(F.pmod(F.hash("item", "text"), F.lit(blocks)) == k) if blocks > 1 else own
+        return spark.sparkContext.broadcast(WuManber([(r[0], bytes(r[1])) for r in part.collect()], window))
 
-def _search(model, where: int, place: int, again: bool, into: str):
+    if blocks == 1:
+        return df.mapInArrow(_search(model(0), where, into), schema)
+    digest, texts = F.sha2(F.col(f"`{text}`").cast("binary"), 256), docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
+    hits = None
+    for k in range(blocks):
+        more = texts.mapInArrow(_search(model(k), 0, "found"), T.StructType([*texts.schema.fields, T.StructField("found", FOUND)])).where(F.size("found.spans") > 0)
+        # copies of a text have the same hits
+        more = staged(more.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.first("found").alias("found")), "hits")
+        hits = more if hits is None else hits.unionByName(more)
+    hits = staged(hits.groupBy("digest").agg(F.flatten(F.collect_list("found.spans")).alias("spans"), F.flatten(F.collect_list("found.items")).alias("items")), "hits")
+    row = unused(docs, "__row")
+    named = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("d"), digest.alias(row)).join(hits.withColumnRenamed("digest", f"{row}_of"), F.col(row) == F.col(f"{row}_of"), "left")
+    wide = named.select(*[F.col("d")[c].alias(c) for c in kept], F.struct(F.lit(0).cast("long").alias("n_words"), F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).alias(into))
+    return wide.mapInArrow(_search(spark.sparkContext.broadcast(WuManber([], window)), where, into, len(kept)), schema)
+
+
+def _search(model, where: int, into: str, before: int | None = None):
+    """Adds the column ``into`` to batches whose text is column ``where``; column
+    ``before`` has what is known already."""
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
     def run(batches):
         for batch in batches:
             raw, off = utf8(batch.column(where))
-            before = batch.column(place).to_pylist() if again else None
+            known = None if before is None else batch.column(before).to_pylist()
             rows = []
             for a, b in slices(off, SLICE_BYTES):
                 found = model.value.search(raw[off[a] : off[b]], off[a : b + 1] - off[a])
                 for i, (n, spans, items) in enumerate(zip(*found)):
-                    if before:
-                        spans = spans + [(x["s"], x["e"]) for x in before[a + i]["spans"]]
-                        items = items | set(before[a + i]["items"])
+                    if known:
+                        spans = spans + [(x["s"], x["e"]) for x in known[a + i]["spans"]]
+                        items = items | set(known[a + i]["items"])
                     rows.append({"n_words": int(n), "spans": [{"s": s, "e": e} for s, e in union(spans)], "items": sorted(items)})
-            cols = batch.columns[:place]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, kind)], names=[*batch.schema.names[:place], into])
+            n = batch.num_columns if before is None else before
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(rows, kind)], names=[*batch.schema.names[:n], into])
 
     return run
 
@@ -248,7 +263,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def brute_force(docs: list[tuple], items: list[tuple], window: int = 10) -> dict:
     """For tests: every window against every position."""
-    lists = [(str(i), words_of((t or "").encode())) for i, t in items if i is not None and t is not None]
+    lists = [(i if i is None else str(i), words_of((t or "").encode())) for i, t in items if t is not None]
     out = {}
     for doc, text in docs:
         words, hit, found = words_of((text or "").encode()), set(), set()
@@ -258,6 +273,6 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = 10) -> dict
                 for j in range(len(words) - m + 1):
                     if words[j : j + m] == own[i : i + m]:
                         hit.update(range(j, j + m))
-                        found.add(item)
+                        found |= {item} - {None}
         out[doc] = (len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
     return out

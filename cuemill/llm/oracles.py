@@ -95,13 +95,13 @@ def decontamination_sql(window: int = 10) -> str:
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     words = lambda c: f"regexp_extract_all({_LOWER.format(c)}, {word})"
     return f"""WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({words('text')}, []) AS w FROM documents),
-item AS (SELECT item_id::VARCHAR AS item, {words('text')} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+item AS (SELECT item_id::VARCHAR AS item, {words('text')} AS w FROM benchmark WHERE text IS NOT NULL),
 win AS (SELECT DISTINCT item, list_slice(w, i, i + least(len(w), {window}) - 1) AS s FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), {window}) + 2)) AS i FROM item WHERE len(w) > 0)),
 lens AS (SELECT DISTINCT len(s) AS m FROM win),
 pos AS (SELECT rid, i, m, list_slice(w, i, i + m - 1) AS s FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM doc, lens WHERE len(w) >= m)),
 hit AS (SELECT rid, i, m, item FROM pos JOIN win ON win.s = pos.s),
 cover AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + m)) AS p FROM hit) GROUP BY rid),
-items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hit WHERE item IS NOT NULL) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(x.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
 FROM doc LEFT JOIN cover c ON c.rid = doc.rid LEFT JOIN items x ON x.rid = doc.rid"""
 

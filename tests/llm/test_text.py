@@ -41,7 +41,7 @@ def texts(docs):
 
 def test_decontamination(spark, sf, docs, texts):
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    items += [(900, "words here"), (901, "WORDS HERE"), (902, None), (903, "!!"), (None, "nameless"), (904, LONG[:300]), (904, LONG[:300]), (905, "ünïcödé " * 12)]
+    items += [(900, "words here"), (901, "WORDS HERE"), (902, None), (903, "!!"), (None, "nameless"), (None, LONG[200:500]), (904, LONG[:300]), (904, LONG[:300]), (905, "ünïcödé " * 12)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     odd = lambda i: i is None or i < 0
     some = [x for x in texts if odd(x[0])] + [x for x in texts if not odd(x[0])][:60]
