@@ -7,14 +7,18 @@ ignoring case).
 
 ``words`` has one row per token with a file key, an order and times.  All
 phrases are matched over one window per file, so the table is shuffled once,
-and not at all where a file's tokens lie nested in one row (``nested=...``).
+and not at all where a file's tokens lie nested in one row.  Terms, however many,
+are one automaton, by which each different word is read once a task.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import token
@@ -27,8 +31,89 @@ def _tokens(term: str, mode: str) -> list[str]:
     return [p for p in parts if p]
 
 
-def _holds(word: Column, wanted: str, mode: str) -> Column:
-    return F.contains(F.lower(word), F.lit(wanted)) if mode == "substring" else token(word) == wanted
+class Terms:
+    """Terms as sequences of token numbers, and an automaton that reads a word once
+    and tells which of all terms' tokens it holds (substring) or is (normalised).
+    What is known of words is kept, as texts have far fewer of them than places."""
+
+    KNOWN = 200_000  #: words that are kept
+
+    def __init__(self, terms: list[str], mode: str):
+        self.mode, number = mode, {}
+        self.names, self.parts = [], []
+        for t in terms:
+            own = _tokens(t, mode)
+            if own:
+                self.names.append(t)
+                self.parts.append([number.setdefault(p, len(number)) for p in own])
+        self.number, self.longest = number, max(map(len, self.parts), default=1)
+        self.by_first: dict[int, list[int]] = {}
+        for k, own in enumerate(self.parts):
+            self.by_first.setdefault(own[0], []).append(k)
+        self.known: dict[str, frozenset] = {}
+        # states of the automaton: next states, where to go on, and the tokens that end here
+        self.next: list[dict[str, int]] = [{}]
+        self.fail, self.ends = [0], [frozenset()]
+        if mode == "substring":
+            for p, k in number.items():
+                at = 0
+                for c in p:
+                    if c not in self.next[at]:
+                        self.next[at][c] = len(self.next)
+                        self.next.append({})
+                        self.fail.append(0)
+                        self.ends.append(frozenset())
+                    at = self.next[at][c]
+                self.ends[at] |= {k}
+            wait = list(self.next[0].values())
+            for at in wait:  # breadth first, so what an ending points to is complete
+                for c, to in self.next[at].items():
+                    back = self.fail[at]
+                    while back and c not in self.next[back]:
+                        back = self.fail[back]
+                    self.fail[to] = self.next[back].get(c, 0)
+                    self.ends[to] |= self.ends[self.fail[to]]
+                    wait.append(to)
+
+    def tokens(self, word: str | None) -> frozenset:
+        got = self.known.get(word)
+        if got is None:
+            if word is None:
+                got = frozenset()
+            elif self.mode == "normalised":
+                got = frozenset({self.number[word]}) if word in self.number else frozenset()
+            else:
+                found, at = set(), 0
+                for c in word:
+                    while at and c not in self.next[at]:
+                        at = self.fail[at]
+                    at = self.next[at].get(c, 0)
+                    found |= self.ends[at]
+                got = frozenset(found)
+            if len(self.known) >= self.KNOWN:
+                self.known.clear()
+            self.known[word] = got
+        return got
+
+    def find(self, words: pa.Array, off: np.ndarray, every: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, term) of every match in rows of words (``off``: where each row
+        begins in ``words``); else of those at the rows' first places."""
+        coded = words.dictionary_encode()
+        place = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+        held = [self.tokens(w) for w in coded.dictionary.to_pylist()] + [frozenset()]
+        begins = np.array([not x.isdisjoint(self.by_first) for x in held], bool)
+        some = np.flatnonzero(begins[place]) if every else off[:-1][off[:-1] < off[1:]]
+        row = np.searchsorted(off, some, side="right") - 1
+        out = []
+        for i, r in zip(some.tolist(), row.tolist()):
+            end = int(off[r + 1])
+            for first in held[place[i]]:
+                for k in self.by_first.get(first, ()):
+                    own = self.parts[k]
+                    if i + len(own) <= end and all(p in held[place[i + j]] for j, p in enumerate(own)):
+                        out.append((r, i, k))
+        got = np.array(out, np.int64).reshape(-1, 3)
+        return got[:, 0], got[:, 1], got[:, 2]
 
 
 def phrase_hits(words: DataFrame, terms: list[str], mode: str = "substring", key: str = "ytid", order: str = "idx", keep: tuple[str, ...] = (), probability: str | None = None) -> DataFrame:
@@ -36,65 +121,73 @@ def phrase_hits(words: DataFrame, terms: list[str], mode: str = "substring", key
     source_caption[, probability], *keep); the span goes from the first token's
     start to the last one's end, or its start where the end is missing.
 
-    Blank words are taken out before windows form in substring mode only.
+    Blank words are taken out before windows form in substring mode only.  A word
+    carries the next ones of its file, as many as the longest term has, and all terms
+    are looked for in one pass, however many there are.
     """
-    wanted = [(t, _tokens(t, mode)) for t in terms]
-    wanted = [(t, p) for t, p in wanted if p]
-    longest = max((len(p) for _, p in wanted), default=1)
+    own = Terms(terms, mode)
     base = words.where(F.trim("word") != "") if mode == "substring" else words
-    w = Window.partitionBy(key).orderBy(order)
-    cols = {f"__w{j}": F.lead("word", j).over(w) if j else F.col("word") for j in range(longest)}
-    cols |= {f"__e{j}": F.coalesce(F.lead("end_ms", j).over(w), F.lead("start_ms", j).over(w)) if j else F.coalesce("end_ms", "start_ms") for j in {len(p) - 1 for _, p in wanted}}
-    if probability:
-        cols |= {f"__p{j}": F.lead(probability, j).over(w) if j else F.col(probability) for j in range(longest)}
-    wide = base.withColumns(cols)
-
-    def hit(term, parts):
-        match = reduce(lambda a, b: a & b, [F.coalesce(_holds(F.col(f"__w{j}"), p, mode), F.lit(False)) for j, p in enumerate(parts)])
-        fields = [F.lit(term).alias("term"), F.col("start_ms").alias("s"), F.col(f"__e{len(parts) - 1}").alias("e"), F.concat_ws(" ", *[F.col(f"__w{j}") for j in range(len(parts))]).alias("caption")]
-        if probability:
-            fields.append((sum(F.col(f"__p{j}") for j in range(len(parts))) / len(parts)).alias("p"))
-        return F.when(match, F.struct(*fields))
-
-    hits = wide.withColumn("hit", F.explode(F.array_compact(F.array(*[hit(t, p) for t, p in wanted]))))
-    extra = [F.col("hit.p").alias("probability")] if probability else []
-    return hits.select(key, order, *keep, F.col("hit.term").alias("term"), F.col("hit.s").alias("hit_start_ms"), F.col("hit.e").alias("hit_end_ms"), F.col("hit.caption").alias("source_caption"), *extra)
+    ahead = Window.partitionBy(key).orderBy(order).rowsBetween(0, own.longest - 1)
+    form = F.lower("word") if mode == "substring" else token("word")
+    item = F.struct(form.alias("form"), F.col("word").alias("word"), F.coalesce("end_ms", "start_ms").alias("end"), *([F.col(probability).cast("double").alias("p")] if probability else []))
+    carried = list(dict.fromkeys([key, order, *keep]))
+    wide = base.select(F.struct(*carried, "start_ms").alias("d"), F.collect_list(item).over(ahead).alias("t")).select("d", F.col("t.form").alias("f"), "t")
+    found = wide.mapInArrow(_row_hits(own), f"d {wide.schema['d'].dataType.simpleString()}, term string, t {wide.schema['t'].dataType.simpleString()}")
+    last = F.element_at("t", -1)
+    extra = [(F.aggregate("t", F.lit(0.0), lambda a, x: a + x["p"]) / F.size("t")).alias("probability")] if probability else []
+    return found.select(*[F.col("d")[c].alias(c) for c in carried], "term", F.col("d.start_ms").alias("hit_start_ms"), last["end"].alias("hit_end_ms"), F.array_join(F.col("t.word"), " ").alias("source_caption"), *extra)
+
+
+def _row_hits(terms: Terms):
+    """(d, term, t) of rows (d, f, t) whose words begin with a term; ``t`` is cut to it."""
+
+    def run(batches):
+        for batch in batches:
+            forms = batch.column(1)
+            off = forms.offsets.to_numpy().astype(np.int64)
+            row, _, term = terms.find(forms.values, off, every=False)
+            items = batch.column(2)
+            base = items.offsets.to_numpy().astype(np.int64)[row]
+            size = np.array([len(terms.parts[k]) for k in term], np.int64)
+            ends = np.concatenate(([0], np.cumsum(size)))
+            at = np.repeat(base - ends[:-1], size) + np.arange(ends[-1])
+            cut = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items.values.take(pa.array(at)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([terms.names[k] for k in term], pa.string()), cut], names=["d", "term", "t"])
+
+    return run
 
 
 def nested_phrase_hits(files: DataFrame, terms: list[str], mode: str = "substring", tokens: str = "tokens", keep: tuple[str, ...] = ("ytid",)) -> DataFrame:
     """The same where ``tokens`` is an array of (word, idx, start_ms, end_ms) per
-    file: matched inside the row, without a shuffle."""
-    wanted = [(t, p) for t, p in ((t, _tokens(t, mode)) for t in terms) if p]
-    base = files.withColumn("__t", F.filter(tokens, lambda x: F.trim(x["word"]) != "") if mode == "substring" else F.col(tokens))
-    form = (lambda w: F.lower(w)) if mode == "substring" else token
-    base = base.withColumn("__f", F.transform("__t", lambda x: form(x["word"])))
-    same = (lambda w, p: F.contains(w, F.lit(p))) if mode == "substring" else (lambda w, p: w == p)
-
-    def hits(term, parts):
-        k = len(parts)
-
-        def at(t, f):
-            starts = F.filter(F.sequence(F.lit(0), F.size(f) - k), lambda i: reduce(lambda a, b: a & b, [same(F.get(f, i + j), p) for j, p in enumerate(parts)]))
-            return F.when(
-                F.size(f) >= k,
-                F.transform(
-                    starts,
-                    lambda i: F.struct(
-                        F.lit(term).alias("term"),
-                        F.get(t, i)["idx"].alias("idx"),
-                        F.get(t, i)["start_ms"].alias("hit_start_ms"),
-                        F.coalesce(F.get(t, i + k - 1)["end_ms"], F.get(t, i + k - 1)["start_ms"]).alias("hit_end_ms"),
-                        F.array_join(F.transform(F.slice(t, i + 1, k), lambda x: x["word"]), " ").alias("source_caption"),
-                    ),
-                ),
+    file: matched inside the row, without a shuffle, all terms in one pass."""
+    own = Terms(terms, mode)
+    there = F.filter(tokens, lambda x: F.trim(x["word"]) != "") if mode == "substring" else F.col(tokens)
+    form = (lambda x: F.lower(x["word"])) if mode == "substring" else (lambda x: token(x["word"]))
+    base = files.select(F.struct(*keep).alias("d"), there.alias("t")).select("d", F.transform("t", form).alias("f"), "t")
+    idx = base.schema["t"].dataType.elementType["idx"].dataType.simpleString()
+    found = base.mapInArrow(_nested_hits(own), f"d {base.schema['d'].dataType.simpleString()}, term string, idx {idx}, hit_start_ms long, hit_end_ms long, source_caption string")
+    return found.select(*[F.col("d")[c].alias(c) for c in keep], "term", "idx", "hit_start_ms", "hit_end_ms", "source_caption")
+
+
+def _nested_hits(terms: Terms):
+    def run(batches):
+        for batch in batches:
+            forms, items = batch.column(1), batch.column(2)
+            off = forms.offsets.to_numpy().astype(np.int64)
+            row, at, term = terms.find(forms.values, off)
+            # a token has the same place in both arrays, from the row's begin on
+            at = at - off[row] + items.offsets.to_numpy().astype(np.int64)[row]
+            size = np.array([len(terms.parts[k]) for k in term], np.int64)
+            value = lambda name, places: items.values.field(name).take(pa.array(places))
+            end = pc.coalesce(value("end_ms", at + size - 1), value("start_ms", at + size - 1)) if len(at) else pa.array([], pa.int64())
+            word = items.values.field("word")
+            captions = [" ".join(x for x in word.slice(a, n).to_pylist() if x is not None) for a, n in zip(at.tolist(), size.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array([terms.names[k] for k in term], pa.string()), value("idx", at), value("start_ms", at), end, pa.array(captions, pa.string())],
+                names=["d", "term", "idx", "hit_start_ms", "hit_end_ms", "source_caption"],
             )
 
-        both = F.struct(F.col("__t").alias("t"), F.col("__f").alias("f"))
-        # the arrays are bound to a variable once, not computed again per position
-        return F.transform(F.array(both), lambda b: at(b["t"], b["f"]))[0]
-
-    found = base.select(*keep, F.explode(F.concat(*[F.coalesce(hits(t, p), F.expr("array()")) for t, p in wanted])).alias("h"))
-    return found.select(*keep, "h.*")
+    return run
 
 
 def windows(hits: DataFrame, win_ms: int = 1000, before_ms: int = 0, after_ms: int = 0, exact: bool = False) -> DataFrame:

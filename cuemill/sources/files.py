@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import schemas
+from .shared import staged
 
 #: Names under which a column may appear, first come first served.
 ALIASES = {
@@ -49,11 +50,34 @@ def bulk(spark: SparkSession, path, schema: str, quote: str = "") -> DataFrame:
 
 
 def _raw(spark: SparkSession, path) -> DataFrame:
-    """The lines of tables with a position in their file, and the file's header.  A
-    file is one value (2 GB at most), as a table of one recording is."""
-    text = spark.read.text(path, wholetext=True).select(F.split("value", r"\r\n|\n|\r").alias("lines"), F.input_file_name().alias("path"), file_name().alias("file"))
-    rows = text.select("path", "file", F.get("lines", F.lit(0)).alias("header"), F.posexplode("lines").alias("pos", "line"))
-    return rows.where("pos > 0")
+    """The lines of tables (path, file, block, m, pos, header, line) with their position
+    in the file, from 1 behind the header.
+
+    A file is read in splits by many tasks.  Lines are staged with their split (its
+    first byte) and a number ``m`` that counts on inside it, so a position is the
+    place in the split and the lines of the file's splits before, one small row
+    each; the header is the first line of the first one."""
+    read = spark.read.text(path).select("value", file_name().alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    rows = staged(read.withColumn("m", F.monotonically_increasing_id()), "lines")
+    splits = rows.groupBy("path", "block").agg(F.min("m").alias("first"), F.count("*").alias("n"), F.min_by("value", "m").alias("header"))
+    before = _before("n")
+    header = F.first("header").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    splits = splits.select(F.col("path").alias("p"), F.col("block").alias("b"), (before - F.col("first")).alias("shift"), header.alias("header"))
+    out = rows.join(splits, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b"))).withColumn("pos", F.col("m") + F.col("shift"))
+    return out.where("pos > 0").select("path", "file", "block", "m", "pos", "header", F.col("value").alias("line"))
+
+
+def _before(count: str) -> Column:
+    """The sum of a count over a file's splits before."""
+    return F.coalesce(F.sum(count).over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _counted(rows: DataFrame, idx: str) -> DataFrame:
+    """``rows`` (path, block, m, ...) numbered from 1 in each file: in their split,
+    which is no larger than a task reads, and by the rows of the splits before."""
+    own = F.row_number().over(Window.partitionBy("path", "block").orderBy("m"))
+    splits = rows.groupBy("path", "block").agg(F.count("*").alias("n")).select(F.col("path").alias("p"), F.col("block").alias("b"), _before("n").alias("before"))
+    return rows.withColumn("own", own).join(splits, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b"))).withColumn(idx, F.col("own") + F.col("before")).drop("own", "p", "b", "before")
 
 
 def _field(names: tuple[str, ...], header: Column, parts: Column) -> Column:
@@ -70,11 +94,10 @@ def words_by_header(spark: SparkSession, path) -> DataFrame:
     one = lambda name: _field((name,), h, p)
     time = lambda name: F.coalesce(F.nullif(one(name), F.lit("")), F.lit("0"))
     df = raw.select(
-        "path", "file", "pos", F.coalesce(one("word"), F.lit("")).alias("word"), time("start").try_cast("double").alias("start"), time("end").try_cast("double").alias("end"),
+        "path", "file", "block", "m", F.coalesce(one("word"), F.lit("")).alias("word"), time("start").try_cast("double").alias("start"), time("end").try_cast("double").alias("end"),
         F.coalesce(one("confidence").try_cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce(one("seg").try_cast("int"), F.lit(0)).alias("seg"), F.coalesce(one("retried"), F.lit("0")).isin("1").alias("retried"),
     ).where("start is not null and end is not null")
-    idx = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
-    return df.select(S.id_in_name("file").alias("ytid"), S.media_kind("file").alias("source"), idx.alias("idx"), "word", "start", "end", "confidence", "seg", "retried", "file")
+    return _counted(df, "idx").select(S.id_in_name("file").alias("ytid"), S.media_kind("file").alias("source"), "idx", "word", "start", "end", "confidence", "seg", "retried", "file")
 
 
 def words_by_alias(spark: SparkSession, path) -> DataFrame:
