@@ -119,3 +119,19 @@ def patched(rows: DataFrame, retries: DataFrame, keys: list[str], text: str | No
         else:
             out.append(F.col(c))
     return joined.select(*out)
+
+
+def word_chunks(words: DataFrame, key: str = "ytid", idx: str = "idx", size: int = 1000, overlap: int = 150) -> DataFrame:
+    """Words in sliding chunks of ``size``, each with the last ``overlap`` words of the
+    one before: (*columns, chunk), chunks from 0.  A word's chunks follow from its
+    place (from 1), so no file is numbered or gathered; a last chunk of words that the
+    one before has too is left out."""
+    step = size - overlap
+    if not 0 < step <= size:
+        raise ValueError("the overlap must be at least 0 and less than the size")
+    at = F.col(idx) - 1
+    first = F.greatest(F.lit(0), F.floor((at - size) / step) + 1).cast("long")
+    dealt = words.withColumn("chunk", F.explode(F.sequence(first, F.floor(at / step).cast("long"))))
+    # the words of the last chunk but one end it; a chunk within them is none
+    new = words.groupBy(F.col(key).alias("__k")).agg(F.max(idx).alias("__n"))
+    return dealt.join(new, F.col(key).eqNullSafe(F.col("__k"))).where((F.col("chunk") == 0) | (F.col("__n") > F.col("chunk") * step + overlap)).drop("__k", "__n")

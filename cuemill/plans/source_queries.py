@@ -88,35 +88,38 @@ def words_file_bulk(spark, sf):
 _PLAIN = r"trim(regexp_replace(regexp_replace(cue, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))"
 
 
-def _captions(spark, sf, style: str = "") -> DataFrame:
-    """The caption files of the documents, as the writer gives them."""
-    c = views.cues(spark, sf).select("doc_id", "seg", "confidence", "retried", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), S.plain("cue").alias("text"))
-    return sinks.vtt(c, "doc_id").withColumn("value", F.regexp_replace("value", r"( --> [0-9:.]+)", "$1" + style))
+def _own_cues(spark, sf):
+    return views.cues(spark, sf).select("doc_id", "seg", "confidence", "retried", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), S.plain("cue").alias("text"))
+
+
+def _doc_of(file: str = "file"):
+    return F.split(file, r"\.")[0].cast("long").alias("doc_id")
 
 
 @query(f"WITH {CUES} SELECT doc_id, start_ms, end_ms, {_PLAIN} AS text, round(confidence, 3) AS confidence, retried AND confidence <> 0 AS retried FROM cues WHERE {_PLAIN} <> ''")
 def captions_written_and_read(spark, sf):
-    """Cues to caption files and back: notes, marks, style words behind the end."""
+    """Cues to caption files, one per document, and back: notes, marks, style words behind the end."""
     folder = _shared(spark)
-    _captions(spark, sf, " align:start").write.parquet(folder)
-    got = files.cues_of(spark.read.parquet(folder), keep=("doc_id",))
+    sinks.transcript_files(_own_cues(spark, sf), folder, "vtt", "doc_id", end=F.lit(" align:start"))
     ms = lambda c: F.round(F.col(c) * 1000).cast("long").alias(f"{c}_ms")
-    return got.select("doc_id", ms("start"), ms("end"), "text", "confidence", "retried")
+    return files.cues(spark, f"{folder}/*.vtt").select(_doc_of(), ms("start"), ms("end"), "text", "confidence", "retried")
 
 
 @query(f"WITH {CUES} SELECT doc_id, printf('%02d:%02d:%02d.%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, 0) AS raw_start, {_PLAIN} || chr(10) AS raw_text FROM cues WHERE {_PLAIN} <> ''")
 def captions_raw(spark, sf):
     """The patcher's view of the same files: times and line breaks as written."""
-    got = files.cues_of(_captions(spark, sf), keep=("doc_id",))
+    got = files.cues_of(sinks.vtt(_own_cues(spark, sf), "doc_id"), keep=("doc_id",))
     return got.select("doc_id", "raw_start", F.concat(F.rtrim(F.regexp_replace("raw_text", r"\n+$", "")), F.lit("\n")).alias("raw_text"))
 
 
 @query(f"WITH {CUES} SELECT doc_id, count(*) AS cues, md5(string_agg({_PLAIN}, chr(10) ORDER BY seg)) AS body FROM cues WHERE {_PLAIN} <> '' GROUP BY doc_id")
 def transcript_text_files(spark, sf):
     """Plain text and numbered subtitles of a transcript hold the same lines."""
-    c = views.cues(spark, sf).select("doc_id", "seg", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), S.plain("cue").alias("text"))
-    numbered = sinks.srt(c, "doc_id").select("doc_id", F.regexp_count("value", F.lit(r"(?m)^[0-9:]+,[0-9]{3} --> [0-9:]+,[0-9]{3}$")).cast("long").alias("cues"))
-    return sinks.text(c, "doc_id").select("doc_id", F.md5("value").alias("body")).join(numbered, "doc_id")
+    folder = _shared(spark)
+    for kind in ("srt", "txt"):
+        sinks.transcript_files(_own_cues(spark, sf), folder, kind, "doc_id")
+    numbered = files.whole(spark, f"{folder}/*.srt").select(_doc_of(), F.regexp_count("value", F.lit(r"(?m)^[0-9:]+,[0-9]{3} --> [0-9:]+,[0-9]{3}$")).cast("long").alias("cues"))
+    return files.whole(spark, f"{folder}/*.txt").select(_doc_of(), F.md5("value").alias("body")).join(numbered, "doc_id")
 
 
 @query(
@@ -126,8 +129,9 @@ SELECT doc_id, count(*) AS lines, count_if(before IS NULL)::BIGINT AS firsts FRO
 )
 def stamped_log_files(spark, sf):
     """Logs stamped at most once in ten seconds: all lines are there, the first is stamped."""
-    c = views.cues(spark, sf).select("doc_id", "seg", (F.col("start_ms") / 1000).alias("start"), S.plain("cue").alias("text")).where("text <> ''")
-    log = sinks.tslog(c, "doc_id", 10.0).select("doc_id", F.split("value", "\n").alias("lines"))
+    folder = _shared(spark)
+    sinks.transcript_files(_own_cues(spark, sf).where("text <> ''"), folder, "tslog.txt", "doc_id")
+    log = files.whole(spark, f"{folder}/*.tslog.txt").select(_doc_of(), F.split("value", "\n").alias("lines"))
     first = F.element_at("lines", 1).rlike(r"^\[[0-9]{2}:[0-9]{2}:[0-9]{2}\] ").cast("long")
     return log.select("doc_id", F.size("lines").cast("long").alias("lines"), first.alias("firsts"))
 

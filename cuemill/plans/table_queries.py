@@ -369,3 +369,15 @@ def entries_flatten(spark, sf):
     lists = c.groupBy("conv_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(entry)).alias("entries"))).alias("value"))
     e = entries_of(lists).select(F.col("id").cast("long").alias("id"), "url", F.split("title", "#")[0].alias("title"), F.split("title", "#")[1].cast("long").alias("turn"))
     return T.seen_first(e, ["id", "url", "title"], "turn").select("id", "url", "title", F.col("turn").alias("first_turn"))
+
+
+@query(
+    f"""WITH {WORDS}, own AS (SELECT ytid, idx, word, start_ms, end_ms, max(idx) OVER (PARTITION BY ytid) AS n FROM words),
+c AS (SELECT own.*, k AS chunk FROM own, range((SELECT max(idx) // 850 + 1 FROM words)) t(k) WHERE idx > k * 850 AND idx <= k * 850 + 1000 AND (k = 0 OR n > k * 850 + 150))
+SELECT ytid, chunk::BIGINT AS chunk, count(*) AS n, min(idx) AS first_idx, min(start_ms) AS start_ms, max(end_ms) AS end_ms, md5(string_agg(word, ' ' ORDER BY idx)) AS body FROM c GROUP BY ytid, chunk"""
+)
+def word_chunks(spark, sf):
+    """Chunks of 1,000 words that overlap by 150."""
+    c = T.word_chunks(views.words(spark, sf))
+    rows = F.array_sort(F.collect_list(F.struct("idx", "word")))  # no longer than a chunk
+    return c.groupBy("ytid", "chunk").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.md5(F.array_join(F.transform(rows, lambda x: x["word"]), " ")).alias("body"))

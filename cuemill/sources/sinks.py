@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .key_files import write_files
 
 PUBLIC_HITS = ["url", "start", "end", "label", "source_caption", "source_type"]
 
@@ -34,18 +35,33 @@ def _joined(df: DataFrame, key: str, order: str, line: Column, head: str = "", m
     return rows.select(key, F.concat(F.lit(head), F.array_join(F.transform("xs", lambda x: x["line"]), mark)).alias("value"))
 
 
-def vtt(cues: DataFrame, key: str = "file", order: str = "seg") -> DataFrame:
-    """(key, value): caption files; the note stands directly on its cue, so
-    readers find it; blank cues are left out."""
+def _vtt_line() -> Column:
+    """A cue of a caption file; the note stands directly on it, so readers find it."""
     note = F.when(F.col("confidence") != 0, F.concat(F.lit("NOTE Confidence: "), F.format_string("%.3f", "confidence"), F.when(F.col("retried"), " [RETRIED]").otherwise(""), F.lit("\n"))).otherwise("")
-    line = F.concat(note, S.clock("start"), F.lit(" --> "), S.clock("end"), F.lit("\n"), F.trim("text"), F.lit("\n"))
-    return _joined(cues.where(F.trim("text") != ""), key, order, line, "WEBVTT\n\n")
+    return F.concat(note, S.clock("start"), F.lit(" --> "), S.clock("end"), F.lit("\n"), F.trim("text"), F.lit("\n"))
 
 
-def srt(cues: DataFrame, key: str = "file", order: str = "seg") -> DataFrame:
+def _srt_line(order: str) -> Column:
     """Numbered from the ordinal, so blank cues leave gaps."""
-    line = F.concat((F.col(order) + 1).cast("string"), F.lit("\n"), S.clock("start", ","), F.lit(" --> "), S.clock("end", ","), F.lit("\n"), F.trim("text"), F.lit("\n"))
-    return _joined(cues.where(F.trim("text") != ""), key, order, line)
+    return F.concat((F.col(order) + 1).cast("string"), F.lit("\n"), S.clock("start", ","), F.lit(" --> "), S.clock("end", ","), F.lit("\n"), F.trim("text"), F.lit("\n"))
+
+
+def _stamped(cues: DataFrame, key: str, gap: float, order: str) -> tuple[DataFrame, Column]:
+    """Cues and their lines, stamped at most once per ``gap`` seconds."""
+    from ..operators.intervals import spaced
+
+    stamps = spaced(cues.select(key, order, "start"), key, "start", gap, order).select(key, order, F.lit(True).alias("__s"))
+    stamp = F.concat(F.lit("["), F.substring(S.clock(F.floor("start")), 1, 8), F.lit("] "))
+    return cues.join(stamps, [key, order], "left"), F.concat(F.when(F.col("__s"), stamp).otherwise(""), F.trim("text"))
+
+
+def vtt(cues: DataFrame, key: str = "file", order: str = "seg") -> DataFrame:
+    """(key, value): caption files; blank cues are left out."""
+    return _joined(cues.where(F.trim("text") != ""), key, order, _vtt_line(), "WEBVTT\n\n")
+
+
+def srt(cues: DataFrame, key: str = "file", order: str = "seg") -> DataFrame:
+    return _joined(cues.where(F.trim("text") != ""), key, order, _srt_line(order))
 
 
 def text(cues: DataFrame, key: str = "file", order: str = "seg") -> DataFrame:
@@ -54,11 +70,18 @@ def text(cues: DataFrame, key: str = "file", order: str = "seg") -> DataFrame:
 
 def tslog(cues: DataFrame, key: str = "file", gap: float = 10.0, order: str = "seg") -> DataFrame:
     """Cue texts, stamped at most once per ``gap`` seconds."""
-    from ..operators.intervals import spaced
-
-    stamps = spaced(cues.select(key, order, "start"), key, "start", gap, order).select(key, order, F.lit(True).alias("__s"))
-    stamp = F.concat(F.lit("["), F.substring(S.clock(F.floor("start")), 1, 8), F.lit("] "))
-    return _joined(cues.join(stamps, [key, order], "left").where(F.trim("text") != ""), key, order, F.concat(F.when(F.col("__s"), stamp).otherwise(""), F.trim("text")))
+    rows, line = _stamped(cues, key, gap, order)
+    return _joined(rows.where(F.trim("text") != ""), key, order, line)
+
+
+def transcript_files(cues: DataFrame, path: str, kind: str, key: str = "file", order: str = "seg", gap: float = 10.0, end: Column | None = None) -> None:
+    """The files themselves, one per key, streamed: ``kind`` is vtt, srt, txt or
+    tslog.txt; ``end`` stands behind the end time of a vtt cue."""
+    rows, line = _stamped(cues, key, gap, order) if kind == "tslog.txt" else (cues, {"vtt": _vtt_line(), "srt": _srt_line(order), "txt": F.trim("text")}[kind])
+    if kind == "vtt" and end is not None:
+        line = F.regexp_replace(line, F.lit(r"( --> [0-9:.]+)"), F.concat(F.lit("$1"), end))
+    name = F.concat(F.col(key).cast("string"), F.lit(f".{kind}"))
+    write_files(rows.where(F.trim("text") != ""), path, name, [order], line, "WEBVTT\n\n" if kind == "vtt" else "")
 
 
 def words_rows(words: DataFrame) -> DataFrame:
