@@ -9,12 +9,13 @@ probability of each n-gram and the back-off weight of each context, looked up by
 binary search.  A text gets the language of the lowest cross-entropy per
 character.
 
-Every n-gram is kept.  What predicts a character depends on n-grams whose last
-character but one is the same, so the models are cut by that character into
-*blocks* of about ``BLOCK`` n-grams; only one block at a time is gathered and
-broadcast, and the bits of a text are summed over the blocks, one pass over the
-texts for each.  What crosses blocks (discounts and the one-character counts) is
-counted in Spark over all n-grams beforehand.
+Every n-gram is kept.  What predicts a character depends on the n-grams with the
+same two characters before the last, and on shorter ones, so the models are cut by
+those two into *blocks* of about ``BLOCK`` n-grams; only one block at a time is
+gathered and broadcast, with the pairs of characters that it needs, and the bits of
+a text are summed over the blocks, one pass over the texts for each.  What crosses
+blocks (discounts and the counts of one and two characters) is counted in Spark over
+all n-grams beforehand.
 
 The winner's lead is turned into a probability on training rows that the models
 used for calibration have not seen (Platt scaling), and a text whose
@@ -35,7 +36,8 @@ from .common import sample_of, slices, staged, utf8
 
 N = 4
 #: n-grams of all languages that are gathered and broadcast at once; more n-grams
-#: mean more passes.  One preceding character's n-grams are never parted.
+#: mean more passes.  The n-grams behind two characters, at most the square of the
+#: alphabet, are never parted.
 BLOCK = 2_000_000
 #: labelled rows that calibration scores, a sample by hash.
 CALIBRATION = 4_000
@@ -108,13 +110,17 @@ def _count(batches):
 
 
 class KneserNey:
-    """One language, the n-grams of one block: arrays per order, sorted by key."""
+    """One language, the n-grams of one block: arrays per order, sorted by key.
+    ``pairs`` and ``single`` hold the keys and continuation counts of the two lowest
+    orders, whose contexts reach beyond a block."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, discounts: dict[int, float], single: tuple[np.ndarray, np.ndarray], alphabet: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, discounts: dict[int, float], pairs: tuple[np.ndarray, np.ndarray], single: tuple[np.ndarray, np.ndarray], alphabet: int):
         self.orders = []
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(np.float64)
         for n in range(N, 1, -1):
+            if n == 2:
+                keys, counts = pairs
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order].astype(np.float64)
             d = discounts[n]
             context, inverse = np.unique((keys >> np.uint64(16)) & _mask(n - 1), return_inverse=True)
             total, kinds = np.bincount(inverse, counts), np.bincount(inverse)
@@ -143,8 +149,9 @@ class KneserNey:
 
 
 class Block:
-    """The languages' models of the N-grams with a last character but one of
-    ``lo`` to ``hi``, in code-point order of the languages' names."""
+    """The languages' models of the N-grams whose two characters before the last
+    are from ``lo`` to ``hi`` (the nearer one counting more), in code-point order of
+    the languages' names."""
 
     def __init__(self, lo: int, hi: int, models: list[KneserNey]):
         self.lo, self.hi, self.models = lo, hi, models
@@ -154,7 +161,7 @@ class Block:
         of those that this block predicts."""
         key, doc = grams(data, off)
         n = np.bincount(doc, minlength=len(off) - 1)
-        before = (key >> np.uint64(16)) & _mask(1)
+        before = (((key >> np.uint64(16)) & _mask(1)) << np.uint64(16)) | ((key >> np.uint64(32)) & _mask(1))
         own = (before >= self.lo) & (before <= self.hi)
         distinct, inverse = np.unique(key[own], return_inverse=True)
         out = np.empty((len(off) - 1, len(self.models)))
@@ -168,8 +175,8 @@ class Models:
     one-character counts and the bounds of the blocks.  The n-grams themselves
     stay in the table ``grams`` until their block is asked for."""
 
-    def __init__(self, grams_: DataFrame, column: str, names: list[str], counts: dict, single: dict, bounds: list[tuple[int, int]]):
-        self.grams, self.column, self.bounds = grams_, column, bounds
+    def __init__(self, grams_: DataFrame, pairs: DataFrame, column: str, names: list[str], counts: dict, single: dict, bounds: list[tuple[int, int]]):
+        self.grams, self.pairs, self.column, self.bounds = grams_, pairs, column, bounds
         self.names = names
         self.discounts = {}
         for x in names:
@@ -182,23 +189,43 @@ class Models:
 
     def block(self, k: int) -> Block:
         lo, hi = self.bounds[k]
-        before = F.shiftright("gram", 16).bitwiseAND(F.lit(0xFFFF))
-        rows = self.grams.where(before.between(lo, hi) & (F.col(self.column) > 0)).select("lang", "gram", self.column).toPandas()
-        langs, keys, counts = rows["lang"].to_numpy(), rows["gram"].to_numpy().view(np.uint64), rows[self.column].to_numpy()
+        near = F.shiftright("gram", 16).bitwiseAND(F.lit(0xFFFF))
         none = np.zeros(0, np.uint64)
-        return Block(lo, hi, [KneserNey(keys[langs == x], counts[langs == x], self.discounts[x], self.single.get(x, (none, none)), self.alphabet) for x in self.names])
+
+        def arrays(table: DataFrame) -> dict:
+            rows = table.where(F.col(self.column) > 0).select("lang", "gram", self.column).toPandas()
+            return {x: (v["gram"].to_numpy().view(np.uint64), v[self.column].to_numpy()) for x, v in rows.groupby("lang")}
+
+        grams_ = arrays(self.grams.where(_before("gram").between(lo, hi)))
+        pairs = arrays(self.pairs.where(near.between(lo >> 16, hi >> 16)))
+        return Block(lo, hi, [KneserNey(*grams_.get(x, (none, none)), self.discounts[x], pairs.get(x, (none, none)), self.single.get(x, (none, none)), self.alphabet) for x in self.names])
 
     def summed(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """``df`` with ``n`` characters and their ``bits`` in each language."""
+        """``df`` without ``text`` but with ``__n`` characters and their ``__bits`` in each
+        language.  One block is in memory at a time; a pass over the texts leaves
+        what it finds by their digests, so texts are read once a block and never
+        written."""
         spark = df.sparkSession
-        kept = df.columns
-        schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema) + "`__n` long, `__bits` array<double>"
-        out = df.withColumn("__n", F.lit(0).cast("long")).withColumn("__bits", F.expr("array()").cast("array<double>"))
-        for k in range(len(self.bounds) if self.names else 0):
-            if k:  # one block in memory at a time
-                out = staged(out, "bits")
-            out = out.mapInArrow(_add(spark.sparkContext.broadcast(self.block(k)), kept.index(text), len(self.names)), schema)
-        return out
+        kept = [c for c in df.columns if c != text]
+        blocks = len(self.bounds) if self.names else 0
+        kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*kept).schema)
+        share = lambda k: _add(spark.sparkContext.broadcast(self.block(k)), len(self.names))
+        if not blocks:
+            return df.select(*kept, F.lit(0).cast("long").alias("__n"), F.expr("array()").cast("array<double>").alias("__bits"))
+        if blocks == 1:
+            return df.select(*kept, text).mapInArrow(share(0), kinds + "`__n` long, `__bits` array<double>")
+        digest = F.sha2(F.col(text).cast("binary"), 256)
+        texts, found = df.where(F.col(text).isNotNull()).select(digest.alias("__of"), text), None
+        for k in range(blocks):
+            # copies of a text have the same sums
+            more = texts.mapInArrow(share(k), "`__of` string, `__n` long, `__bits` array<double>").groupBy("__of").agg(F.first("__n").alias("__n"), F.first("__bits").alias("__bits"))
+            more = staged(more.withColumn("__k", F.lit(k)), "bits")
+            found = more if found is None else found.unionByName(more)
+        zero = F.transform(F.sequence(F.lit(1), F.lit(len(self.names))), lambda _: F.lit(0.0))
+        parts = F.array_sort(F.collect_list(F.struct("__k", "__bits")))  # one a block
+        sums = found.groupBy("__of").agg(F.max("__n").alias("__n"), F.aggregate(parts, zero, lambda a, x: F.zip_with(a, x["__bits"], lambda y, z: y + z)).alias("__bits"))
+        out = df.select(*kept, digest.alias("__text")).join(staged(sums, "bits"), F.col("__text") == F.col("__of"), "left")
+        return out.select(*kept, F.coalesce("__n", F.lit(0).cast("long")).alias("__n"), F.coalesce("__bits", zero).alias("__bits"))
 
     def calibrate(self, rows: list) -> None:
         """``rows``: (true language, predicted, bits per character, lead)."""
@@ -241,19 +268,24 @@ class Models:
         )
 
 
-def _add(block, text: int, languages: int):
+def _before(gram: str) -> Column:
+    """The two characters before the last, the nearer one counting more."""
+    at = lambda k: F.shiftright(gram, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    return F.shiftleft(at(1), 16).bitwiseOR(at(2))
+
+
+def _add(block, languages: int):
+    """Replaces the last column, the text, by its characters and bits."""
+
     def run(batches):
         m = block.value
         for batch in batches:
-            raw, off = utf8(batch.column(text))
+            raw, off = utf8(batch.column(batch.num_columns - 1))
             parts = [m.sums(raw[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in slices(off, SLICE_BYTES)]
             n = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)
             bits = np.concatenate([x for _, x in parts]) if parts else np.zeros((0, languages))
-            had = batch.column(batch.num_columns - 1)
-            if len(had.flatten()):
-                bits = bits + had.flatten().to_numpy(zero_copy_only=False).reshape(-1, languages)
             sums = pa.ListArray.from_arrays(np.arange(0, len(batch) * languages + 1, languages, dtype=np.int32), pa.array(bits.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n.astype(np.int64)), sums], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n.astype(np.int64)), sums], names=[*batch.schema.names[:-1], "__n", "__bits"])
 
     return run
 
@@ -261,10 +293,11 @@ def _add(block, text: int, languages: int):
 ADDED = "lang_pred string, score double, bits double, lead double, rejected boolean"
 
 
-def counted(table: DataFrame) -> tuple[dict, dict]:
+def counted(table: DataFrame) -> tuple[dict, dict, DataFrame]:
     """For both columns ``n`` and ``n_fit`` of a table of N-grams: the n-grams
     seen once and twice by (language, order), and the one-character continuation
-    counts by language.  Lower orders count the distinct n-grams one longer."""
+    counts by language; and the table of the two-character ones.  Lower orders count
+    the distinct n-grams one longer."""
     columns = ("n", "n_fit")
     counts, single = {c: {} for c in columns}, {c: {} for c in columns}
     level = table
@@ -273,6 +306,7 @@ def counted(table: DataFrame) -> tuple[dict, dict]:
             mask = F.lit(int((1 << 16 * n) - 1))
             level = level.groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in columns])
             level = staged(level, "grams") if n > 1 else level
+        pairs = level if n == 2 else None if n > 2 else pairs
         for r in level.groupBy("lang").agg(*[F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in columns for k in (1, 2)]).collect():
             for c in columns:
                 counts[c][(r["lang"], n)] = (r[f"{c}1"], r[f"{c}2"])
@@ -280,20 +314,19 @@ def counted(table: DataFrame) -> tuple[dict, dict]:
     for c in columns:
         for x, v in rows[rows[c] > 0].groupby("lang"):
             single[c][x] = (v["gram"].to_numpy().view(np.uint64), v[c].to_numpy().astype(np.float64))
-    return counts, single
+    return counts, single, pairs
 
 
 def _bounds(table: DataFrame, block: int) -> list[tuple[int, int]]:
-    """Ranges of the last character but one that hold about ``block`` n-grams."""
-    before = F.shiftright("gram", 16).bitwiseAND(F.lit(0xFFFF))
-    sizes = sorted((r["c"], r["k"]) for r in table.groupBy(before.alias("c")).agg(F.count("*").alias("k")).collect())
+    """Ranges of the two characters before the last that hold about ``block`` n-grams."""
+    sizes = sorted((r["c"], r["k"]) for r in table.groupBy(_before("gram").alias("c")).agg(F.count("*").alias("k")).collect())
     cuts, held = [0], 0
     for c, k in sizes:
         if held and held + k > block:
             cuts.append(c)
             held = 0
         held += k
-    return [(a, b - 1) for a, b in zip(cuts, [*cuts[1:], 0x10000])]
+    return [(a, b - 1) for a, b in zip(cuts, [*cuts[1:], 1 << 32])]
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", fit: Column | None = None, key: Column | None = None, block: int = BLOCK, sample: int = CALIBRATION) -> Models:
@@ -305,14 +338,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", fit: Column |
     own = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), fit.alias("fit"), (F.lit(0) if key is None else key).alias("key"))
     grams_ = own.drop("key").mapInArrow(_count, "lang string, gram long, n long, n_fit long")
     table = staged(grams_.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_fit").alias("n_fit")), "grams")
-    counts, single = counted(table)
+    counts, single, pairs = counted(table)
     bounds = _bounds(table, block)
     names = lambda c: sorted(single[c], key=lambda x: x.encode())
-    final = Models(table, "n", names("n"), counts["n"], single["n"], bounds)
-    trial = Models(table, "n_fit", names("n_fit"), counts["n_fit"], single["n_fit"], bounds)
+    final = Models(table, pairs, "n", names("n"), counts["n"], single["n"], bounds)
+    trial = Models(table, pairs, "n_fit", names("n_fit"), counts["n_fit"], single["n_fit"], bounds)
     if trial.names:
         seen = staged(sample_of(own.where(~F.col("fit")), sample, "key", "text").select("text", "lang"), "sample")
-        scored = trial.judged(trial.summed(seen).drop("text")).where(F.col("lang_pred") != UNKNOWN)
+        scored = trial.judged(trial.summed(seen)).where(F.col("lang_pred") != UNKNOWN)
         final.calibrate([tuple(r) for r in scored.select("lang", "lang_pred", "bits", "lead").collect()])
     return final
 
@@ -327,7 +360,7 @@ def identify(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     added = {"lang_pred", "score", "bits", "lead", "rejected"}
     kept = [c for c in docs.columns if c.lower() not in added and c.lower() != text.lower()]
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("d") if kept else F.lit(None).alias("d"), F.col(f"`{text}`").alias("text"))
-    out = models.judged(models.summed(df).drop("text"))
+    out = models.judged(models.summed(df))
     return out.select(*[F.col("d")[c].alias(c) for c in kept], *added_columns())
 
 
