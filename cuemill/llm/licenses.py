@@ -10,6 +10,7 @@ document before anything is shuffled.
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -81,6 +82,32 @@ Redistribution and use in source and binary forms, with or without modification,
     **{x.stem: x.read_text("utf-8") for x in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))},  # as published
 }
 
+# SPDX identifiers that documents name beside those above.
+SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0-or-later AGPL-3.0 Apache-1.1 APSL-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 "
+    "CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later "
+    "GPL-2.0 GPL-2.0+ GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-or-later LPL-1.02 MIT-0 MPL-1.1 MS-PL MS-RL MulanPSL-2.0 NCSA "
+    "ODbL-1.0 OFL-1.1 OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 Ruby Unicode-3.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1"
+).split()
+for _id in SPDX:
+    NOTICES.setdefault(_id, []).append(f"SPDX-License-Identifier: {_id}")
+
+#: Other headings under which a text is published.
+HEADINGS = {"MIT": ["The MIT License (MIT)", "The MIT License", "MIT License (MIT)"], "BSD-3-Clause": ["The 3-Clause BSD License", "BSD-3-Clause"], "BSD-2-Clause": ["The 2-Clause BSD License", "BSD-2-Clause"], "ISC": ["The ISC License", "ISC License (ISC)"]}
+
+
+def forms(name: str, text: str) -> list[str]:
+    """A licence as published, without its heading or under another one, without an
+    appendix on how to apply it, and with bullets for numbers: what documents hold."""
+    heading, _, rest = text.strip().partition("\n")
+    out = [text]
+    if len(heading) < 80 and re.search(r"licen[cs]e", heading, re.I):
+        out += [rest, *[f"{h}\n{rest}" for h in HEADINGS.get(name, ())]]
+    out += [x[: m.start()] for x in out[:] if (m := re.search(r"(?m)^\s*APPENDIX: How to apply", x))]
+    out += [re.sub(r"(?m)^(\s*)\d+\.(?=\s)", r"\1*", x) for x in out[:] if name.startswith("BSD")]
+    return list(dict.fromkeys(out))
+
+
 # Spellings that count as one, longest first.
 SPELLINGS = [
     ("sub-license", "sublicense"),
@@ -88,7 +115,6 @@ SPELLINGS = [
     ("non-infringement", "noninfringement"),
     ("merchantibility", "merchantability"),
     ("licence", "license"),
-    ("licenced", "licensed"),
     ("organisation", "organization"),
     ("version 2.0", "version 2"),
     ("version\n2.0", "version 2"),
@@ -142,7 +168,7 @@ def known(spark, texts: dict[str, str] | None = None, notices: dict[str, list[st
         return df.select(digest(F.col("text")).alias("digest"), "name").groupBy("digest").agg(F.min("name").alias("license"))
 
     lines = [(k, x) for k, v in (notices or NOTICES).items() for x in v]
-    return table([*(texts or TEXTS).items(), *lines]), table(lines)
+    return table([*[(k, x) for k, v in (texts or TEXTS).items() for x in forms(k, v)], *lines]), table(lines)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", texts=None, notices=None) -> DataFrame:
@@ -161,9 +187,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", texts=None
     all_ = F.broadcast(whole.select(F.col("digest").alias("d"), F.col("license")))
     names = F.create_map(*[F.lit(x) for pair in few.items() for x in pair]) if few else F.expr("map()").cast("map<string,string>")
     # only lines that can be notices are digested: those with a word that every notice has one of
-    some = CANDIDATE
+    every = all(re.search(CANDIDATE.replace(r"\p{L}\p{N}", r"\w"), x) for v in (notices or NOTICES).values() for x in v)
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    candidates = F.filter(F.split(own, r"\r\n|\r|\n", -1), lambda x: x.rlike(some)) if notices is None else F.split(own, r"\r\n|\r|\n", -1)
+    candidates = F.filter(F.split(own, r"\r\n|\r|\n", -1), lambda x: x.rlike(CANDIDATE)) if every else F.split(own, r"\r\n|\r|\n", -1)
     hits = F.filter(F.transform(candidates, lambda x: F.try_element_at(names, F.coalesce(digest(x), F.lit("")))), lambda x: x.isNotNull())
     df = docs.select(F.col(f"`{id_col}`").alias("doc_id"), digest(F.col(f"`{text}`")).alias("digest"), hits.alias("hits"))
     joined = df.join(all_, df.digest == all_.d, "left")

@@ -115,7 +115,7 @@ def licenses_sql() -> str:
         return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
     notices = ", ".join(f"({_quoted(k)}, {_quoted(x)})" for k, v in licenses.NOTICES.items() for x in v)
-    texts = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.TEXTS.items())
+    texts = ", ".join(f"({_quoted(k)}, {_quoted(x)})" for k, v in licenses.TEXTS.items() for x in licenses.forms(k, v))
     return f"""WITH lines AS (SELECT min(name) AS name, {canonical('t')} AS f FROM (VALUES {notices}) v(name, t) GROUP BY 2),
 whole AS (SELECT min(name) AS name, {canonical('t')} AS f FROM (VALUES {notices}, {texts}) v(name, t) GROUP BY 2),
 doc AS (SELECT row_number() OVER () AS rid, doc_id, text, {canonical('text')} AS f FROM documents),

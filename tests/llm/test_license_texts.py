@@ -86,3 +86,21 @@ def test_notices_in_any_spacing_and_long_texts(spark):
     by = {r.doc_id: r for r in got}
     assert len(got) == 6 and by[1].notices.startswith("CC0") and by[2].notices == by[3].notices == "MIT"
     assert by[4].license == "MIT" and by[5].digest is None
+
+
+def test_forms_that_documents_hold(spark):
+    """Without a heading or under another one, with bullets, without the appendix; SPDX identifiers."""
+    mit, bsd, apache = licenses.TEXTS["MIT"], licenses.TEXTS["BSD-3-Clause"], licenses.TEXTS["Apache-2.0"]
+    whole = {
+        "MIT": [mit.replace("MIT License\n", "", 1), mit.replace("MIT License", "The MIT License (MIT)", 1)],
+        "BSD-3-Clause": [bsd.partition("\n")[2], bsd.replace("1.", "*").replace("2.", "*").replace("3.", "*"), bsd.partition("\n")[2].replace("1.", "-").replace("2.", "-").replace("3.", "-")],
+        "Apache-2.0": [apache[: apache.index("APPENDIX")], apache],
+        "ISC": [licenses.TEXTS["ISC"].partition("\n")[2]],
+    }
+    rows = [(name, x) for name, texts in whole.items() for x in texts]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert all(r.license == r.doc_id for r in got), [r.doc_id for r in got if r.license != r.doc_id]
+    for line, name in (("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"), ("// SPDX-License-Identifier: ISC", "ISC"), ("SPDX-License-Identifier: MIT", "MIT"), ("# spdx-license-identifier: Zlib", "Zlib")):
+        assert licenses.scan(spark.createDataFrame([(1, f"code\n{line}\nmore")], "doc_id long, text string")).first().notices == name
+    own = {"House": ["Ask the owner first."]}  # a caller's notices need none of the usual words
+    assert licenses.scan(spark.createDataFrame([(1, "x\nask the owner first\n")], "doc_id long, text string"), notices=own).first().notices == "House"
