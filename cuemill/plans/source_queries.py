@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..operators import recon as R
 from ..operators import tables as T
 from ..sources import files, schemas, sinks
+from ..sources.key_files import write_files
 from ..sources.shared import folder as _shared
 from . import views
 from .registry import query
@@ -488,3 +489,16 @@ def complete_without_media(spark, sf):
     side = o.where("o_orderkey % 3 = 1").select("id", F.concat(F.lit("side/"), "id").alias("url"))
     media = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"))
     return R.already_complete(o.drop("o_orderkey"), media, side).select(F.col("id").cast("long").alias("id"), "url")
+
+
+@query(
+    """SELECT lpad(doc_id::VARCHAR, 11, '0') AS ytid, coalesce(CASE WHEN n_chars % 5 <> 0 THEN lang END, 'en') AS lang, n_chars % 7 = 0 AS empty FROM documents"""
+)
+def caption_listing(spark, sf):
+    """Caption files in nested folders, some of them empty, listed by name."""
+    folder = _shared(spark)
+    d = table(spark, sf, "documents").select(views.ytid("doc_id").alias("ytid"), "lang", "source", "n_chars")
+    name = F.concat("ytid", F.lit("__x"), F.coalesce(F.when(F.col("n_chars") % 5 != 0, F.concat(F.lit(".transcript."), "lang")), F.lit("")), F.lit(".vtt"))
+    for (source,) in d.select("source").distinct().collect():  # a folder each, of which there are few
+        write_files(d.where(F.col("source").eqNullSafe(F.lit(source))), f"{folder}/{source}", name, ["ytid"], F.when(F.col("n_chars") % 7 != 0, "WEBVTT").otherwise(""))
+    return files.captions(spark, folder).select("ytid", "lang", (F.col("length") == 0).alias("empty"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import schemas
+from .folders import FolderListing
 from .shared import staged
 
 #: Names under which a column may appear, first come first served.
@@ -214,6 +215,21 @@ def listing(spark: SparkSession, path, extensions: tuple[str, ...] = ()) -> Data
     return df.where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(*extensions)) if extensions else df
 
 
+def folder_listing(spark: SparkSession, path: str, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """The files below a folder (path, name, length, modified), listed by tasks,
+    empty ones too, as marks are."""
+    spark.dataSource.register(FolderListing)
+    df = spark.read.format("folder_listing").option("path", path).load()
+    return df.where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(*extensions)) if extensions else df
+
+
+def captions(spark: SparkSession, path: str) -> DataFrame:
+    """The caption files below a folder: (ytid, lang, path, length), the language from
+    the name; those that hold nothing too."""
+    df = folder_listing(spark, path, ("vtt",))
+    return df.select(S.id_in_name("name").alias("ytid"), S.caption_language("name").alias("lang"), "path", "length")
+
+
 def manifest(spark: SparkSession, path) -> DataFrame:
     """Retry manifests; one bad row discards its file."""
     raw = _raw(spark, path).where(F.col("line") != "")

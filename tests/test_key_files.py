@@ -64,3 +64,19 @@ def test_word_chunks(spark, size, overlap):
                 break
             at, c = at + size - overlap, c + 1
     assert got == want
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    from cuemill.sources import folders
+
+    want = set()
+    for f in ("a/x.vtt", "a/b/c/d/y.transcript.de.vtt", "a/b/empty.vtt", "z.txt", "k/m.vtt", "k/n/o.mp4"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("" if "empty" in f else "text")
+        want.add((str(tmp_path / f), f.rsplit("/")[-1], 0 if "empty" in f else 4))
+    for enough in (1, 2, 100):
+        monkeypatch.setattr(folders, "ENOUGH", enough)
+        reader = folders.FolderReader(f"file://{tmp_path}")
+        assert sorted(r[:3] for p in reader.partitions() for r in reader.read(p)) == sorted(want)
+    assert {(r.path, r.name, r.length) for r in files.folder_listing(spark, str(tmp_path)).collect()} == want
+    assert {(r.lang, r.length) for r in files.captions(spark, str(tmp_path)).collect()} == {("en", 4), ("de", 4), ("en", 0)}
