@@ -73,3 +73,20 @@ def test_from_end(tmp_path):
         f.write(" line\nnext\n")
     to = reader.latestOffset()
     assert [r[2] for p in reader.partitions(start, to) for r in reader.read(p)] == ["half line", "next"]
+
+
+def test_debounce_in_order_forgets_idle_keys(spark, tmp_path):
+    """Rows in any order inside the delay; late ones are left out; idle keys have no state."""
+    from datetime import datetime, timezone
+
+    def bring(*rows):
+        own = [(k, o, a, datetime.fromtimestamp(a, timezone.utc)) for k, o, a in rows]
+        spark.createDataFrame(own, "k long, ord long, at long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("k long, ord long, at long, ts timestamp").parquet(f"{tmp_path}/in")
+        alerts.drain(alerts.debounced_in_order(stream, 10, "100 seconds"), f"{tmp_path}/out", f"{tmp_path}/check")
+        return sorted(map(tuple, spark.read.schema(alerts.KEPT).parquet(f"{tmp_path}/out").collect()))
+
+    assert bring((1, 1, 1050), (1, 2, 1000), (2, 1, 1003)) == []
+    assert bring((1, 3, 1004), (1, 4, 1041), (2, 2, 1012), (2, 3, 1013)) == []  # before what came first
+    assert bring((3, 1, 2000)) == [(1, 2, 1000), (1, 4, 1041), (2, 1, 1003), (2, 3, 1013)]
+    assert bring((1, 9, 1500), (3, 2, 2500)) == [(1, 2, 1000), (1, 4, 1041), (2, 1, 1003), (2, 3, 1013), (3, 1, 2000)]  # 1500 is late
