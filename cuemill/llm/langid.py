@@ -12,7 +12,7 @@ character.
 Every n-gram is kept.  What predicts a character depends on the n-grams with the
 same two characters before the last, and on shorter ones, so the models are cut by
 those two into *blocks* of about ``BLOCK`` n-grams; only one block at a time is
-gathered and broadcast, with the pairs of characters that it needs, and the bits of
+gathered and held by a task, with the pairs of characters that it needs, and the bits of
 a text are summed over the blocks, one pass over the texts for each.  What crosses
 blocks (discounts and the counts of one and two characters) is counted in Spark over
 all n-grams beforehand.
@@ -39,6 +39,7 @@ N = 4
 #: mean more passes.  The n-grams behind two characters, at most the square of the
 #: alphabet, are never parted.
 BLOCK = 2_000_000
+TOGETHER = 8  #: blocks that are broadcast for one job
 #: labelled rows that calibration scores, a sample by hash.
 CALIBRATION = 4_000
 SLICE_BYTES = 2 << 20
@@ -202,7 +203,7 @@ class Models:
 
     def summed(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` without ``text`` but with ``__n`` characters and their ``__bits`` in each
-        language.  One block is in memory at a time; a pass over the texts leaves
+        language.  A task holds one block; a pass over the texts leaves
         what it finds by their digests, so texts are read once a block and never
         written."""
         spark = df.sparkSession
@@ -216,11 +217,14 @@ class Models:
             return df.select(*kept, text).mapInArrow(share(0), kinds + "`__n` long, `__bits` array<double>")
         digest = F.sha2(F.col(text).cast("binary"), 256)
         texts, found = df.where(F.col(text).isNotNull()).select(digest.alias("__of"), text), None
-        for k in range(blocks):
+        for first in range(0, blocks, TOGETHER):
+            some = None
+            for k in range(first, min(blocks, first + TOGETHER)):  # a task reads one block, a worker lets the last one go
+                more = texts.mapInArrow(share(k), "`__of` string, `__n` long, `__bits` array<double>").withColumn("__k", F.lit(k))
+                some = more if some is None else some.unionByName(more)
             # copies of a text have the same sums
-            more = texts.mapInArrow(share(k), "`__of` string, `__n` long, `__bits` array<double>").groupBy("__of").agg(F.first("__n").alias("__n"), F.first("__bits").alias("__bits"))
-            more = staged(more.withColumn("__k", F.lit(k)), "bits")
-            found = more if found is None else found.unionByName(more)
+            some = staged(some.groupBy("__of", "__k").agg(F.first("__n").alias("__n"), F.first("__bits").alias("__bits")), "bits")
+            found = some if found is None else found.unionByName(some)
         zero = F.transform(F.sequence(F.lit(1), F.lit(len(self.names))), lambda _: F.lit(0.0))
         parts = F.array_sort(F.collect_list(F.struct("__k", "__bits")))  # one a block
         sums = found.groupBy("__of").agg(F.max("__n").alias("__n"), F.aggregate(parts, zero, lambda a, x: F.zip_with(a, x["__bits"], lambda y, z: y + z)).alias("__bits"))
