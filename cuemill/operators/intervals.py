@@ -226,7 +226,7 @@ def _groups(ordered: DataFrame) -> DataFrame:
         r.p: r
         for r in ordered.groupBy("p").agg(
             F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.when(F.col("key").isNull(), 1)).alias("bare"), F.count("*").alias("n"),
-            F.min_by("key", "n").alias("key"), F.count(F.when(F.col("start").isNull() | F.col("hit_start").isNull() | F.col("hit_end").isNull(), 1)).alias("odd"),
+            F.min_by("key", "n").alias("key"), F.max_by("key", "n").alias("last"), F.count(F.when(F.col("start").isNull() | F.col("hit_start").isNull() | F.col("hit_end").isNull(), 1)).alias("odd"),
             F.max("start").alias("start"), F.max("end").alias("end"), F.min("hit_start").alias("hs"), F.max("hit_start").alias("hs_max"), F.min("hit_end").alias("he_min"), F.max("hit_end").alias("he"),
         ).collect()
     }
@@ -241,7 +241,11 @@ def _groups(ordered: DataFrame) -> DataFrame:
 
     order = sorted(facts)
     used: dict = {p: None for p in order}
-    known = ends(folded({}, ordered, False).collect())
+    # what is open at the end of a range concerns the next one if its last key goes on there, and only rows of that key tell it
+    goes_on = [(p, facts[p].last) for p, q in zip(order, order[1:]) if facts[p].last == facts[q].key]
+    lasts = F.broadcast(spark.createDataFrame(goes_on, f"lp long, lk {kinds[0]}"))  # a row a range at most
+    tails = ordered.join(lasts, (F.col("p") == F.col("lp")) & F.col("key").eqNullSafe(F.col("lk"))).select(*ordered.columns)
+    known = ends(folded({}, tails, False).collect()) if goes_on else {}
     while True:
         true: dict = {}
         wanted: list = []
@@ -256,7 +260,7 @@ def _groups(ordered: DataFrame) -> DataFrame:
                 continue
             if begin != used[p] and same_key:  # the end of a range of several keys does not depend on its begin
                 wanted.append(p)
-            now = known[p]
+            now = known.get(p)
         if not wanted:
             break
         known.update(ends(folded({p: true[p] for p in wanted if true[p] is not None}, ordered.where(F.col("p").isin(wanted)), False).collect()))
