@@ -51,9 +51,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE, -1), "")
 
 
-def repeated_words(words: Column, width: int = SHINGLE) -> Column:
-    """Words inside windows of ``width`` words found twice or more.  Windows are
-    compared by 64-bit hashes inside one text."""
+def window_hashes(words: Column, width: int = SHINGLE) -> Column:
+    """64-bit hashes of all windows of ``width`` words, from the words and their
+    shifted copies side by side; none of a text of ``width`` words or fewer."""
+    n = F.size(words) - width + 1
+    windows = F.arrays_zip(*[F.slice(words, k + 1, n) for k in range(width)])
+    return F.when(F.size(words) > width, F.transform(windows, lambda x: F.xxhash64(x))).otherwise(F.expr("array()").cast("array<bigint>"))
+
+
+def repeated_words(h: Column, width: int = SHINGLE) -> Column:
+    """Words inside windows of ``width`` words found twice or more, by the windows'
+    hashes, which are compared inside one text."""
 
     def covered(starts):
         step = F.transform(starts, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(starts, i + 1) - x, F.lit(width))))
@@ -63,16 +71,14 @@ def repeated_words(words: Column, width: int = SHINGLE) -> Column:
         same = lambda x, i: F.get(sorted_, i - 1)["h"].eqNullSafe(x["h"]) | F.get(sorted_, i + 1)["h"].eqNullSafe(x["h"])
         return let(F.sort_array(F.transform(F.filter(sorted_, same), lambda x: x["i"])), covered)
 
-    def judged(h):
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(pairs, twice)).otherwise(0)
+    pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(h)) < F.size(h), let(pairs, twice)).otherwise(0)
 
-    def count(w):
-        starts = F.sequence(F.lit(0), F.size(w) - width)
-        hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
-        return F.when(F.size(w) > width, let(hashes, judged)).otherwise(0)
 
-    return let(words, count)
+def common_of(text: Column, words: Column) -> Column:
+    """The words of ``text`` that are among ``words``, bare, in one search of the whole text."""
+    pattern = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join(words, "|"), F.lit(r")(?=[.,;:!?]*+(?:[\x20\x09-\x0D]|\z))"))
+    return F.when(words.isNotNull(), F.regexp_extract_all(F.lower(text), pattern, F.lit(0))).otherwise(F.expr("array()").cast("array<string>"))
 
 
 def bare(word: Column) -> Column:
@@ -95,21 +101,26 @@ def measured(docs: DataFrame, tops: DataFrame, text: str = "text", lang: str = "
     df = nested(docs)
     df = df.join(tops, F.col("d")[lang] == F.col("__top"), "left")
     df = df.withColumn("t0", F.coalesce(F.col("d")[text], F.lit("")))
-    for k, (_, pattern) in enumerate(CLASSES[:-1]):
+    df = df.withColumn("w", words_of(F.col("t0")))
+    df = df.withColumn("h", window_hashes(F.col("w"))).withColumn("word_chars", F.length(F.array_join("w", "")))
+    # letters and spaces go at once, as long runs; the spaces are what the words lack
+    df = df.withColumn("t2", F.regexp_replace("t0", r"[a-z\x20\x09-\x0D]+", ""))
+    for k, (_, pattern) in enumerate(CLASSES[2:-1], 2):
         df = df.withColumn(f"t{k + 1}", F.regexp_replace(f"t{k}", pattern, ""))
-    sizes = [F.length(f"t{k}") for k in range(len(CLASSES))]
-    classes = F.array(*[(a - b).cast("double") for a, b in zip(sizes, sizes[1:])], sizes[-1].cast("double"))
-    rest = F.length("t1") - F.length(F.regexp_replace("t1", r"[#*$%&|<>]+", ""))
+    space = F.length("t0") - F.col("word_chars")
+    sizes = [F.length(f"t{k}") for k in range(2, len(CLASSES))]
+    sizes = [F.length("t0") - sizes[0] - space, space, *[a - b for a, b in zip(sizes, sizes[1:])], sizes[-1]]
+    classes = F.array(*[n.cast("double") for n in sizes])
+    rest = F.length("t2") - F.length(F.regexp_replace("t2", r"[#*$%&|<>]+", ""))
     lines = F.filter(F.split("t0", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("w", words_of(F.col("t0")))
-    common = F.when(F.col("words").isNotNull(), F.filter(F.transform("w", bare), lambda w: F.array_contains("words", w))).otherwise(F.expr("array()").cast("array<string>"))
+    common = common_of(F.col("t0"), F.col("words"))
     counted = let(common, lambda c: F.transform(F.array_distinct(c), lambda w: F.struct(w.alias("w"), (F.size(c) - F.size(F.array_remove(c, w))).alias("n"))))
     q = F.struct(
         F.size("w").cast("long").alias("n_words"),
-        (F.length("t0") - (F.length("t1") - F.length("t2"))).cast("long").alias("word_chars"),
+        F.col("word_chars").cast("long").alias("word_chars"),
         rest.cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("w")).cast("long").alias("n_repeat_words"),
+        repeated_words(F.col("h")).cast("long").alias("n_repeat_words"),
         classes.alias("classes"),
         counted.alias("common"),
         F.col("d")[lang].alias("lang"),

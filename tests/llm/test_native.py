@@ -73,6 +73,18 @@ def test_quality_keeps_clean_and_drops_symbol_noise(spark, sf):
     assert sum(bad) <= 0.25 * len(bad)
 
 
+def test_quality_counts_whole_texts(docs):
+    """Common words and windows from one search of the text, against its words one by one."""
+    top = ["the", "it's", "a", "été"]
+    odd = docs.select("text").union(docs.sparkSession.createDataFrame([("The, the. (the the) THE!? the\x85 It's ÉTÉ.,; été! a\n... ,a a.b a",), ("a a a a a",)], "text string"))
+    got = odd.select("text", quality.common_of(F.coalesce("text", F.lit("")), F.array(*map(F.lit, top))).alias("c"), quality.window_hashes(quality.words_of(F.coalesce("text", F.lit("")))).alias("h")).collect()
+    for t, c, h in got:
+        w = words(t)
+        assert c == [x for x in (y.rstrip(".,;:!?").lower() for y in w) if x in top]
+        windows = [tuple(w[j : j + 5]) for j in range(len(w) - 4)] if len(w) > 5 else []
+        assert len(h) == len(windows) and len(set(h)) == len(set(windows))
+
+
 def test_quality_empty(docs):
     assert quality.report(docs.limit(0)).collect() == []
     assert quality.keep_good(docs).columns == docs.columns
