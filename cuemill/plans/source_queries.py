@@ -11,8 +11,9 @@ from ..functions import scalars as S
 from ..operators import recon as R
 from ..operators import tables as T
 from ..sources import files, schemas, sinks
-from ..sources.key_files import write_files
+from ..sources.key_files import write_dealt, write_files
 from ..sources.shared import folder as _shared
+from ..sources.shared import staged
 from . import views
 from .registry import query
 from .views import CUES, WORDS, table
@@ -27,12 +28,37 @@ def _written(spark, df: DataFrame, key: str, order: list[str], line, head: str =
     return folder
 
 
+def _table_written(spark, df: DataFrame, key: str, order: list[str], lines, head: str, part: int) -> str:
+    """A table of text for each ``key``, as large jobs write them: compressed parts that
+    follow each other by name, each with ``head``.  Rows are dealt by ranges of the first
+    column of ``order``, about ``part`` of them each; ``lines`` makes the lines of rows
+    (name, ...) in their order where they are written.  No task holds a key's lines."""
+    folder, at = _shared(spark), F.col(order[0])
+    by_key = df.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("n"), F.percentile_approx(at, [i / 256 for i in range(1, 256)], 10000).alias("q"))
+    cuts = staged(by_key.select("__k", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % F.ceil(F.lit(256 * part) / F.col("n")) == 0)).alias("cuts")), "cuts")
+    name = F.format_string("%s.part-%06d.tsv.gz", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.size(F.filter("cuts", lambda c: c < at)))
+    rows = df.join(F.broadcast(cuts), F.col(key).eqNullSafe(F.col("__k"))).select(name.alias("name"), *df.columns)
+    write_dealt(lines(rows.repartition("name").sortWithinPartitions("name", *order)).select("name", "line"), folder, head)
+    return folder
+
+
+def _word_documents(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "source", "text")
+
+
+def _word_lines(line, keep="true"):
+    """The lines of documents' words in order; ``line`` makes one of the words view's columns."""
+    return lambda rows: views.words_of(rows, "name").where(keep).select("name", line.alias("line"))
+
+
 def _tabs(*columns):
     return F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
 
 
 # --- word tables ------------------------------------------------------------
 
+DOCUMENTS = 1000  #: whose words are about one part of a table
+
 
 @query(
     f"""WITH {WORDS}, kept AS (SELECT source, doc_id, idx, word, start_ms, end_ms, seg, retried, row_number() OVER (PARTITION BY source ORDER BY doc_id, idx) AS n FROM words WHERE idx % 50 <> 7)
@@ -65,11 +91,10 @@ def words_file_by_alias(spark, sf):
 @query(f"WITH {WORDS} SELECT word, CASE WHEN idx % 25 = 6 THEN 0 ELSE start_ms END AS start_ms, seg, retried, count(*) AS n FROM words WHERE idx % 10 <> 9 GROUP BY ALL")
 def words_file_strict(spark, sf):
     """Rows shorter than the header go; unreadable numbers are 0."""
-    w = views.words(spark, sf)
     start = F.when(F.col("idx") % 25 == 6, "x").otherwise((F.col("start_ms") / 1000).cast("string"))
     full = _tabs(start, F.col("end_ms") / 1000, F.col("word"), F.col("seg"), F.col("confidence"), F.col("retried").cast("int"))
     line = F.when(F.col("idx") % 10 == 9, _tabs(start, F.col("word"))).otherwise(full)
-    got = files.words_strict(spark, _written(spark, w, "source", ["doc_id", "idx"], line, "start\tend\tword\tseg\tconfidence\tretried\n"))
+    got = files.words_strict(spark, _table_written(spark, _word_documents(spark, sf), "source", ["doc_id"], _word_lines(line), "start\tend\tword\tseg\tconfidence\tretried\n", DOCUMENTS))
     return got.groupBy("word", F.round(F.col("start") * 1000).cast("long").alias("start_ms"), F.col("seg").cast("long").alias("seg"), "retried").agg(F.count("*").alias("n"))
 
 

@@ -57,9 +57,14 @@ def token_array(text: str = "text") -> F.Column:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of the cues, spread evenly; ``idx`` from 1.  Lines are laid out
     inside the row, so no shuffle is needed to number them."""
-    w = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(token_array()).alias("pos", "w"))
+    return words_of(table(spark, sf_dir, "documents"))
+
+
+def words_of(documents: DataFrame, *keep: str) -> DataFrame:
+    """The words of documents (doc_id, source, text, ``keep``), in their order."""
+    w = documents.select(*keep, "doc_id", "source", F.posexplode(token_array()).alias("pos", "w"))
     return w.select(
-        ytid("doc_id").alias("ytid"), "doc_id", "source", (F.col("pos") + 1).cast("long").alias("idx"), "w.word", "w.seg", "w.start_ms", "w.end_ms",
+        *keep, ytid("doc_id").alias("ytid"), "doc_id", "source", (F.col("pos") + 1).cast("long").alias("idx"), "w.word", "w.seg", "w.start_ms", "w.end_ms",
         (-((F.col("doc_id") * 31 + F.col("w.seg") * 7) % 200) / F.lit(100.0)).alias("confidence"),
         ((F.col("doc_id") + F.col("w.seg")) % 10 == 0).alias("retried"),
     )

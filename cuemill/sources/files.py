@@ -28,7 +28,11 @@ MEDIA = ("mp4", "mkv", "webm", "mov", "m4a", "mp3", "opus", "wav", "flac", "ogg"
 
 def file_name() -> Column:
     """The bare file name; percent escapes of the listing are undone."""
-    return F.url_decode(F.replace(F.element_at(F.split(F.input_file_name(), "/"), -1), F.lit("+"), F.lit("%2B")))
+    return _name(F.input_file_name())
+
+
+def _name(path: Column) -> Column:
+    return F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -50,64 +54,86 @@ def bulk(spark: SparkSession, path, schema: str, quote: str = "") -> DataFrame:
     return spark.read.options(sep="\t", header=True, quote=quote, nullValue="", mode="FAILFAST", dateFormat="yyyy-MM-dd").schema(schema).csv(path)
 
 
-def _raw(spark: SparkSession, path) -> DataFrame:
-    """The lines of tables (path, file, block, m, pos, header, line) with their position
-    in the file, from 1 behind the header.
+#: Splits up to which what is known of them is handed to all tasks.
+FEW = 50_000
+
+
+def _with_splits(rows: DataFrame, splits: DataFrame, few: bool) -> DataFrame:
+    own = splits.withColumnsRenamed({"path": "__p", "block": "__b"})
+    return rows.join(F.broadcast(own) if few else own, (F.col("path") == F.col("__p")) & (F.col("block") == F.col("__b"))).drop("__p", "__b")
 
-    A file is read in splits by many tasks.  Lines are staged with their split (its
-    first byte) and a number ``m`` that counts on inside it, so a position is the
-    place in the split and the lines of the file's splits before, one small row
-    each; the header is the first line of the first one."""
-    read = spark.read.text(path).select("value", file_name().alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
-    rows = staged(read.withColumn("m", F.monotonically_increasing_id()), "lines")
-    splits = rows.groupBy("path", "block").agg(F.min("m").alias("first"), F.count("*").alias("n"), F.min_by("value", "m").alias("header"))
-    before = _before("n")
+
+def _raw(spark: SparkSession, path, **known: Column) -> tuple[DataFrame, bool]:
+    """The lines of tables (table, file, path, block, m, pos, line, ``known``) with their
+    position in the table, from 1 behind the header; and whether they come as they are
+    read, with all lines of a split in one task and in order.
+
+    A table is a file or all files ``NAME.part-NUMBER.EXTENSION`` of a name: parts follow
+    each other by number and each begins with the header.  Files are read in
+    splits by many tasks.  Lines have a number ``m`` that counts on inside a split, so a
+    position is the place in the split and the lines of the table's splits before, one
+    small row each.  These are read first, and the lines, which need not be written
+    anywhere, again.  What ``known`` makes of the ``header`` is made once a split."""
+    at = F.col("_metadata.file_path")
+    rows = spark.read.text(path).select("value", at.alias("path"), F.col("_metadata.file_block_start").alias("block")).withColumn("m", F.monotonically_increasing_id())
+    # beside a list, even one of nothing, the first line is kept in a hash table: it needs no sort of all lines
+    first = F.coalesce(F.min_by("value", "m"), F.get(F.collect_list(F.lit(None).cast("string")), 0)).alias("header")
+    table = F.regexp_replace(F.regexp_replace("path", r"\.gz$", ""), r"\.part-[0-9]+(\.[^/]*)$", "$1")
+    own = rows.groupBy("path", "block").agg(F.min("m").alias("first"), F.count("*").alias("n"), first).withColumn("table", table).withColumn("head", (F.col("block") == 0).cast("long"))
     header = F.first("header").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-    splits = splits.select(F.col("path").alias("p"), F.col("block").alias("b"), (before - F.col("first")).alias("shift"), header.alias("header"))
-    out = rows.join(splits, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b"))).withColumn("pos", F.col("m") + F.col("shift"))
-    return out.where("pos > 0").select("path", "file", "block", "m", "pos", "header", F.col("value").alias("line"))
+    own = own.withColumns({"header": header, "shift": _before("n - head") - F.col("first") - F.col("head") + 1})
+    splits = staged(own.select("path", "block", "first", "head", "shift", "table", _name(F.col("table")).alias("file"), *[c.alias(k) for k, c in known.items()]), "splits")
+    few = splits.count() <= FEW
+    out = _with_splits(rows, splits, few).where("head = 0 or m > first").withColumn("pos", F.col("m") + F.col("shift"))
+    return out.select("table", "file", "path", "block", "m", "pos", F.col("value").alias("line"), *known), few
 
 
 def _before(count: str) -> Column:
-    """The sum of a count over a file's splits before."""
-    return F.coalesce(F.sum(count).over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    """The sum of a count over a table's splits before."""
+    return F.coalesce(F.sum(F.expr(count)).over(Window.partitionBy("table").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _counted(rows: DataFrame, idx: str, as_read: bool) -> DataFrame:
+    """``rows`` (table, path, block, m, ...) numbered from 1 in each table: in their split
+    and by the rows of the splits before.  Rows ``as_read`` need no sort for that."""
+    place = F.monotonically_increasing_id() if as_read else F.row_number().over(Window.partitionBy("path", "block").orderBy("m"))
+    rows = rows.withColumn("m", place)
+    splits = rows.groupBy("table", "path", "block").agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    splits = staged(splits.select("path", "block", "first", _before("n").alias("before")), "counts")
+    return _with_splits(rows, splits, as_read).withColumn(idx, F.col("m") - F.col("first") + F.col("before") + 1)
 
 
-def _counted(rows: DataFrame, idx: str) -> DataFrame:
-    """``rows`` (path, block, m, ...) numbered from 1 in each file: in their split,
-    which is no larger than a task reads, and by the rows of the splits before."""
-    own = F.row_number().over(Window.partitionBy("path", "block").orderBy("m"))
-    splits = rows.groupBy("path", "block").agg(F.count("*").alias("n")).select(F.col("path").alias("p"), F.col("block").alias("b"), _before("n").alias("before"))
-    return rows.withColumn("own", own).join(splits, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b"))).withColumn(idx, F.col("own") + F.col("before")).drop("own", "p", "b", "before")
+def _at(names: tuple[str, ...], header: Column) -> Column:
+    """The place of the first named column that the header has, from 1; NULL if none."""
+    return F.coalesce(*[F.nullif(F.array_position(header, F.lit(n)), F.lit(0)) for n in names]).cast("int")
 
 
-def _field(names: tuple[str, ...], header: Column, parts: Column) -> Column:
-    """The first named column that the header has; NULL if none or too short."""
-    at = F.coalesce(*[F.nullif(F.array_position(header, F.lit(n)), F.lit(0)) for n in names])
-    return F.when(at.isNotNull(), F.try_element_at(parts, at.cast("int")))
+def _field(place: str, parts: Column) -> Column:
+    """The field at a place; NULL if there is none."""
+    return F.get(parts, F.col(place) - 1)
 
 
 def words_by_header(spark: SparkSession, path) -> DataFrame:
     """Columns by lower-cased name; missing ones default.  Rows with unreadable
     times go, empty times are 0; ``idx`` counts the kept rows from 1."""
-    raw = _raw(spark, path).where(F.col("line") != "")
     h, p = F.split(F.lower("header"), "\t"), F.split("line", "\t")
-    one = lambda name: _field((name,), h, p)
+    raw, as_read = _raw(spark, path, **{f"at_{n}": _at((n,), h) for n in ("word", "start", "end", "confidence", "seg", "retried")})
+    one = lambda name: _field(f"at_{name}", p)
     time = lambda name: F.coalesce(F.nullif(one(name), F.lit("")), F.lit("0"))
-    df = raw.select(
-        "path", "file", "block", "m", F.coalesce(one("word"), F.lit("")).alias("word"), time("start").try_cast("double").alias("start"), time("end").try_cast("double").alias("end"),
+    df = raw.where(F.col("line") != "").select(
+        "table", "path", "file", "block", "m", F.coalesce(one("word"), F.lit("")).alias("word"), time("start").try_cast("double").alias("start"), time("end").try_cast("double").alias("end"),
         F.coalesce(one("confidence").try_cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce(one("seg").try_cast("int"), F.lit(0)).alias("seg"), F.coalesce(one("retried"), F.lit("0")).isin("1").alias("retried"),
     ).where("start is not null and end is not null")
-    return _counted(df, "idx").select(S.id_in_name("file").alias("ytid"), S.media_kind("file").alias("source"), "idx", "word", "start", "end", "confidence", "seg", "retried", "file")
+    return _counted(df, "idx", as_read).select(S.id_in_name("file").alias("ytid"), S.media_kind("file").alias("source"), "idx", "word", "start", "end", "confidence", "seg", "retried", "file")
 
 
 def words_by_alias(spark: SparkSession, path) -> DataFrame:
     """Columns by any of their aliases, tab or comma, no quoting.  Blank words and
     unreadable starts go; a missing end is NULL."""
-    raw = _raw(spark, path)
     mark = F.when(F.length(F.regexp_replace("header", "[^\t]", "")) >= F.length(F.regexp_replace("header", "[^,]", "")), "\t").otherwise(",")
-    h, p = F.split(F.lower("header"), mark), F.split(F.col("line"), mark)
-    get = lambda k: _field(ALIASES[k], h, p)
+    h, p = F.split(F.lower("header"), mark), F.split(F.col("line"), F.col("mark"))
+    raw, _ = _raw(spark, path, mark=mark, **{f"at_{k}": _at(names, h) for k, names in ALIASES.items()})
+    get = lambda k: _field(f"at_{k}", p)
     df = raw.select("file", "pos", F.trim(get("word")).alias("word"), get("start").try_cast("double").alias("start"), get("end").try_cast("double").alias("end"), get("id").alias("id"), get("url").alias("url"))
     df = df.where("word <> '' and start is not null")
     vid = F.coalesce(F.nullif("id", F.lit("")), S.video_id("url"), S.id_at_start("file"))
@@ -116,11 +142,11 @@ def words_by_alias(spark: SparkSession, path) -> DataFrame:
 
 def words_strict(spark: SparkSession, path) -> DataFrame:
     """Rows with at least as many fields as the header; numbers default to 0."""
-    raw = _raw(spark, path)
     h, p = F.split(F.lower("header"), "\t"), F.split("line", "\t")
-    raw = raw.where(F.size(p) >= F.size(h))
-    number = lambda n, t: F.coalesce(_field((n,), h, p).try_cast(t), F.lit(0).cast(t))
-    return raw.select("file", F.col("pos").alias("idx"), _field(("word",), h, p).alias("word"), number("start", "double").alias("start"), number("end", "double").alias("end"), number("seg", "int").alias("seg"), number("confidence", "double").alias("confidence"), (number("retried", "int") == 1).alias("retried"))
+    raw, _ = _raw(spark, path, width=F.size(h), **{f"at_{n}": _at((n,), h) for n in ("word", "start", "end", "seg", "confidence", "retried")})
+    raw = raw.where(F.size(p) >= F.col("width"))
+    number = lambda n, t: F.coalesce(_field(f"at_{n}", p).try_cast(t), F.lit(0).cast(t))
+    return raw.select("file", F.col("pos").alias("idx"), _field("at_word", p).alias("word"), number("start", "double").alias("start"), number("end", "double").alias("end"), number("seg", "int").alias("seg"), number("confidence", "double").alias("confidence"), (number("retried", "int") == 1).alias("retried"))
 
 
 def cues_of(docs: DataFrame, text: str = "value", keep: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -193,7 +219,7 @@ def entries_of(docs: DataFrame, text: str = "value") -> DataFrame:
 
 def clip_list(spark: SparkSession, path) -> DataFrame:
     """A clip list as it stands; rows of fewer than three fields go."""
-    raw = _raw(spark, path)
+    raw, _ = _raw(spark, path)
     p = F.split("line", "\t")
     return raw.where(F.size(p) >= 3).select("pos", "line", F.get(p, 0).alias("url"), F.get(p, 1).alias("start_text"), F.get(p, 2).alias("end_text"), F.get(p, 1).try_cast("decimal(12,3)").alias("start"), F.get(p, 2).try_cast("decimal(12,3)").alias("end"))
 
@@ -232,11 +258,11 @@ def captions(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path) -> DataFrame:
     """Retry manifests; one bad row discards its file."""
-    raw = _raw(spark, path).where(F.col("line") != "")
+    raw = _raw(spark, path)[0].where(F.col("line") != "")
     p = F.split("line", "\t")
     row = F.struct(F.get(p, 0).alias("media_file"), F.get(p, 1).try_cast("int").alias("segment_idx"), F.get(p, 2).try_cast("double").alias("start_time"), F.get(p, 3).try_cast("double").alias("end_time"), F.get(p, 4).try_cast("double").alias("confidence"), F.coalesce(F.get(p, 5), F.lit("")).alias("text"))
     df = raw.withColumn("r", row).withColumn("ok", F.col("r.segment_idx").isNotNull() & F.col("r.start_time").isNotNull() & F.col("r.end_time").isNotNull() & F.col("r.confidence").isNotNull())
-    return df.withColumn("all_ok", F.min("ok").over(Window.partitionBy("path"))).where("all_ok").select("file", "r.*")
+    return df.withColumn("all_ok", F.min("ok").over(Window.partitionBy("table"))).where("all_ok").select("file", "r.*")
 
 
 def unprocessed(manifests: DataFrame, processed: DataFrame, first: int | None = None) -> DataFrame:

@@ -8,9 +8,12 @@ is seen.
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,18 +52,20 @@ class KeyFilesWriter(DataSourceArrowWriter):
         store.create_dir(folder)
         try:
             for batch in iterator:
-                for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for name, lines in _runs(batch):
                     if not names or name != names[-1]:
                         if names and name <= names[-1] or "/" in name:
                             raise ValueError(f"{name!r} is out of order or no file name")
                         if out:
                             out.close()
-                        out = store.open_output_stream(f"{folder}/{name}")
+                        out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                        if name.endswith(".gz"):
+                            out = Packed(out)
                         out.write(self.head)
                         names.append(name)
                     else:
                         out.write(self.mark)
-                    out.write((line or "").encode())
+                    out.write(pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), self.mark)[0].as_buffer())
         finally:
             if out:
                 out.close()
@@ -82,11 +87,39 @@ class KeyFilesWriter(DataSourceArrowWriter):
             store.delete_dir(f"{base}/{self.job}")
 
 
+class Packed(gzip.GzipFile):
+    """A compressed file, closed with the stream that it writes into."""
+
+    def __init__(self, to):
+        super().__init__(fileobj=to, mode="wb", compresslevel=1, mtime=0)
+        self.to = to
+
+    def close(self):
+        super().close()
+        self.to.close()
+
+
+def _runs(batch):
+    """(name, its lines as an array of bytes) of rows that follow each other."""
+    runs = pc.run_end_encode(batch.column(0))
+    lines = pc.fill_null(batch.column(1), "").cast(pa.binary())
+    at = 0
+    for end, name in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+        yield name, lines.slice(at, end - at)
+        at = end
+
+
 def write_files(rows: DataFrame, path: str, name: Column, order: list, line: Column, head: str = "", mark: str = "\n") -> None:
     """One file per ``name`` in the folder ``path``, its lines in ``order``: no key is
     gathered, a file costs its own task.  Rows without a name are left out; files of
     the same name are replaced."""
-    rows.sparkSession.dataSource.register(KeyFiles)
     places = [f"o{k}" for k in range(len(order))]
     own = rows.select(name.cast("string").alias("name"), *[F.col(o).alias(p) if isinstance(o, str) else o.alias(p) for o, p in zip(order, places)], line.alias("line")).where("name is not null")
-    own.repartition("name").sortWithinPartitions("name", *places).select("name", "line").write.format("key_files").options(path=path, head=head, mark=mark).mode("append").save()
+    write_dealt(own.repartition("name").sortWithinPartitions("name", *places).select("name", "line"), path, head, mark)
+
+
+def write_dealt(rows: DataFrame, path: str, head: str = "", mark: str = "\n") -> None:
+    """The same for rows (name, line) that are dealt out already: all of a name lie in
+    one task, names in order.  Files are compressed if their names end in ``.gz``."""
+    rows.sparkSession.dataSource.register(KeyFiles)
+    rows.write.format("key_files").options(path=path, head=head, mark=mark).mode("append").save()
