@@ -66,10 +66,9 @@ SELECT doc_id, n AS idx, word, CASE WHEN idx % 40 = 3 THEN 0 ELSE start_ms END A
 )
 def words_file_by_header(spark, sf):
     """Unreadable starts go, empty ones are 0, and the kept rows are counted."""
-    w = views.words(spark, sf)
     start = F.when(F.col("idx") % 50 == 7, "bad").when(F.col("idx") % 40 == 3, "").otherwise((F.col("start_ms") / 1000).cast("string"))
     line = _tabs(start, F.col("end_ms") / 1000, F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("word")), F.col("seg"), F.lit("-0.5"), F.col("retried").cast("int"))
-    got = files.words_by_header(spark, _written(spark, w, "source", ["doc_id", "idx"], line, "Start\tend\tword\tseg\tconfidence\tretried\n"))
+    got = files.words_by_header(spark, _table_written(spark, _word_documents(spark, sf), "source", ["doc_id"], _word_lines(line), "Start\tend\tword\tseg\tconfidence\tretried\n", DOCUMENTS))
     own = F.split("word", ":", 2)
     ms = lambda c: F.round(F.col(c) * 1000).cast("long").alias(f"{c}_ms")
     return got.select(own[0].cast("long").alias("doc_id"), F.col("idx").cast("long").alias("idx"), own[1].alias("word"), ms("start"), ms("end"), F.col("seg").cast("long").alias("seg"), "retried")
