@@ -77,12 +77,11 @@ def words_file_by_header(spark, sf):
 @query(f"WITH {WORDS} SELECT ytid, 'https://www.youtube.com/watch?v=' || ytid AS url, word, start_ms, CASE WHEN idx % 3 <> 0 THEN end_ms END AS end_ms FROM words WHERE idx % 20 <> 4 AND idx % 30 <> 5 AND NOT contains(word, ',')")
 def words_file_by_alias(spark, sf):
     """Other column names and commas for tabs; blank words and unreadable starts go."""
-    w = views.words(spark, sf).where(~F.contains("word", F.lit(",")))
     word = F.when(F.col("idx") % 20 == 4, " ").otherwise(F.col("word"))
     start = F.when(F.col("idx") % 30 == 5, "x").otherwise((F.col("start_ms") / 1000).cast("string"))
     end = F.when(F.col("idx") % 3 == 0, "").otherwise((F.col("end_ms") / 1000).cast("string"))
-    line = F.concat_ws(",", word, start, end, "ytid")
-    got = files.words_by_alias(spark, _written(spark, w, "source", ["doc_id", "idx"], line, "token,time,stop,video_id\n"))
+    lines = _word_lines(F.concat_ws(",", word, start, end, "ytid"), "NOT contains(word, ',')")
+    got = files.words_by_alias(spark, _table_written(spark, _word_documents(spark, sf), "source", ["doc_id"], lines, "token,time,stop,video_id\n", DOCUMENTS))
     ms = lambda c: F.round(F.col(c) * 1000).cast("long").alias(f"{c}_ms")
     return got.select("ytid", "url", "word", ms("start"), ms("end"))
 
