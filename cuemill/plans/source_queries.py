@@ -99,10 +99,9 @@ def words_file_strict(spark, sf):
 @query(f"WITH {WORDS} SELECT ytid, source, idx, CASE WHEN word <> '' THEN word END AS word, start_ms, end_ms, CASE WHEN idx % 7 <> 0 THEN seg END AS segment_id FROM words")
 def words_file_bulk(spark, sf):
     """A typed staging load; an empty field is NULL, quotes are kept as they are."""
-    w = views.words(spark, sf)
     line = _tabs(F.col("ytid"), F.col("source"), F.col("idx"), F.col("word"), (F.col("start_ms") / 1000).cast("decimal(10,3)"), (F.col("end_ms") / 1000).cast("decimal(10,3)"), F.lit("-0.5"), F.when(F.col("idx") % 7 != 0, F.col("seg")))
-    folder = _written(spark, w, "source", ["doc_id", "idx"], line, "ytid\tsource\tidx\tword\tstart_sec\tend_sec\tconfidence\tsegment_id\n")
-    got = files.bulk(spark, f"{folder}/*", schemas.WORDS)
+    folder = _table_written(spark, _word_documents(spark, sf), "source", ["doc_id"], _word_lines(line), "ytid\tsource\tidx\tword\tstart_sec\tend_sec\tconfidence\tsegment_id\n", DOCUMENTS)
+    got = files.bulk(spark, folder, schemas.WORDS)
     ms = lambda c: (F.col(f"{c}_sec") * 1000).cast("long").alias(f"{c}_ms")
     return got.select("ytid", "source", F.col("idx").cast("long").alias("idx"), "word", ms("start"), ms("end"), F.col("segment_id").cast("long").alias("segment_id"))
 
