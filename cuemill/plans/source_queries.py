@@ -204,7 +204,8 @@ def clip_list_file(spark, sf):
     k = F.col("l_linenumber")
     url = F.concat_ws("/", F.col("l_orderkey").cast("string"), k.cast("string"))
     line = F.when(k % 6 == 5, _tabs(url, F.col("l_extendedprice"))).otherwise(_tabs(url, F.col("l_extendedprice"), F.when(k % 4 == 0, "?").otherwise(F.col("l_quantity").cast("string")), F.lit("label")))
-    got = files.clip_list(spark, _written(spark, i, "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], line, "url\tstart\tend\tlabel\n"))
+    i = i.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    got = files.clip_list(spark, _table_written(spark, i, "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], lambda rows: rows.select("name", line.alias("line")), "url\tstart\tend\tlabel\n", 1_000_000))
     own = F.split("url", "/")
     return got.select(own[0].cast("long").alias("id"), own[1].cast("int").alias("n"), F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"))
 
