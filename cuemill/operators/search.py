@@ -13,12 +13,13 @@ are one automaton, by which each different word is read once a task.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import token
@@ -123,21 +124,35 @@ def phrase_hits(words: DataFrame, terms: list[str], mode: str = "substring", key
 
     Blank words are taken out before windows form in substring mode only.  A word
     carries the next ones of its file, as many as the longest term has, and all terms
-    are looked for in one pass, however many there are.
+    are looked for in one pass, however many there are.  A word without any term's
+    token is in no match and only parts its neighbours, so of it nothing but its place
+    is shuffled.
     """
     own = Terms(terms, mode)
     base = words.where(F.trim("word") != "") if mode == "substring" else words
     ahead = Window.partitionBy(key).orderBy(order).rowsBetween(0, own.longest - 1)
     form = F.lower("word") if mode == "substring" else token("word")
-    item = F.struct(form.alias("form"), F.col("word").alias("word"), F.coalesce("end_ms", "start_ms").alias("end"), *([F.col(probability).cast("double").alias("p")] if probability else []))
+    held = _held(form, own)
     carried = list(dict.fromkeys([key, order, *keep]))
-    wide = base.select(F.struct(*carried, "start_ms").alias("d"), F.collect_list(item).over(ahead).alias("t")).select("d", F.col("t.form").alias("f"), "t")
+    only = lambda c, name: F.when(held, c).alias(name)
+    base = base.select(key, order, *[only(F.col(c), c) for c in carried if c not in (key, order)], *[only(c, n) for c, n in [(form, "__form"), (F.col("word"), "__word"), (F.col("start_ms"), "start_ms"), (F.coalesce("end_ms", "start_ms"), "__end")] if n not in carried], *([only(F.col(probability).cast("double"), "__p")] if probability else []))
+    item = F.struct(F.col("__form").alias("form"), F.col("__word").alias("word"), F.col("__end").alias("end"), *([F.col("__p").alias("p")] if probability else []))
+    wide = base.select(F.struct(*dict.fromkeys([*carried, "start_ms"])).alias("d"), F.collect_list(item).over(ahead).alias("t")).where(F.col("t")[0]["form"].isNotNull()).select("d", F.col("t.form").alias("f"), "t")
     found = wide.mapInArrow(_row_hits(own), f"d {wide.schema['d'].dataType.simpleString()}, term string, t {wide.schema['t'].dataType.simpleString()}")
     last = F.element_at("t", -1)
     extra = [(F.aggregate("t", F.lit(0.0), lambda a, x: a + x["p"]) / F.size("t")).alias("probability")] if probability else []
     return found.select(*[F.col("d")[c].alias(c) for c in carried], "term", F.col("d.start_ms").alias("hit_start_ms"), last["end"].alias("hit_end_ms"), F.array_join(F.col("t.word"), " ").alias("source_caption"), *extra)
 
 
+def _held(form: Column, terms: Terms) -> Column:
+    """Whether a word holds (substring) or is (normalised) a token of some term."""
+    if terms.mode == "normalised":
+        return F.coalesce(form.isin(*terms.number), F.lit(False))
+    if not 0 < len(terms.number) <= 64:  # a pattern tries its tokens one by one: many are left to the automaton
+        return form.isNotNull()
+    return F.coalesce(form.rlike("|".join(map(re.escape, terms.number))), F.lit(False))
+
+
 def _row_hits(terms: Terms):
     """(d, term, t) of rows (d, f, t) whose words begin with a term; ``t`` is cut to it."""
 

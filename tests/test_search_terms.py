@@ -1,6 +1,7 @@
 """Long term lists in one pass, against the plain loop."""
 
 import random
+import re
 import time
 
 import pytest
@@ -54,3 +55,13 @@ def test_thousands_of_terms_cost_little_more(spark, sf):
     clock(TERMS)
     (n, few), (m, long) = clock(TERMS), clock(list(TERMS) + more)
     assert n == m and long < 5 * few + 3
+
+
+def test_only_words_with_a_token_are_shuffled(spark):
+    """Of other words nothing but their place reaches the window, and they still part neighbours."""
+    words = spark.createDataFrame([("f", 1, "of", 0, 1), ("f", 2, "x", 1, 2), ("f", 3, "the", 2, 3), ("f", 4, "Of", 3, 4), ("f", 5, "The.", 4, 5)], "ytid string, idx long, word string, start_ms long, end_ms long")
+    for mode in ("substring", "normalised"):
+        found = search.phrase_hits(words, ["of the"], mode)
+        assert [tuple(r) for r in found.collect()] == [("f", 4, "of the", 3, 5, "Of The.")]
+        window = found._jdf.queryExecution().analyzed().toString()
+        assert re.search(r"CASE WHEN .* THEN word#\d+ END AS __word", window)
