@@ -108,6 +108,8 @@ def words_file_bulk(spark, sf):
 
 # --- captions and logs ------------------------------------------------------
 
+FOLDERS = 256  #: for the files of single recordings, of which there are very many
+
 _PLAIN = r"trim(regexp_replace(regexp_replace(cue, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -123,9 +125,9 @@ def _doc_of(file: str = "file"):
 def captions_written_and_read(spark, sf):
     """Cues to caption files, one per document, and back: notes, marks, style words behind the end."""
     folder = _shared(spark)
-    sinks.transcript_files(_own_cues(spark, sf), folder, "vtt", "doc_id", end=F.lit(" align:start"))
+    sinks.transcript_files(_own_cues(spark, sf), folder, "vtt", "doc_id", end=F.lit(" align:start"), folders=FOLDERS)
     ms = lambda c: F.round(F.col(c) * 1000).cast("long").alias(f"{c}_ms")
-    return files.cues(spark, f"{folder}/*.vtt").select(_doc_of(), ms("start"), ms("end"), "text", "confidence", "retried")
+    return files.cues(spark, folder, below=True).select(_doc_of(), ms("start"), ms("end"), "text", "confidence", "retried")
 
 
 @query(f"WITH {CUES} SELECT doc_id, printf('%02d:%02d:%02d.%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, 0) AS raw_start, {_PLAIN} || chr(10) AS raw_text FROM cues WHERE {_PLAIN} <> ''")
@@ -140,9 +142,9 @@ def transcript_text_files(spark, sf):
     """Plain text and numbered subtitles of a transcript hold the same lines."""
     folder = _shared(spark)
     for kind in ("srt", "txt"):
-        sinks.transcript_files(_own_cues(spark, sf), folder, kind, "doc_id")
-    numbered = files.whole(spark, f"{folder}/*.srt").select(_doc_of(), F.regexp_count("value", F.lit(r"(?m)^[0-9:]+,[0-9]{3} --> [0-9:]+,[0-9]{3}$")).cast("long").alias("cues"))
-    return files.whole(spark, f"{folder}/*.txt").select(_doc_of(), F.md5("value").alias("body")).join(numbered, "doc_id")
+        sinks.transcript_files(_own_cues(spark, sf), f"{folder}/{kind}", kind, "doc_id", folders=FOLDERS)
+    numbered = files.whole_below(spark, f"{folder}/srt", "srt").select(_doc_of(), F.regexp_count("value", F.lit(r"(?m)^[0-9:]+,[0-9]{3} --> [0-9:]+,[0-9]{3}$")).cast("long").alias("cues"))
+    return files.whole_below(spark, f"{folder}/txt", "txt").select(_doc_of(), F.md5("value").alias("body")).join(numbered, "doc_id")
 
 
 @query(
@@ -153,8 +155,8 @@ SELECT doc_id, count(*) AS lines, count_if(before IS NULL)::BIGINT AS firsts FRO
 def stamped_log_files(spark, sf):
     """Logs stamped at most once in ten seconds: all lines are there, the first is stamped."""
     folder = _shared(spark)
-    sinks.transcript_files(_own_cues(spark, sf).where("text <> ''"), folder, "tslog.txt", "doc_id")
-    log = files.whole(spark, f"{folder}/*.tslog.txt").select(_doc_of(), F.split("value", "\n").alias("lines"))
+    sinks.transcript_files(_own_cues(spark, sf).where("text <> ''"), folder, "tslog.txt", "doc_id", folders=FOLDERS)
+    log = files.whole_below(spark, folder, "txt").select(_doc_of(), F.split("value", "\n").alias("lines"))
     first = F.element_at("lines", 1).rlike(r"^\[[0-9]{2}:[0-9]{2}:[0-9]{2}\] ").cast("long")
     return log.select("doc_id", F.size("lines").cast("long").alias("lines"), first.alias("firsts"))
 

@@ -7,6 +7,8 @@ file's name supplies the columns that it carries.
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,32 @@ def whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path, wholetext=True).select("value", file_name().alias("file"))
 
 
+def whole_below(spark: SparkSession, path: str, extension: str) -> DataFrame:
+    """The same for all files below a folder with an extension.  They are listed and read
+    folder by folder, so that very many small ones make no more tasks than folders."""
+    return folder_listing(spark, path, (extension,)).select("path", "name").mapInArrow(_contents(path), "value string, file string")
+
+
+def _contents(path: str, most: int = 16 << 20):
+    """(value, file) of files (path, name), in batches of about ``most`` bytes."""
+
+    def run(batches):
+        store, _ = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            texts, names, size = [], [], 0
+            for at, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_input_file(at) as f:
+                    texts.append(f.read())
+                names.append(name)
+                size += len(texts[-1])
+                if size > most:
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string(), safe=False), pa.array(names)], names=["value", "file"])
+                    texts, names, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string(), safe=False), pa.array(names, pa.string())], names=["value", "file"])
+
+    return run
+
+
 def tsv(spark: SparkSession, path: str | list[str], quote: str = "", null: str = "", sep: str = "\t") -> DataFrame:
     """A headered table, all text.  Quoting is off unless given, so JSON columns
     and words with ``"`` survive."""
@@ -170,8 +198,9 @@ def cues_of(docs: DataFrame, text: str = "value", keep: tuple[str, ...] = ("file
     )
 
 
-def cues(spark: SparkSession, path) -> DataFrame:
-    out = cues_of(whole(spark, path))
+def cues(spark: SparkSession, path, below: bool = False) -> DataFrame:
+    """The cues of caption files; ``below``: of all in the folder ``path``, at any depth."""
+    out = cues_of(whole_below(spark, path, "vtt") if below else whole(spark, path))
     seg = F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1
     return out.withColumn("seg", seg).withColumn("lang", S.caption_language("file"))
 

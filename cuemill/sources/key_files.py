@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -22,25 +23,27 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 class KeyFiles(DataSource):
     """Rows (name, line).  Options: ``path`` (the folder), ``head`` (before the first
-    line) and ``mark`` (between lines)."""
+    line), ``mark`` (between lines) and ``own`` (each task's files in a folder of the
+    task's number: such a folder is put in its place by one rename)."""
 
     @classmethod
     def name(cls):
         return "key_files"
 
     def writer(self, schema, overwrite):
-        return KeyFilesWriter(self.options["path"], self.options.get("head", ""), self.options.get("mark", "\n"))
+        return KeyFilesWriter(self.options["path"], self.options.get("head", ""), self.options.get("mark", "\n"), self.options.get("own", "false") == "true")
 
 
 @dataclass
 class Written(WriterCommitMessage):
     folder: str
     names: list[str]
+    to: str
 
 
 class KeyFilesWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, head: str, mark: str):
-        self.path, self.head, self.mark = path.rstrip("/"), head.encode(), mark.encode()
+    def __init__(self, path: str, head: str, mark: str, own: bool = False):
+        self.path, self.head, self.mark, self.own = path.rstrip("/"), head.encode(), mark.encode(), own
         self.job = f".writing-{uuid.uuid4().hex}"
 
     def _store(self):
@@ -69,13 +72,16 @@ class KeyFilesWriter(DataSourceArrowWriter):
         finally:
             if out:
                 out.close()
-        return Written(folder, names)
+        return Written(folder, names, f"{base}/{TaskContext.get().partitionId():05d}" if self.own else base)
 
     def commit(self, messages):
         store, base = self._store()
         for m in messages:
+            if m and m.names and self.own and store.get_file_info(m.to).type == fs.FileType.NotFound:
+                store.move(m.folder, m.to)
+                continue
             for name in m.names if m else ():
-                store.move(f"{m.folder}/{name}", f"{base}/{name}")
+                store.move(f"{m.folder}/{name}", f"{m.to}/{name}")
         self._clean()
 
     def abort(self, messages):
@@ -109,17 +115,19 @@ def _runs(batch):
         at = end
 
 
-def write_files(rows: DataFrame, path: str, name: Column, order: list, line: Column, head: str = "", mark: str = "\n") -> None:
+def write_files(rows: DataFrame, path: str, name: Column, order: list, line: Column, head: str = "", mark: str = "\n", folders: int = 0) -> None:
     """One file per ``name`` in the folder ``path``, its lines in ``order``: no key is
     gathered, a file costs its own task.  Rows without a name are left out; files of
-    the same name are replaced."""
+    the same name are replaced.  Very many files go into ``folders`` below it, by the
+    name's hash: always the same one if their number is."""
     places = [f"o{k}" for k in range(len(order))]
     own = rows.select(name.cast("string").alias("name"), *[F.col(o).alias(p) if isinstance(o, str) else o.alias(p) for o, p in zip(order, places)], line.alias("line")).where("name is not null")
-    write_dealt(own.repartition("name").sortWithinPartitions("name", *places).select("name", "line"), path, head, mark)
+    dealt = own.repartition(folders, "name") if folders else own.repartition("name")
+    write_dealt(dealt.sortWithinPartitions("name", *places).select("name", "line"), path, head, mark, bool(folders))
 
 
-def write_dealt(rows: DataFrame, path: str, head: str = "", mark: str = "\n") -> None:
+def write_dealt(rows: DataFrame, path: str, head: str = "", mark: str = "\n", own: bool = False) -> None:
     """The same for rows (name, line) that are dealt out already: all of a name lie in
     one task, names in order.  Files are compressed if their names end in ``.gz``."""
     rows.sparkSession.dataSource.register(KeyFiles)
-    rows.write.format("key_files").options(path=path, head=head, mark=mark).mode("append").save()
+    rows.write.format("key_files").options(path=path, head=head, mark=mark, own=own).mode("append").save()

@@ -74,14 +74,15 @@ def tslog(cues: DataFrame, key: str = "file", gap: float = 10.0, order: str = "s
     return _joined(rows.where(F.trim("text") != ""), key, order, line)
 
 
-def transcript_files(cues: DataFrame, path: str, kind: str, key: str = "file", order: str = "seg", gap: float = 10.0, end: Column | None = None) -> None:
+def transcript_files(cues: DataFrame, path: str, kind: str, key: str = "file", order: str = "seg", gap: float = 10.0, end: Column | None = None, folders: int = 0) -> None:
     """The files themselves, one per key, streamed: ``kind`` is vtt, srt, txt or
-    tslog.txt; ``end`` stands behind the end time of a vtt cue."""
+    tslog.txt; ``end`` stands behind the end time of a vtt cue; ``folders``: see
+    ``write_files``."""
     rows, line = _stamped(cues, key, gap, order) if kind == "tslog.txt" else (cues, {"vtt": _vtt_line(), "srt": _srt_line(order), "txt": F.trim("text")}[kind])
     if kind == "vtt" and end is not None:
         line = F.regexp_replace(line, F.lit(r"( --> [0-9:.]+)"), F.concat(F.lit("$1"), end))
     name = F.concat(F.col(key).cast("string"), F.lit(f".{kind}"))
-    write_files(rows.where(F.trim("text") != ""), path, name, [order], line, "WEBVTT\n\n" if kind == "vtt" else "")
+    write_files(rows.where(F.trim("text") != ""), path, name, [order], line, "WEBVTT\n\n" if kind == "vtt" else "", folders=folders)
 
 
 def words_rows(words: DataFrame) -> DataFrame:

@@ -80,3 +80,18 @@ def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
         assert sorted(r[:3] for p in reader.partitions() for r in reader.read(p)) == sorted(want)
     assert {(r.path, r.name, r.length) for r in files.folder_listing(spark, str(tmp_path)).collect()} == want
     assert {(r.lang, r.length) for r in files.captions(spark, str(tmp_path)).collect()} == {("en", 4), ("de", 4), ("en", 0)}
+
+
+def test_files_in_folders_by_name(spark, tmp_path):
+    """Folders of many files are put in their place whole; a name goes to the same one again."""
+    from cuemill.sources import files
+
+    out = f"file://{tmp_path}/out"
+    rows = spark.range(60).selectExpr("concat(id % 30, '.txt') AS name", "id", "concat('l', id) AS line")
+    for _ in range(2):
+        write_files(rows, out, F.col("name"), ["id"], F.col("line"), folders=8)
+    found = [p for p in (tmp_path / "out").rglob("*.txt")]
+    assert len(found) == 30 and all(p.parent.parent == tmp_path / "out" for p in found) and len({p.parent for p in found}) > 1
+    got = {r.file: r.value for r in files.whole_below(spark, out, "txt").collect()}
+    assert got == {f"{k}.txt": f"l{k}\nl{k + 30}" for k in range(30)}
+    assert files.whole_below(spark, out, "txt").rdd.getNumPartitions() <= 10
