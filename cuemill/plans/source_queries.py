@@ -391,7 +391,7 @@ def words_table_written(spark, sf):
     """The words table as text and back, without quoting."""
     w = views.words(spark, sf).select((F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "word", "seg", "confidence", "retried")
     folder = _shared(spark)
-    sinks.tsv(sinks.words_rows(w), folder)
+    sinks.tsv(sinks.words_rows(w), folder, compression="gzip")
     return files.tsv(spark, folder).groupBy("word", "start", "seg", "confidence", "retried").agg(F.count("*").alias("n"))
 
 

@@ -13,9 +13,9 @@ from .key_files import write_files
 PUBLIC_HITS = ["url", "start", "end", "label", "source_caption", "source_type"]
 
 
-def tsv(df: DataFrame, path: str, order: list | None = None) -> None:
+def tsv(df: DataFrame, path: str, order: list | None = None, compression: str = "none") -> None:
     out = df.orderBy(*order) if order else df
-    out.write.mode("overwrite").options(sep="\t", header=True, quote="\u0000", escape="\u0000", emptyValue="").csv(path)
+    out.write.mode("overwrite").options(sep="\t", header=True, quote="\u0000", escape="\u0000", emptyValue="", compression=compression).option("zlib.compress.level", "BEST_SPEED").csv(path)
 
 
 def hits_rows(hits: DataFrame) -> DataFrame:

@@ -303,3 +303,11 @@ def test_natural_names(spark):
     df = spark.createDataFrame([(n,) for n in ["clip10.mp4", "clip2.mp4", "Clip1.mp4"]], "name string")
     got = recon.clip_order(df, "name", ["name"], 2).orderBy("ordinal").collect()
     assert [r.name for r in got] == ["Clip1.mp4", "clip2.mp4", "clip10.mp4"] and [r.batch for r in got] == [0, 0, 1]
+
+
+def test_tables_are_written_compressed(spark, tmp_path):
+    df = spark.range(200).select(F.col("id").cast("string").alias("word"), F.lit('a "b"').alias("x"))
+    sinks.tsv(df, str(tmp_path / "t"), compression="gzip")
+    found = [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("part-")]
+    assert found and all(n.endswith(".gz") for n in found)
+    assert sorted(map(tuple, files.tsv(spark, str(tmp_path / "t")).collect())) == sorted(map(tuple, df.collect()))
